@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import sample_kurtosis, sample_skew, sanitize
 from tidemark.operators.metrics import evaluate
-from tidemark.operators.ordered import ROWS_PER_SLICE, exact_quantiles, framed
+from tidemark.operators.ordered import ROWS_PER_SLICE, calendar_bounded, exact_quantiles, framed
 from tidemark.operators.panel import to_long
 
 MIN_ROWS = 20
@@ -76,12 +76,14 @@ def stochastic_summary(
     series = framed(tall, by, ts, shifted, back=5, **slicing)
     r, r1 = F.col("r"), F.col("r1")
     n, n1 = F.count(r), F.count(r1)
+    daily_axis = calendar_bounded(df, ts)
+    middle = [F.percentile(r, F.lit(0.5)).alias("median_h21_return")] if daily_axis else []
     sums = series.groupBy(*by).agg(
         n.alias("n"),
         F.min(ts).alias("fecha_ini"),
         F.max(ts).alias("fecha_fin"),
         F.avg(r).alias("mean_h21_return"),
-        F.percentile(r, F.lit(0.5)).alias("median_h21_return"),
+        *middle,
         F.stddev_samp(r).alias("std_h21_return"),
         F.min(r).alias("min_h21_return"),
         F.max(r).alias("max_h21_return"),
@@ -94,6 +96,8 @@ def stochastic_summary(
         F.when(n1 > 10, F.stddev_samp(r1)).alias("__vol"),
         F.when(n1 > 10, F.avg(r1)).alias("__mean"),
     )
+    if not daily_axis:
+        sums = sums.join(exact_quantiles(series, by, "r", {"median_h21_return": 0.5}), by)
     year = float(DAYS_PER_YEAR)
     return sums.where(F.col("n") >= MIN_ROWS).select(
         *by,
