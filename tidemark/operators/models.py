@@ -107,7 +107,7 @@ def choose_inputs(fit: DataFrame, features: Sequence[str], label: str, top: int)
     moving = stats.where(F.col("lo") < F.col("hi")).select("pos")
     usable = [r["pos"] for r in moving.orderBy("pos").collect()]
     if len(usable) > top:
-        named = tall.join(F.broadcast(moving), "pos").withColumn("feature", F.col("pos").cast("string"))
+        named = tall.join(moving, "pos").withColumn("feature", F.col("pos").cast("string"))
         ranked = rank_features(named, [], "y", top).orderBy("rank").collect()
         usable = [int(r["feature"]) for r in ranked]
     middle = exact_quantiles(tall.where(F.col("pos").isin(usable)), ["pos"], "value", {"m": 0.5}).collect()
