@@ -143,13 +143,13 @@ VIEWS = {
     avg(accuracy) AS mean_accuracy, avg(balanced_accuracy) AS mean_balanced_accuracy, avg(roc_auc) AS mean_roc_auc
   FROM set_results GROUP BY ALL""",
     "bt_rows": """
-  SELECT *, row_number() OVER w AS at FROM (
+  SELECT *, row_number() OVER w AS row_no FROM (
     SELECT series_id, ds, px, proba_up, threshold, pred_return_direct, pred_up_calibrated,
       coalesce(lead(px) OVER w / px - 1, 0) AS ret1, lead(ds) OVER w AS next_ds
     FROM preds WHERE ds BETWEEN DATE '1998-01-01' AND DATE '2001-06-30' WINDOW w AS (PARTITION BY series_id ORDER BY ds))
   WHERE next_ds IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY ds)""",
     "bt_state": """
-  SELECT *, first_value(pred_up_calibrated) OVER (PARTITION BY series_id, (at - 1) // 21 ORDER BY ds) AS held,
+  SELECT *, first_value(pred_up_calibrated) OVER (PARTITION BY series_id, (row_no - 1) // 21 ORDER BY ds) AS held,
     coalesce(last_value(CASE WHEN proba_up >= 0.60 THEN 1.0 WHEN proba_up <= 0.35 THEN 0.0 END IGNORE NULLS) OVER
       (PARTITION BY series_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)::DOUBLE AS state
   FROM bt_rows""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import calendar_parts
@@ -17,7 +17,10 @@ from tidemark.sources.tables import TABLES, all_tables, table
 from tidemark.streaming import ledger
 
 KEYS = views.KEYS
-BY_SERIES = Window.partitionBy("series_id").orderBy("ds")
+
+
+def by_series() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("ds")
 
 
 @registered("""
@@ -73,7 +76,7 @@ def normalize_headers(spark: SparkSession, folder: str) -> DataFrame:
 @registered("""
   SELECT * FROM (
     SELECT event_id, event_type, try_cast(CASE WHEN event_type = 'signup' THEN 'unknown' ELSE ts::DATE::VARCHAR END AS DATE) AS day,
-      round(greatest(least(try_cast(CASE WHEN event_type = 'error' THEN 'n/a' ELSE (value * 1e10)::VARCHAR END AS DOUBLE), 1e12), -1e12), 2) AS amount
+      CASE WHEN event_type <> 'error' THEN round(greatest(least(value * 1e10, 1e12), -1e12), 2) END AS amount
     FROM events) WHERE day IS NOT NULL""")
 def coerce_types(spark: SparkSession, folder: str) -> DataFrame:
     text = table(spark, folder, "events").select(
@@ -142,7 +145,7 @@ def calendar_features(spark: SparkSession, folder: str) -> DataFrame:
   FROM (SELECT series_id, ds, round(px / 100000 - lag(px / 100000, 30) OVER (PARTITION BY series_id ORDER BY ds), 6) AS rate_change FROM price)""")
 def policy_stance(spark: SparkSession, folder: str) -> DataFrame:
     rate = F.col("px") / 100000
-    rows = views.price_panel(spark, folder).withColumn("rate_change", F.round(rate - F.lag(rate, 30).over(BY_SERIES), 6))
+    rows = views.price_panel(spark, folder).withColumn("rate_change", F.round(rate - F.lag(rate, 30).over(by_series()), 6))
     return rows.withColumn("policy_stance", stance_of(F.col("rate_change"))).drop("px")
 
 
@@ -216,11 +219,11 @@ _WINDOWS = "WINDOW w AS (PARTITION BY series_id, variable ORDER BY ds)" + "".joi
     f", w{n} AS (PARTITION BY series_id, variable ORDER BY ds ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (21, 63, 126)
 )
 _LOG_SQL = "round(l, 6) AS log, " + ", ".join(f"round(l - lag(l, {k}) OVER w, 6) AS logret_{k}" for k in (1, 5, 21))
-_DIFF_SQL = "round(value - lag(value, 1) OVER w, 4) AS diff_1, round(value / nullif(lag(value, 21) OVER w, 0) - 1, 6) AS pct_21"
-_LAG_SQL = ", ".join(f"round(lag(value, {k}) OVER w, 4) AS lag{k}" for k in (1, 5, 21, 63))
+_DIFF_SQL = "round(value - lag(value, 1) OVER w, 5) AS diff_1, round(value / nullif(lag(value, 21) OVER w, 0) - 1, 6) AS pct_21"
+_LAG_SQL = ", ".join(f"round(lag(value, {k}) OVER w, 5) AS lag{k}" for k in (1, 5, 21, 63))
 _ROLL_SQL = ", ".join(
-    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(avg(value) OVER w{n}, 4) END AS roll_mean{n}, "
-    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(stddev_samp(value) OVER w{n}, 4) END AS roll_std{n}, "
+    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(avg(value) OVER w{n}, 5) END AS roll_mean{n}, "
+    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(stddev_samp(value) OVER w{n}, 5) END AS roll_std{n}, "
     f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(value / nullif(max(value) OVER w{n}, 0) - 1, 6) END AS dist_max{n}, "
     f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(value / nullif(min(value) OVER w{n}, 0) - 1, 6) END AS dist_min{n}"
     for n, m in ((21, 5), (63, 15), (126, 31))
@@ -240,7 +243,7 @@ def _shown(df: DataFrame, names: list[str]) -> DataFrame:
     levels = [n for n in names if n in _levels()]
     shares = [n for n in names if n not in levels]
     kept = df.select("series_id", "variable", "ds", *names)
-    return rounded(rounded(kept, 4, *levels), 6, *shares)
+    return rounded(rounded(kept, 5, *levels), 6, *shares)
 
 
 @registered(_ELIGIBLE + f" SELECT series_id, variable, ds, {_LOG_SQL} FROM lg {_WINDOWS}")
@@ -264,18 +267,18 @@ def ts_rolling(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(_features(spark, folder), rolls)
 
 
-@registered(_ELIGIBLE + f" SELECT series_id, variable, ds, round(value, 4) AS value, {_LOG_SQL}, {_DIFF_SQL}, {_LAG_SQL}, {_ROLL_SQL} FROM lg {_WINDOWS}")
+@registered(_ELIGIBLE + f" SELECT series_id, variable, ds, round(value, 5) AS value, {_LOG_SQL}, {_DIFF_SQL}, {_LAG_SQL}, {_ROLL_SQL} FROM lg {_WINDOWS}")
 def ts_features(spark: SparkSession, folder: str) -> DataFrame:
     shares = [n for n in features.feature_names() if n not in _levels()]
-    return rounded(rounded(_features(spark, folder), 4, "value", *_levels()), 6, *shares)
+    return rounded(rounded(_features(spark, folder), 5, "value", *_levels()), 6, *shares)
 
 
 @registered("""
-  SELECT event_type, ts, event_id, round(lag(value, 1) OVER w, 4) AS lag1, round(lag(value, 63) OVER w, 4) AS lag63,
-    CASE WHEN count(value) OVER w21 >= 5 THEN round(avg(value) OVER w21, 4) END AS roll_mean21,
-    CASE WHEN count(value) OVER w126 >= 31 THEN round(stddev_samp(value) OVER w126, 4) END AS roll_std126,
+  SELECT event_type, ts, event_id, round(lag(value, 1) OVER w, 6) AS lag1, round(lag(value, 63) OVER w, 6) AS lag63,
+    CASE WHEN count(value) OVER w21 >= 5 THEN round(avg(value) OVER w21, 6) END AS roll_mean21,
+    CASE WHEN count(value) OVER w126 >= 31 THEN round(stddev_samp(value) OVER w126, 6) END AS roll_std126,
     CASE WHEN count(value) OVER w126 >= 31 THEN round(value / nullif(max(value) OVER w126, 0) - 1, 6) END AS dist_max126,
-    round(lead(value, 21) OVER w, 4) AS ahead21
+    round(lead(value, 21) OVER w, 6) AS ahead21
   FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts),
     w21 AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW),
     w126 AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 125 PRECEDING AND CURRENT ROW)""")
@@ -290,7 +293,7 @@ def ts_features_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = views.events(spark, folder)
     made = framed(rows, ["event_type"], "ts", columns, back=126, ahead=21, rows_per_slice=1000).drop("value")
-    return rounded(rounded(made, 4, "lag1", "lag63", "roll_mean21", "roll_std126", "ahead21"), 6, "dist_max126")
+    return rounded(rounded(made, 6, "lag1", "lag63", "roll_mean21", "roll_std126", "ahead21"), 6, "dist_max126")
 
 
 @registered("""
@@ -324,8 +327,8 @@ def sanitize(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.daily_panel(spark, folder).select("series_id", "ds", z.cast("double").alias("z"))
     lows = rows.select(
         "*",
-        F.lag("z", 21).over(BY_SERIES).alias("past"),
-        features.rolling(F.col("z"), BY_SERIES, 21, 5)["min"].alias("lowest"),
+        F.lag("z", 21).over(by_series()).alias("past"),
+        features.rolling(F.col("z"), by_series(), 21, 5)["min"].alias("lowest"),
     )
     return quality.ratio_report(lows, KEYS, {"pct_21": ("z", "past"), "dist_min21": ("z", "lowest")})
 
