@@ -25,12 +25,12 @@ def metrics_of(cells: str) -> str:
 VIEWS = {
     "daily": """
   SELECT o_orderpriority AS series_id, o_orderdate::DATE AS ds,
-    round(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*), 6) AS px, count(*) AS n
+    floor(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*) * 100) / 100 AS px, count(*) AS n
   FROM orders GROUP BY 1, 2""",
     "ctx": """
   SELECT CASE l_returnflag WHEN 'A' THEN 'GLD' WHEN 'N' THEN 'SI=F' WHEN 'R' THEN '^VIX' END AS source,
     l_shipdate::DATE AS ds, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS volume,
-    round(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / count(*), 6) AS close
+    floor(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / count(*) * 100) / 100 AS close
   FROM lineitem GROUP BY 1, 2""",
     "ctxw": """
   SELECT coalesce(a.ds, b.ds, c.ds) AS ds, a.volume AS gld_volume, a.close AS gld_close,
@@ -46,8 +46,8 @@ VIEWS = {
   SELECT year, lag(score) OVER (ORDER BY year) AS lag1_score,
     lag(cls, 1, 'Sin clasificación') OVER (ORDER BY year) AS lag1_cls FROM annual""",
     "price": """
-  SELECT series_id, ds, round(avg(px) OVER (PARTITION BY series_id ORDER BY ds
-    ROWS BETWEEN 62 PRECEDING AND CURRENT ROW), 4) AS px FROM daily""",
+  SELECT series_id, ds, round(avg(px) OVER w, 2) AS px FROM daily
+  WINDOW w AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) QUALIFY count(px) OVER w = 63""",
     "base": """
   SELECT p.series_id, p.ds, p.px, last_value(c.gld_close IGNORE NULLS) OVER w AS fx,
     last_value(c.si_f_close IGNORE NULLS) OVER w AS oil

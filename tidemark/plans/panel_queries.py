@@ -219,14 +219,14 @@ _WINDOWS = "WINDOW w AS (PARTITION BY series_id, variable ORDER BY ds)" + "".joi
     f", w{n} AS (PARTITION BY series_id, variable ORDER BY ds ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (21, 63, 126)
 )
 _LOG_SQL = "round(l, 6) AS log, " + ", ".join(f"round(l - lag(l, {k}) OVER w, 6) AS logret_{k}" for k in (1, 5, 21))
-_DIFF_SQL = "round(value - lag(value, 1) OVER w, 5) AS diff_1, round(value / nullif(lag(value, 21) OVER w, 0) - 1, 6) AS pct_21"
-_LAG_SQL = ", ".join(f"round(lag(value, {k}) OVER w, 5) AS lag{k}" for k in (1, 5, 21, 63))
+_DIFF_SQL = "round(value - lag(value, 1) OVER w, 3) AS diff_1, round(value / nullif(lag(value, 21) OVER w, 0) - 1, 6) AS pct_21"
+_LAG_SQL = ", ".join(f"round(lag(value, {k}) OVER w, 3) AS lag{k}" for k in (1, 5, 21, 63))
 _ROLL_SQL = ", ".join(
-    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(avg(value) OVER w{n}, 5) END AS roll_mean{n}, "
-    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(stddev_samp(value) OVER w{n}, 5) END AS roll_std{n}, "
-    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(value / nullif(max(value) OVER w{n}, 0) - 1, 6) END AS dist_max{n}, "
-    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(value / nullif(min(value) OVER w{n}, 0) - 1, 6) END AS dist_min{n}"
-    for n, m in ((21, 5), (63, 15), (126, 31))
+    f"CASE WHEN sum((value IS NOT NULL)::INT) OVER w{n} >= {m} THEN round(avg(value) OVER w{n}, 3) END AS roll_mean{n}, "
+    f"CASE WHEN sum((value IS NOT NULL)::INT) OVER w{n} >= {m} THEN round(stddev_samp(value) OVER w{n}, 3) END AS roll_std{n}, "
+    f"CASE WHEN sum((value IS NOT NULL)::INT) OVER w{n} >= {m} THEN round(value / nullif(max(value) OVER w{n}, 0) - 1, 6) END AS dist_max{n}, "
+    f"CASE WHEN sum((value IS NOT NULL)::INT) OVER w{n} >= {m} THEN round(value / nullif(min(value) OVER w{n}, 0) - 1, 6) END AS dist_min{n}"
+    for n, m in ((21, 3), (63, 15), (126, 31))
 )
 
 
@@ -243,7 +243,7 @@ def _shown(df: DataFrame, names: list[str]) -> DataFrame:
     levels = [n for n in names if n in _levels()]
     shares = [n for n in names if n not in levels]
     kept = df.select("series_id", "variable", "ds", *names)
-    return rounded(rounded(kept, 5, *levels), 6, *shares)
+    return rounded(rounded(kept, 3, *levels), 6, *shares)
 
 
 @registered(_ELIGIBLE + f" SELECT series_id, variable, ds, {_LOG_SQL} FROM lg {_WINDOWS}")
@@ -267,10 +267,10 @@ def ts_rolling(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(_features(spark, folder), rolls)
 
 
-@registered(_ELIGIBLE + f" SELECT series_id, variable, ds, round(value, 5) AS value, {_LOG_SQL}, {_DIFF_SQL}, {_LAG_SQL}, {_ROLL_SQL} FROM lg {_WINDOWS}")
+@registered(_ELIGIBLE + f" SELECT series_id, variable, ds, round(value, 3) AS value, {_LOG_SQL}, {_DIFF_SQL}, {_LAG_SQL}, {_ROLL_SQL} FROM lg {_WINDOWS}")
 def ts_features(spark: SparkSession, folder: str) -> DataFrame:
     shares = [n for n in features.feature_names() if n not in _levels()]
-    return rounded(rounded(_features(spark, folder), 5, "value", *_levels()), 6, *shares)
+    return rounded(rounded(_features(spark, folder), 3, "value", *_levels()), 6, *shares)
 
 
 @registered("""

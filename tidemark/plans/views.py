@@ -27,12 +27,16 @@ def money(x: str) -> Column:
     return F.sum(F.col(x).cast("decimal(18,2)")).cast("double")
 
 
+def cents(x: Column) -> Column:
+    return F.floor(x * 100) / 100
+
+
 def daily_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Mean order value per priority and day."""
     return (
         table(spark, folder, "orders")
         .groupBy(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("date").alias("ds"))
-        .agg(F.round(money("o_totalprice") / F.count("*"), 6).alias("px"), F.count("*").alias("n"))
+        .agg(cents(money("o_totalprice") / F.count("*")).alias("px"), F.count("*").alias("n"))
     )
 
 
@@ -42,7 +46,7 @@ def context_long(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "lineitem")
         .groupBy(source.alias("source"), F.col("l_shipdate").cast("date").alias("ds"))
-        .agg(money("l_quantity").alias("volume"), F.round(money("l_extendedprice") / F.count("*"), 6).alias("close"))
+        .agg(money("l_quantity").alias("volume"), cents(money("l_extendedprice") / F.count("*")).alias("close"))
     )
 
 
@@ -63,9 +67,10 @@ def annual_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def price_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily panel with the price smoothed over 63 rows, so that daily moves are small."""
+    """Daily panel with the price smoothed over 63 full rows, so that daily moves are small."""
     w = Window.partitionBy("series_id").orderBy("ds").rowsBetween(-62, Window.currentRow)
-    return daily_panel(spark, folder).select("series_id", "ds", F.round(F.avg("px").over(w), 4).alias("px"))
+    smooth = F.when(F.count("px").over(w) == 63, F.round(F.avg("px").over(w), 2)).alias("px")
+    return daily_panel(spark, folder).select("series_id", "ds", smooth).where(F.col("px").isNotNull())
 
 
 def base_panel(spark: SparkSession, folder: str) -> DataFrame:
