@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio, return_band, sanitize
-from tidemark.operators.ordered import Running, framed, running
+from tidemark.operators.ordered import ROWS_PER_SLICE, Running, axis_cuts, framed, running
 from tidemark.operators.walkforward import MIN_TEST, block_number
 
 # Names of the strategies.
@@ -63,7 +63,7 @@ def backtest(
     capital: float = CAPITAL,
     cost: float = 0.0,
     slippage: float = 0.0,
-    **slicing,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Daily exposure, return, capital and drawdown of eight strategies.
 
@@ -79,6 +79,7 @@ def backtest(
         rows = rows.where(F.col(ts) <= F.lit(end).cast("date"))
     base = [*keys, ts, price, "proba_up", "threshold", "pred_return_direct"]
     rows = rows.select(*base, "pred_up_calibrated")
+    slicing = {"rows_per_slice": rows_per_slice, "cuts": axis_cuts(rows, ts, rows_per_slice)}
 
     def next_row(w: WindowSpec) -> dict[str, Column]:
         return {
@@ -190,10 +191,11 @@ def strategy_by_period(series: DataFrame, keys: Sequence[str], period: str, ts:
 
 def quick_backtest(
     preds: DataFrame, keys: Sequence[str], ts: str = "ds", price: str = "px", signal: str = "pred_up_calibrated",
-    capital: float = CAPITAL, **slicing,
+    capital: float = CAPITAL, rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Final capital and worst drawdown: holding against trading on yesterday's signal."""
     known = preds.where(F.col(price).isNotNull()).select(*keys, ts, price, signal)
+    slicing = {"rows_per_slice": rows_per_slice, "cuts": axis_cuts(known, ts, rows_per_slice)}
 
     def columns(w: WindowSpec) -> dict[str, Column]:
         change = F.coalesce(ratio(F.col(price), F.lag(price, 1).over(w)) - 1, F.lit(0.0))

@@ -25,9 +25,16 @@ PRESIDENTIAL_PERIODS = [
 
 def intervals(spark, rows: Sequence[tuple[str, str, str]]) -> DataFrame:
     """A closed-interval dimension ``(position, name, first_day, last_day)``."""
-    numbered = [(i, *row) for i, row in enumerate(rows)]
-    df = spark.createDataFrame(numbered, "position int, name string, first_day string, last_day string")
-    return df.withColumns({c: F.col(c).cast("date") for c in ("first_day", "last_day")})
+    literals = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(name).alias("name"),
+            F.lit(first).cast("date").alias("first_day"),
+            F.lit(last).cast("date").alias("last_day"),
+        )
+        for i, (name, first, last) in enumerate(rows)
+    ]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*literals)))
 
 
 def interval_lookup(df: DataFrame, day: str, dimension: DataFrame, name: str, default: str = OUT_OF_RANGE) -> DataFrame:
@@ -68,6 +75,11 @@ def lag_years(annual: DataFrame, score: str, label: str, year: str = "year") ->
 def annual_lag_join(
     df: DataFrame, ts: str, annual: DataFrame, score: str, label: str, year: str = "year"
 ) -> DataFrame:
-    """Each row gets the annual values of the year before its own."""
-    lagged = lag_years(annual, score, label, year).withColumnRenamed(year, "__year")
+    """Each row gets the annual values of the year before its own.
+
+    One row per year: the table has a few hundred rows whatever the size of the
+    data, so it is broadcast.
+    """
+    once = annual.groupBy(year).agg(F.min(F.struct(score, label)).alias("r")).select(year, "r.*")
+    lagged = F.broadcast(lag_years(once, score, label, year).withColumnRenamed(year, "__year"))
     return df.join(lagged, F.year(ts) == F.col("__year"), "left").drop("__year")

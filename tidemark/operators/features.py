@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import direction, log_positive, ratio
-from tidemark.operators.ordered import framed
+from tidemark.operators.ordered import calendar_bounded, framed
 
 LAGS = (1, 5, 21, 63)
 WINDOWS = (21, 63, 126)
@@ -58,10 +58,18 @@ def feature_names(lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS)
     return ["log", *[f"logret_{k}" for k in LOG_LAGS], "diff_1", "pct_21", *[f"lag{k}" for k in lags], *rolls]
 
 
-def log_eligible(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per variable: are more than 98 % of the known values positive?"""
-    known = long.where(F.col("value").isNotNull())
-    return known.groupBy(*keys).agg((F.avg((F.col("value") > 0).cast("double")) > POSITIVE_SHARE).alias("log_ok"))
+def with_log_eligible(long: DataFrame, by: Sequence[str], ts: str) -> DataFrame:
+    """Add ``log_ok``: are more than 98 % of the variable's known values positive?
+
+    On a daily axis the share is taken over the same partitions as the features, so
+    the panel is read and shuffled once; elsewhere it is a small aggregate joined back.
+    """
+    positive = F.avg((F.col("value") > 0).cast("double"))
+    if calendar_bounded(long, ts):
+        share = positive.over(Window.partitionBy(*by))
+        return long.withColumn("log_ok", F.coalesce(share > POSITIVE_SHARE, F.lit(False)))
+    shares = long.groupBy(*by).agg((positive > POSITIVE_SHARE).alias("log_ok"))
+    return long.join(shares, by, "left").withColumn("log_ok", F.coalesce("log_ok", F.lit(False)))
 
 
 def series_features(
@@ -78,7 +86,7 @@ def series_features(
     features share one shuffle and sort per (key, variable).
     """
     by = [*keys, "variable"]
-    flagged = long.join(log_eligible(long, by), by, "left").withColumn("log_ok", F.coalesce("log_ok", F.lit(False)))
+    flagged = with_log_eligible(long, by, ts)
 
     def columns(w: WindowSpec) -> dict[str, Column]:
         x = F.col("value")

@@ -62,6 +62,11 @@ def cut_points(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE)
     return sorted(set(picked))
 
 
+def axis_cuts(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
+    """Slice borders for ordered work on this axis; none for a daily one."""
+    return [] if calendar_bounded(df, order) else cut_points(df, order, rows_per_slice)
+
+
 def add_slice(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
     borders = [-math.inf, *cuts, math.inf]
     cutter = Bucketizer(splits=borders, inputCol="__axis", outputCol=_SLICE, handleInvalid="keep")
@@ -125,7 +130,7 @@ def running(
     rows of a key are few.
     """
     if cuts is None:
-        cuts = [] if calendar_bounded(df, order) else cut_points(df, order, rows_per_slice)
+        cuts = axis_cuts(df, order, rows_per_slice)
     to_here = (Window.unboundedPreceding, Window.currentRow)
     if not cuts:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(*to_here)
@@ -157,6 +162,7 @@ def framed(
     back: int,
     ahead: int = 0,
     rows_per_slice: int = ROWS_PER_SLICE,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add columns whose windows reach at most ``back`` rows back and ``ahead`` ahead.
 
@@ -164,16 +170,17 @@ def framed(
     neighbouring run, so every frame is complete inside one task; the copies are
     dropped again. At most ``back + ahead`` rows per run are copied.
     """
-    cuts = [] if calendar_bounded(df, order) else cut_points(df, order, rows_per_slice)
+    if cuts is None:
+        cuts = axis_cuts(df, order, rows_per_slice)
     if not cuts:
         made = columns(Window.partitionBy(*keys).orderBy(order))
         return df.select("*", *[c.alias(name) for name, c in made.items()])
 
     run = max(rows_per_slice, back + ahead, 1)
-    placed = running(df, keys, order, {"__at": Running("count", F.lit(1))}, cuts=cuts)
-    home = F.floor((F.col("__at") - 1) / run).cast("long")
-    offset = (F.col("__at") - 1) % run
-    placed = placed.withColumn("__home", home).withColumn(
+    placed = running(df, keys, order, {"__place": Running("count", F.lit(1))}, cuts=cuts)
+    home = F.floor((F.col("__place") - 1) / run).cast("long")
+    offset = (F.col("__place") - 1) % run
+    placed = placed.withColumn("__run_home", home).withColumn(
         "__run",
         F.explode(
             F.array_compact(
@@ -188,7 +195,7 @@ def framed(
     made = columns(Window.partitionBy(*keys, "__run").orderBy(order))
     return (
         placed.select("*", *[c.alias(name) for name, c in made.items()])
-        .where(F.col("__run") == F.col("__home"))
+        .where(F.col("__run") == F.col("__run_home"))
         .select(*df.columns, *made)
     )
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import to_day, to_number
 from tidemark.functions.names import source_prefix
-from tidemark.operators.ordered import Running, running
+from tidemark.operators.ordered import Running, calendar_bounded, running
+
+# A DATE axis has 36,525 days a century: 16 columns of doubles are 5 MB.
+MAX_BROADCAST_COLUMNS = 16
 
 
 def dedup(df: DataFrame, by: Sequence[str], tiebreak: Sequence[str], keep: str = "first") -> DataFrame:
@@ -66,9 +69,15 @@ def align(
 ) -> DataFrame:
     """Context values on the rows of the panel: exact match on time, then fill forward.
 
-    A context value at a time the panel does not have is not used.
+    A context value at a time the panel does not have is not used. The context is
+    folded to one row per time. On a DATE axis that is at most one row per day of the
+    calendar whatever the size of the data, so a narrow context is broadcast and the
+    panel stays where it is; any other context is joined by size.
     """
-    matched = panel.join(context.select(ts, *columns), ts, "left").select(*panel.columns, *columns)
+    once = context.groupBy(ts).agg(*[F.max(c).alias(c) for c in columns])
+    if calendar_bounded(context, ts) and len(columns) <= MAX_BROADCAST_COLUMNS:
+        once = F.broadcast(once)
+    matched = panel.join(once, ts, "left").select(*panel.columns, *columns)
     return fill_forward(matched, keys, ts, columns, **slicing)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import calibration, leaderboard, metrics, panel, rules, summaries, walkforward
 from tidemark.plans import views
 from tidemark.plans.oracle_views import metrics_of
 from tidemark.plans.registry import registered, rounded
+from tidemark.session import materialize
 
 KEYS = views.KEYS
 RATES = ["accuracy", "balanced_accuracy", "precision_up", "recall_up", "f1_up", "mcc", "recall_not_up", "roc_auc"]
@@ -100,7 +101,7 @@ def audit_summary(spark: SparkSession, folder: str) -> DataFrame:
   SELECT series_id, ds, px, round(real_return_h21, 6) AS real_return_h21, y_true, proba_up, block_id, model FROM rule_log
   WHERE model = (SELECT model FROM summary ORDER BY mean_balanced_accuracy DESC, mean_roc_auc DESC, model LIMIT 1)""")
 def best_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    log = rule_log(spark, folder)
+    log = materialize(rule_log(spark, folder))
     best = leaderboard.best_config(leaderboard.classification_summary(rules.rule_baselines(log, KEYS)))
     rows = leaderboard.of_configs(log, best)
     kept = rows.select("series_id", "ds", "px", "real_return_h21", "y_true", "proba_up", "block_id", "model")
@@ -112,7 +113,7 @@ def best_predictions(spark: SparkSession, folder: str) -> DataFrame:
   WHERE model IN (SELECT model FROM summary ORDER BY mean_balanced_accuracy DESC, mean_roc_auc DESC, model LIMIT 3)
   QUALIFY row_number() OVER (PARTITION BY model ORDER BY ds DESC, series_id) <= 240""")
 def top_config_sample(spark: SparkSession, folder: str) -> DataFrame:
-    log = rule_log(spark, folder)
+    log = materialize(rule_log(spark, folder))
     summary = leaderboard.classification_summary(rules.rule_baselines(log, KEYS))
     sample = leaderboard.top_config_sample(log, summary, "ds", configs=3, rows=240, tiebreak=["series_id"])
     return sample.select("series_id", "ds", "model", "proba_up")
@@ -175,7 +176,7 @@ _LANG_SCORES = " lang_scores AS (SELECT lang, y_true, proba_up FROM scored JOIN
 
 def lang_scores(spark: SparkSession, folder: str) -> DataFrame:
     langs = views.table(spark, folder, "documents").select("doc_id", "lang")
-    return views.scored_labels(spark, folder).join(langs, "doc_id").select("lang", "y_true", "proba_up")
+    return materialize(views.scored_labels(spark, folder).join(langs, "doc_id").select("lang", "y_true", "proba_up"))
 
 
 @registered(_GRID.replace("WITH", "WITH" + _LANG_SCORES, 1) + " SELECT lang, step_no, round(threshold, 6) AS threshold FROM grid")
@@ -209,7 +210,7 @@ _FREQ = "1 / greatest(count(*) OVER (PARTITION BY series_id, coalesce({c}::VARCH
         least(greatest(exp(-ln(2) * age / (365.25 * 4)), 0.2), 1.0)]) AS v FROM c)
   SELECT series_id, ds, strategy, round(v / avg(v) OVER (PARTITION BY series_id, strategy), 6) AS weight FROM w""")
 def sample_weights(spark: SparkSession, folder: str) -> DataFrame:
-    log = views.prediction_log(spark, folder)
+    log = materialize(views.prediction_log(spark, folder))
     parts = [
         calibration.sample_weights(log, KEYS, "y_true", s).select("series_id", "ds", F.lit(s).alias("strategy"), "weight")
         for s in calibration.STRATEGIES
@@ -261,8 +262,6 @@ def walkforward_split_window(spark: SparkSession, folder: str) -> DataFrame:
   SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY s.score DESC, pos)::INT AS rank, feature, round(score, 6) AS score FROM s
   QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY s.score DESC, pos) <= 3""")
 def feature_rank(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
     wide = views.target_panel(spark, folder).withColumns(
         {
             "lag21": F.lag("px", 21).over(Window.partitionBy("series_id").orderBy("ds")),
@@ -271,7 +270,7 @@ def feature_rank(spark: SparkSession, folder: str) -> DataFrame:
     )
     names = ["fx", "oil", "px", "lag21", "gap"]
     cells = [F.struct(F.lit(n).alias("feature"), F.lit(i).alias("pos"), F.col(n).alias("value")) for i, n in enumerate(names)]
-    known = wide.where(F.col("target_up_h21").isNotNull())
+    known = materialize(wide.where(F.col("target_up_h21").isNotNull()))
     long = known.select("series_id", F.col("target_up_h21").alias("y"), F.inline(F.array(*cells)))
     return rounded(walkforward.rank_features(long, KEYS, "y", top=3, rows_per_slice=SMALL_SLICES * 10), 6, "score")
 
@@ -324,12 +323,12 @@ def _segment_sql(tall: str, both: bool) -> str:
       coalesce(unnest([cluster_abs::VARCHAR, cluster_chg::VARCHAR, policy_stance, lag1_cls, year::VARCHAR]), 'nan') AS segment FROM preds""", False))
 def segment_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Segments over all series: any of them may hold most rows, so scores are ranked by slices."""
-    log = views.prediction_log(spark, folder)
+    log = materialize(views.prediction_log(spark, folder))
     return rounded(summaries.segment_metrics(log, [], SEGMENTS, rows_per_slice=SMALL_SLICES * 10), 6, *SEGMENT_RATES)
 
 
 @registered(_segment_sql("""
     SELECT y_true, proba_up, pred_up_calibrated, 'periodo' AS segment_col, periodo AS segment FROM preds""", True))
 def period_performance(spark: SparkSession, folder: str) -> DataFrame:
-    log = views.prediction_log(spark, folder)
+    log = materialize(views.prediction_log(spark, folder))
     return rounded(summaries.segment_metrics(log, [], ["periodo"], two_classes=True), 6, *SEGMENT_RATES)

@@ -26,8 +26,9 @@ LEVELS = ["px", "fx", "oil", "lag1_score"]
 def cluster_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters span all series, so their medians are found by slices."""
     variables = ["px", "fx", "lag1_score"]
+    rows = materialize(views.regime_panel(spark, folder))
     made = summaries.cluster_profile(
-        views.regime_panel(spark, folder), "cluster_abs", "ds", variables, "future_logret_h21", rows_per_slice=2000
+        rows, "cluster_abs", "ds", variables, "future_logret_h21", rows_per_slice=2000
     )
     stats = [f"{v}_{s}" for v in variables for s in ("mean", "median", "std")]
     return rounded(rounded(made, 3, *stats), 6, "mean_future_return_h21", "positive_share_h21")
@@ -44,7 +45,7 @@ def transition_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def level_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return views.regime_panel(spark, folder).select("series_id", "ds", *LEVELS)
+    return materialize(views.regime_panel(spark, folder).select("series_id", "ds", *LEVELS))
 
 
 def change_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,7 +53,8 @@ def change_rows(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.operators.ordered import framed
 
     rows = views.regime_panel(spark, folder).select("series_id", "ds", *LEVELS)
-    return framed(rows, KEYS, "ds", lambda w: {f"{c}_chg": F.col(c) - F.lag(c, 21).over(w) for c in LEVELS}, back=21).drop(*LEVELS)
+    changes = framed(rows, KEYS, "ds", lambda w: {f"{c}_chg": F.col(c) - F.lag(c, 21).over(w) for c in LEVELS}, back=21)
+    return materialize(changes.drop(*LEVELS))
 
 
 @registered(f"""
@@ -120,7 +122,7 @@ def _nmi_sql(a: str, b: str) -> str:
   SELECT round({_nmi_sql("cluster_abs", "policy_stance").format(rows="regime")}, 6) AS nmi_policy_stance,
     round({_nmi_sql("cluster_abs", "lag1_cls").format(rows="regime")}, 6) AS nmi_class""")
 def nmi(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.regime_panel(spark, folder)
+    rows = materialize(views.regime_panel(spark, folder).select("cluster_abs", "policy_stance", "lag1_cls"))
     stance = regimes.nmi(rows, "cluster_abs", "policy_stance", "nmi_policy_stance").withColumn("one", F.lit(1))
     label = regimes.nmi(rows, "cluster_abs", "lag1_cls", "nmi_class").withColumn("one", F.lit(1))
     return rounded(stance.join(label, "one").drop("one"), 6, "nmi_policy_stance", "nmi_class")
