@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import materialize
+
 MAX_SLICES = 2048
 ROWS_PER_SLICE = 1_000_000
 _SLICE = "__slice"
@@ -136,7 +138,8 @@ def running(
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(*to_here)
         return df.select("*", *[c.within(w).alias(name) for name, c in columns.items()])
 
-    sliced = add_slice(df, order, cuts)
+    # Read twice below; written once so that chained operators do not repeat their input.
+    sliced = materialize(add_slice(df, order, cuts))
     parts = sliced.groupBy(*keys, _SLICE).agg(*[c.per_slice(order).alias(f"__p_{n}") for n, c in columns.items()])
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(
@@ -221,7 +224,7 @@ def exact_quantiles(
     if not cuts:
         return rows.groupBy(*keys).agg(*[F.percentile("__v", F.lit(p)).alias(n) for n, p in quantiles.items()])
 
-    sliced = add_slice(rows, "__v", cuts)
+    sliced = materialize(add_slice(rows, "__v", cuts))
     sizes = sliced.groupBy(*keys, _SLICE).agg(F.count("*").alias("__n"))
     up_to = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = sizes.select(
