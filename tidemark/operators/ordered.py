@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from tidemark.session import materialize
 
+FIRST_SLICES = 64
 MAX_SLICES = 2048
 ROWS_PER_SLICE = 1_000_000
 _SLICE = "__slice"
@@ -50,17 +51,25 @@ def calendar_bounded(df: DataFrame, order: str) -> bool:
 def cut_points(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
     """Inner slice borders; empty when all rows fit into one slice.
 
-    One scan with map-side sketches. The driver receives at most ``MAX_SLICES``
-    numbers whatever the size of the data. Borders are literals in the plan, so a
-    recomputed task cuts the rows exactly as the first run did.
+    One scan with map-side sketches, a second one when more than ``FIRST_SLICES`` are
+    needed. The driver receives at most ``MAX_SLICES`` numbers whatever the size of the
+    data. Borders are literals in the plan, so a recomputed task cuts the rows exactly
+    as the first run did.
     """
     value = axis_value(df, order)
-    probabilities = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-    n, cuts = df.agg(F.count(value), F.percentile_approx(value, probabilities, 20_000)).first()
+
+    def borders(parts: int) -> tuple[int, list[float]]:
+        shares = [i / parts for i in range(1, parts)]
+        return df.agg(F.count(value), F.percentile_approx(value, shares, 20_000)).first()
+
+    n, cuts = borders(FIRST_SLICES)
     slices = min(MAX_SLICES, math.ceil(n / rows_per_slice))
     if slices <= 1:
         return []
-    picked = (cuts[round(MAX_SLICES * i / slices) - 1] for i in range(1, slices))
+    if slices > FIRST_SLICES:
+        _, cuts = borders(slices)
+    parts = len(cuts) + 1
+    picked = (cuts[round(parts * i / slices) - 1] for i in range(1, slices))
     return sorted(set(picked))
 
 
