@@ -92,3 +92,27 @@ def test_score_refuses_a_panel_without_the_features(spark, tmp_path):
     models.save_bundle(spark, str(tmp_path), Saved(), inputs, models.Config("XGBClassifier"), 0.5)
     with pytest.raises(ValueError, match="lacks"):
         models.score_latest(spark, str(tmp_path), spark.range(1), ["a"], ["id"])
+
+
+def test_append_and_replace(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "v int, config_key string")
+    path = files.append_table(rows, str(tmp_path / "t"))
+    files.append_table(rows.where("v = 1"), path)
+    assert spark.read.parquet(path).count() == 3
+    files.replace_partitions(rows.where("v = 1"), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_experiment_resumes(spark, folder, tmp_path):
+    from tidemark.plans import experiment, regime_queries
+
+    panel = materialize(regime_queries.model_panel(spark, folder))
+    configs = experiment.selected_configs(spark).where(F.col("tag") == "referencia_colombia_only_XGB_all_recency")
+    panels = {"colombia_only": (panel, regime_queries.MODEL_FEATURES)}
+    settings = {"keys": ["series_id"], "start": "2000-07-01", "trees": 2}
+    done = experiment.run_experiment(configs, panels, str(tmp_path), **settings)
+    assert len(done) == 1 and experiment.run_experiment(configs, panels, str(tmp_path), **settings) == []
+    results = spark.read.parquet(f"{tmp_path}/results")
+    log = spark.read.parquet(f"{tmp_path}/predictions")
+    assert results.agg(F.sum("n_test")).first()[0] == log.count() > 0
+    assert experiment.selected_configs(spark).count() == 15

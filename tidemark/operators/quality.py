@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import effective_frequency, ratio, sanitize
+from tidemark.functions.markers import is_context
 from tidemark.operators.panel import to_long, union_rows
 
 
@@ -45,7 +46,11 @@ def missingness(df: DataFrame, candidates: Sequence[str] = (), approximate: bool
     )
     type_of = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
     return sums.withColumns(
-        {"dtype": type_of[F.col("column")], "is_feature_candidate": F.col("column").isin(list(candidates))}
+        {
+            "dtype": type_of[F.col("column")],
+            "is_feature_candidate": F.col("column").isin(list(candidates)),
+            "is_global": is_context(F.col("column")),
+        }
     )
 
 

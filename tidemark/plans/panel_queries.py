@@ -454,11 +454,11 @@ def feature_catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered("""
   SELECT "column", dtype, count(*) AS n, count(*) FILTER (v IS NULL) AS n_missing, round(avg((v IS NULL)::INT), 6) AS pct_missing,
-    count(DISTINCT v) AS n_unique, "column" IN ('px', 'fx', 'oil') AS is_feature_candidate
-  FROM (SELECT unnest(['series_id', 'ds', 'px', 'fx', 'oil', 'future_price_h21', 'target_up_h21']) AS "column",
+    count(DISTINCT v) AS n_unique, "column" IN ('px', 'gld_close', 'oil') AS is_feature_candidate, contains("column", 'gld') AS is_global
+  FROM (SELECT unnest(['series_id', 'ds', 'px', 'gld_close', 'oil', 'future_price_h21', 'target_up_h21']) AS "column",
       unnest(['string', 'date', 'double', 'double', 'double', 'double', 'int']) AS dtype,
       unnest([series_id, ds::VARCHAR, px::VARCHAR, fx::VARCHAR, oil::VARCHAR, future_price_h21::VARCHAR, target_up_h21::VARCHAR]) AS v FROM target)
   GROUP BY 1, 2""")
 def missingness(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.target_panel(spark, folder).drop("future_logret_h21")
-    return rounded(quality.missingness(rows, ["px", "fx", "oil"]), 6, "pct_missing")
+    rows = views.target_panel(spark, folder).drop("future_logret_h21").withColumnRenamed("fx", "gld_close")
+    return rounded(quality.missingness(rows, ["px", "gld_close", "oil"]), 6, "pct_missing")

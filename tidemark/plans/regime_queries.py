@@ -181,7 +181,7 @@ def _config(model: str = "XGBClassifier", **settings) -> models.Config:
 @registered()
 def walkforward_model(spark: SparkSession, folder: str) -> DataFrame:
     results, _, _ = models.walkforward(
-        model_panel(spark, folder), MODEL_FEATURES, _config(weight_strategy="balanced"), KEYS, start="1999-01-01", months=12
+        model_panel(spark, folder), MODEL_FEATURES, _config(weight_strategy="balanced"), KEYS, start="2000-07-01", months=6
     )
     return results
 
@@ -189,7 +189,7 @@ def walkforward_model(spark: SparkSession, folder: str) -> DataFrame:
 @registered()
 def magnitude_model(spark: SparkSession, folder: str) -> DataFrame:
     results, _ = models.magnitude(
-        model_panel(spark, folder), MODEL_FEATURES, _config("XGBRegressor"), KEYS, start="1999-01-01", months=12
+        model_panel(spark, folder), MODEL_FEATURES, _config("XGBRegressor"), KEYS, start="2000-07-01", months=6
     )
     return results
 

@@ -155,7 +155,7 @@ def scored_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Raw events by type: few keys, each with a large and unbounded share of the rows."""
-    return table(spark, folder, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    return table(spark, folder, "events").select("event_type", "ts", "event_id", "value")
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:

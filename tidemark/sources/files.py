@@ -53,3 +53,10 @@ def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("confi
     """Add rows to a table, one folder per configuration."""
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
     return path
+
+
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str] = ("config_key",)) -> str:
+    """Write rows and replace only the folders they belong to, so a repeated run leaves no copies."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+    return path

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.files import append_table
+from tidemark.sources.files import replace_partitions
 
 LEDGER_SCHEMA = "config_key string"
 
@@ -45,14 +45,15 @@ def run_pending(
     """Run what is not finished; results first, the ledger entry after them.
 
     The driver loops over configurations (a handful of rows); each run is a Spark
-    job of its own. A run that fails leaves no ledger entry and is tried again.
+    job of its own. A run that fails leaves no ledger entry; it is tried again and
+    replaces the results it left behind.
     """
     spark = configs.sparkSession
     todo = [r.asDict() for r in pending(configs, read_ledger(spark, ledger_path)).collect()]
     for config in todo:
         result = run(config)
         if result is not None:
-            append_table(result.withColumn("config_key", F.lit(config["config_key"])), results_path)
+            replace_partitions(result.withColumn("config_key", F.lit(config["config_key"])), results_path)
         done = spark.createDataFrame([(config["config_key"],)], LEDGER_SCHEMA)
         done.write.mode("append").parquet(ledger_path)
     return [c["config_key"] for c in todo]
