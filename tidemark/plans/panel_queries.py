@@ -142,10 +142,10 @@ def calendar_features(spark: SparkSession, folder: str) -> DataFrame:
 @registered("""
   SELECT series_id, ds, rate_change, CASE WHEN rate_change > 0.05 THEN 'tightening' WHEN rate_change < -0.05 THEN 'easing'
     ELSE 'neutral' END AS policy_stance
-  FROM (SELECT series_id, ds, round(px / 100000 - lag(px / 100000, 30) OVER (PARTITION BY series_id ORDER BY ds), 6) AS rate_change FROM price)""")
+  FROM (SELECT series_id, ds, round(px / 100000 - lag(px / 100000, 30) OVER (PARTITION BY series_id ORDER BY ds), 8) AS rate_change FROM price)""")
 def policy_stance(spark: SparkSession, folder: str) -> DataFrame:
     rate = F.col("px") / 100000
-    rows = views.price_panel(spark, folder).withColumn("rate_change", F.round(rate - F.lag(rate, 30).over(by_series()), 6))
+    rows = views.price_panel(spark, folder).withColumn("rate_change", F.round(rate - F.lag(rate, 30).over(by_series()), 8))
     return rows.withColumn("policy_stance", stance_of(F.col("rate_change"))).drop("px")
 
 
