@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import systematic_mix
+from tidemark.llm import secret_index, suffix_decontam, systematic_mix
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_secret_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in each document."""
+    return secret_index.secret_table(table(spark, folder, "documents"))
+
+
 def op6_systematic_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     return systematic_mix.mix_table(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op6_systematic_mix": op6_systematic_mix}
-ORACLES: dict[str, str] = {"op6_systematic_mix": systematic_mix.MIX_SQL}
+def op7_suffix_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document that benchmark items hit, and the verdict."""
+    found = suffix_decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_secret_index, op6_systematic_mix, op7_suffix_decontam)}
+ORACLES: dict[str, str] = {"op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL}
