@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import secret_index, suffix_decontam, systematic_mix
+from tidemark.llm import line_frequency, secret_index, suffix_decontam, systematic_mix
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op3_secret_index(spark: SparkSession, folder: str) -> DataFrame:
     return secret_index.secret_table(table(spark, folder, "documents"))
 
 
+def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of the quality rules for each document."""
+    return line_frequency.quality(table(spark, folder, "documents"))
+
+
 def op6_systematic_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     return systematic_mix.mix_table(table(spark, folder, "documents"))
@@ -28,5 +33,5 @@ def op7_suffix_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_secret_index, op6_systematic_mix, op7_suffix_decontam)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam)}
 ORACLES: dict[str, str] = {"op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL}

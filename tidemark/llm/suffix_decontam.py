@@ -269,18 +269,18 @@ WITH doc AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
   FROM benchmark WHERE text IS NOT NULL
 ), cut AS (
-  SELECT item_id, words, least(13, len(words)) AS size, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS at FROM item WHERE len(words) > 0
+  SELECT item_id, words, least(13, len(words)) AS size, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS pos FROM item WHERE len(words) > 0
 ), windows AS (
-  SELECT DISTINCT item_id, size, array_to_string(words[at:at + size - 1], ' ') AS gram FROM cut
+  SELECT DISTINCT item_id, size, array_to_string(words[pos:pos + size - 1], ' ') AS gram FROM cut
 ), place AS (
-  SELECT row_id, words, unnest(range(1, len(words) + 1)) AS at FROM doc
+  SELECT row_id, words, unnest(range(1, len(words) + 1)) AS pos FROM doc
 ), grams AS (
-  SELECT row_id, at, size, array_to_string(words[at:at + size - 1], ' ') AS gram
-  FROM place, (SELECT DISTINCT size FROM windows) WHERE at + size - 1 <= len(words)
+  SELECT row_id, pos, size, array_to_string(words[pos:pos + size - 1], ' ') AS gram
+  FROM place, (SELECT DISTINCT size FROM windows) WHERE pos + size - 1 <= len(words)
 ), hit AS (
-  SELECT row_id, at, g.size, item_id FROM grams g JOIN windows w ON g.size = w.size AND g.gram = w.gram
+  SELECT row_id, pos, g.size, item_id FROM grams g JOIN windows w ON g.size = w.size AND g.gram = w.gram
 ), spots AS (
-  SELECT DISTINCT row_id, unnest(range(at, at + size)) AS spot FROM hit
+  SELECT DISTINCT row_id, unnest(range(pos, pos + size)) AS spot FROM hit
 ), counted AS (
   SELECT row_id, count(*) AS n_hit FROM spots GROUP BY row_id
 ), named AS (
