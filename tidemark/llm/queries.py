@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import line_frequency, secret_index, suffix_decontam, systematic_mix
+from tidemark.llm import covering_simhash, line_frequency, secret_index, suffix_decontam, systematic_mix
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,5 +33,10 @@ def op7_suffix_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam)}
+def op9_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of each document."""
+    return covering_simhash.group_table(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam, op9_covering_simhash)}
 ORACLES: dict[str, str] = {"op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL}
