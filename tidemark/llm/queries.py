@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import covering_simhash, line_frequency, secret_index, suffix_decontam, systematic_mix
+from tidemark.llm import covering_simhash, language_crf, line_frequency, secret_index, suffix_decontam, systematic_mix
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of each document."""
+    return language_crf.language_table(table(spark, folder, "documents"))
+
+
 def op3_secret_index(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in each document."""
     return secret_index.secret_table(table(spark, folder, "documents"))
@@ -38,5 +43,5 @@ def op9_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return covering_simhash.group_table(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam, op9_covering_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_crf, op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam, op9_covering_simhash)}
 ORACLES: dict[str, str] = {"op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL}
