@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import covering_simhash, language_crf, line_frequency, secret_index, suffix_decontam, systematic_mix
+import corpus_pipeline
+from tidemark.llm import covering_simhash, language_crf, line_frequency, secret_index, suffix_decontam, systematic_mix, winnow_lines
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,5 +44,20 @@ def op9_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return covering_simhash.group_table(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_crf, op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam, op9_covering_simhash)}
-ORACLES: dict[str, str] = {"op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL}
+def op10_winnow_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document without runs of lines that occur earlier."""
+    return winnow_lines.dedup_table(table(spark, folder, "documents"))
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The stages of the corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_language_crf, op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam, op9_covering_simhash, op10_winnow_lines, pipeline)
+}
+ORACLES: dict[str, str] = {
+    "op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL, "op10_winnow_lines": winnow_lines.WINNOW_SQL,
+}
