@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import covering_simhash, language_crf, line_frequency, secret_index, suffix_decontam, systematic_mix, winnow_lines
+from tidemark.llm import covering_simhash, language_crf, line_frequency, secret_index, suffix_decontam, suffix_dedup, systematic_mix, winnow_lines
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op7_suffix_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of each document that a string repeated elsewhere covers, and a digest of the rest."""
+    return suffix_dedup.dedup_table(table(spark, folder, "documents"))
+
+
 def op9_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of each document."""
     return covering_simhash.group_table(table(spark, folder, "documents"))
@@ -56,7 +61,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_crf, op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam, op9_covering_simhash, op10_winnow_lines, pipeline)
+    for f in (op1_language_crf, op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam, op8_suffix_dedup, op9_covering_simhash, op10_winnow_lines, pipeline)
 }
 ORACLES: dict[str, str] = {
     "op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL, "op10_winnow_lines": winnow_lines.WINNOW_SQL,
