@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import covering_simhash, language_crf, line_frequency, secret_index, suffix_decontam, suffix_dedup, systematic_mix, winnow_lines
+from tidemark.llm import chunk_dedup, covering_simhash, language_crf, line_frequency, secret_index, suffix_decontam, suffix_dedup, systematic_mix, winnow_lines
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_language_crf(spark: SparkSession, folder: str) -> DataFrame:
     return language_crf.language_table(table(spark, folder, "documents"))
 
 
+def op2_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document without stretches of chunks that occur earlier."""
+    return chunk_dedup.dedup_table(table(spark, folder, "documents"))
+
+
 def op3_secret_index(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in each document."""
     return secret_index.secret_table(table(spark, folder, "documents"))
@@ -61,7 +66,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_crf, op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam, op8_suffix_dedup, op9_covering_simhash, op10_winnow_lines, pipeline)
+    for f in (op1_language_crf, op2_chunk_dedup, op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam, op8_suffix_dedup, op9_covering_simhash, op10_winnow_lines, pipeline)
 }
 ORACLES: dict[str, str] = {
     "op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL, "op10_winnow_lines": winnow_lines.WINNOW_SQL,
