@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import chunk_dedup, covering_simhash, language_crf, line_frequency, secret_index, suffix_decontam, suffix_dedup, systematic_mix, winnow_lines
+from tidemark.llm import chunk_dedup, covering_simhash, language_crf, line_frequency, quote_links, secret_index, suffix_decontam, suffix_dedup, systematic_mix, winnow_lines
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return line_frequency.quality(table(spark, folder, "documents"))
 
 
+def op5_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    """All messages without quotes, in reply order."""
+    return quote_links.reply_ordered(table(spark, folder, "conversations"))
+
+
 def op6_systematic_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     return systematic_mix.mix_table(table(spark, folder, "documents"))
@@ -66,8 +71,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_crf, op2_chunk_dedup, op3_secret_index, op4_line_frequency, op6_systematic_mix, op7_suffix_decontam, op8_suffix_dedup, op9_covering_simhash, op10_winnow_lines, pipeline)
+    for f in (op1_language_crf, op2_chunk_dedup, op3_secret_index, op4_line_frequency, op5_quote_links, op6_systematic_mix, op7_suffix_decontam, op8_suffix_dedup, op9_covering_simhash, op10_winnow_lines, pipeline)
 }
 ORACLES: dict[str, str] = {
-    "op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL, "op10_winnow_lines": winnow_lines.WINNOW_SQL,
+    "op5_quote_links": quote_links.LINK_SQL, "op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL, "op10_winnow_lines": winnow_lines.WINNOW_SQL,
 }
