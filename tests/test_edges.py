@@ -3,11 +3,14 @@
 import datetime
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns, markers, names
+from tidemark.functions.columns import one_hot
 from tidemark.operators import backtest, calibration, features, metrics, models, panel, quality, regimes, summaries, walkforward
+from tidemark.operators.ordered import Running, cut_points, running
 
 DAY = datetime.date(2020, 1, 1)
 
@@ -241,15 +244,34 @@ def test_segments_need_twenty_rows(spark):
 def test_cluster_scores_against_plain_loops(spark):
     pts = [(i, i % 3, math.cos(i) + 4 * (i % 3), math.sin(i * 1.7)) for i in range(60)]
     df = spark.createDataFrame([(i, l, float(x), float(y)) for i, l, x, y in pts], "id int, l int, x double, y double")
-    row = regimes.cluster_scores(regimes.score_sample(df, ["id"]), ["x", "y"], "l").first()
+    row = regimes.cluster_scores(df, ["x", "y"], "l").first()
     widths = []
     for i, l, x, y in pts:
-        means = {m: [math.hypot(x - a, y - b) for j, k, a, b in pts if k == m and j != i] for m in range(3)}
+        means = {m: [(x - a) ** 2 + (y - b) ** 2 for j, k, a, b in pts if k == m and j != i] for m in range(3)}
         means = {m: sum(v) / len(v) for m, v in means.items()}
         other = min(v for m, v in means.items() if m != l)
         widths.append((other - means[l]) / max(other, means[l]))
     assert row["silhouette"] == pytest.approx(sum(widths) / len(widths))
-    assert row["sample_size"] == 60 and row["n_clusters"] == 3
+    assert row["n_rows"] == 60 and row["n_clusters"] == 3
+
+
+def test_cluster_scores_of_many_points_and_dimensions(spark):
+    """No sample: 5,000 points of 20 dimensions give what numpy gives for all of them."""
+    draw = np.random.RandomState(1)
+    points, labels = draw.randn(5000, 20), draw.randint(0, 4, 5000)
+    points[:, 7] += labels
+    names = [f"d{i}" for i in range(20)]
+    df = spark.createDataFrame([(*map(float, p), str(l)) for p, l in zip(points, labels)], ", ".join(f"{n} double" for n in names) + ", l string")
+    row = regimes.cluster_scores(df, names, "l").first()
+    centres = np.array([points[labels == m].mean(axis=0) for m in range(4)])
+    sizes = np.bincount(labels)
+    within = ((points - centres[labels]) ** 2).sum()
+    between = (sizes * ((centres - points.mean(axis=0)) ** 2).sum(axis=1)).sum()
+    radius = np.array([np.sqrt(((points[labels == m] - centres[m]) ** 2).sum(axis=1)).mean() for m in range(4)])
+    gaps = np.sqrt(((centres[:, None] - centres) ** 2).sum(axis=2))
+    worst = [max((radius[a] + radius[b]) / gaps[a, b] for b in range(4) if b != a) for a in range(4)]
+    assert row["n_rows"] == 5000 and row["calinski_harabasz"] == pytest.approx(between * 4996 / (within * 3))
+    assert row["davies_bouldin"] == pytest.approx(np.mean(worst))
 
 
 def test_nmi_of_equal_and_constant_labels(spark):
@@ -276,6 +298,60 @@ def test_transition_rows_sum_to_one(spark):
         assert row["0"] + row["1"] + row["2"] == pytest.approx(1.0)
 
 
+def test_categories_are_never_lost(spark):
+    df = spark.createDataFrame([("s", d, i % 4) for i, d in enumerate(days(40))], "k string, ds date, c int")
+    rows = {r["from_cluster"]: r.asDict() for r in summaries.transition_matrix(df, ["k"], "ds", "c").collect()}
+    assert set(rows) == set("0123") and rows["2"]["3"] == 1.0
+    with pytest.raises(Exception, match="without a category"):
+        summaries.transition_matrix(df, ["k"], "ds", "c", ["0", "1", "2"]).collect()
+    with pytest.raises(Exception, match="without a category"):
+        df.select(*one_hot(F.col("c"), ["0", "1"], "c").values()).collect()
+    with pytest.raises(Exception, match="without a category"):
+        panel.wide_by_source(df.select("ds", F.col("k").alias("source"), "c"), "ds", "source", ["c"], ["t"]).collect()
+
+
+def test_weights_keep_every_row(spark):
+    rows = [(i % 2 if i else None, d if i != 5 else None, i % 3) for i, d in enumerate(days(30))]
+    df = spark.createDataFrame(rows, "y int, ds date, cluster_abs int")
+    for strategy in calibration.STRATEGIES:
+        made = calibration.sample_weights(df, [], "y", strategy).collect()
+        assert len(made) == 30
+        missing = [r for r in made if r["weight"] is None]
+        assert len(missing) == (0 if strategy == "none" else 1)
+        known = [r["weight"] for r in made if r["weight"] is not None]
+        assert sum(known) / len(known) == pytest.approx(1.0)
+
+
+def test_final_weights_are_the_runners(spark):
+    """The logistic family is balanced on top of its strategy, and its penalty follows the sum of weights."""
+    rows = [(float(i % 3 == 0), d, [float(i % 7), float(i % 5)]) for i, d in enumerate(days(60))]
+    df = spark.createDataFrame(rows, "y double, ds date, x array<double>")
+    for model in ("LogisticRegression", "XGBClassifier"):
+        config = models.Config(model, weight_strategy="recency_4y", trees=2)
+        w = {r["ds"]: r["w"] for r in models.training_weights(df, config, "ds").collect()}
+        plain = {r["ds"]: r["weight"] for r in calibration.sample_weights(df, [], "y", "recency_4y").collect()}
+        balanced = {r["ds"]: r["weight"] for r in calibration.sample_weights(df, [], "y", "balanced").collect()}
+        assert all(w[d] == pytest.approx(plain[d] * (balanced[d] if model == "LogisticRegression" else 1)) for d in w)
+    total = sum(plain[d] * balanced[d] for d in plain)
+    fitted = models.train(df, models.Inputs(["a", "b"], [0, 1], [0.0, 0.0]), models.Config("LogisticRegression", weight_strategy="recency_4y"), "ds")
+    assert fitted.stages[0].stages[-1].getRegParam() == pytest.approx(1 / (0.5 * total))
+
+
+def test_small_keys_are_not_sliced(spark):
+    df = spark.createDataFrame([(k, float(i)) for k in range(300) for i in range(4)], "k int, v double")
+    assert cut_points(df, "v", 100, ["k"]) == [] and cut_points(df, "v", 100)
+    assert len(cut_points(df.withColumn("v", F.rand(1)), "v", 1)) > 1000
+
+
+def test_ties_are_ordered(spark):
+    rows = [("k", i // 5, 99 - i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, t long, id long")
+    for per_slice in (10, 1000):
+        made = running(df, ["k"], "t", {"last": Running("last", F.col("id")), "n": Running("count", F.lit(1))}, rows_per_slice=per_slice, ties=["id"]).collect()
+        order = sorted((t, i) for _, t, i in rows)
+        assert {(r["t"], r["id"]): (r["n"], r["last"]) for r in made} == {(t, i): (n + 1, i) for n, (t, i) in enumerate(order)}
+
+
 def test_dedup_is_ordered(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, None)], "k string, o int, v string")
     assert {(r["k"], r["v"]) for r in panel.dedup(df, ["k"], ["o"]).collect()} == {("a", "y"), ("b", None)}

@@ -97,7 +97,21 @@ def sample_kurtosis(kurtosis: Column, n: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurtosis + 6))
 
 
+def one_of(x: Column, values: Sequence[str]) -> Column:
+    """``x`` itself; a value that is neither NULL nor one of ``values`` stops the job with an error."""
+    unlisted = F.raise_error(F.concat(F.lit("value without a category: "), x.cast("string")))
+    return F.when(x.isNull() | x.isin(list(values)), x).otherwise(unlisted.cast("string"))
+
+
 def one_hot(x: Column, values: Sequence[str], prefix: str) -> dict[str, Column]:
-    """0/1 columns for known categories; NULL is the category ``nan``."""
-    named = F.coalesce(x.cast("string"), F.lit("nan"))
+    """0/1 columns for the listed categories; NULL is the category ``nan``.
+
+    ``values`` must be all categories but ``nan``; see ``indicator`` for a single one.
+    """
+    named = F.coalesce(one_of(x.cast("string"), values), F.lit("nan"))
     return {f"{prefix}_{v}": (named == v).cast("double") for v in values}
+
+
+def indicator(x: Column, value: str) -> Column:
+    """1.0 where ``x`` is ``value``, else 0.0; NULL is the value ``nan``."""
+    return (F.coalesce(x.cast("string"), F.lit("nan")) == value).cast("double")

@@ -79,7 +79,7 @@ def backtest(
         rows = rows.where(F.col(ts) <= F.lit(end).cast("date"))
     base = [*keys, ts, price, "proba_up", "threshold", "pred_return_direct"]
     rows = rows.select(*base, "pred_up_calibrated")
-    slicing = {"rows_per_slice": rows_per_slice, "cuts": axis_cuts(rows, ts, rows_per_slice)}
+    slicing = {"rows_per_slice": rows_per_slice, "cuts": axis_cuts(rows, ts, rows_per_slice, keys)}
 
     def next_row(w: WindowSpec) -> dict[str, Column]:
         return {
@@ -195,7 +195,7 @@ def quick_backtest(
 ) -> DataFrame:
     """Final capital and worst drawdown: holding against trading on yesterday's signal."""
     known = preds.where(F.col(price).isNotNull()).select(*keys, ts, price, signal)
-    slicing = {"rows_per_slice": rows_per_slice, "cuts": axis_cuts(known, ts, rows_per_slice)}
+    slicing = {"rows_per_slice": rows_per_slice, "cuts": axis_cuts(known, ts, rows_per_slice, keys)}
 
     def columns(w: WindowSpec) -> dict[str, Column]:
         change = F.coalesce(ratio(F.col(price), F.lag(price, 1).over(w)) - 1, F.lit(0.0))

@@ -103,7 +103,9 @@ def sample_weights(
     """Add training weights with mean 1 per group.
 
     A weight depends only on a row's class, categories or day, so it is worked out
-    on counts per such cell and joined back; no window ever spans a whole group.
+    on counts per such cell and joined back; no window ever spans a whole group. Every
+    row stays: one without the class or day that the strategy needs has no weight (NULL)
+    and no part in those of others.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown weight strategy: {strategy}")
@@ -120,7 +122,8 @@ def sample_weights(
     if strategy == "recency_4y":
         cell = {"__day": F.col(day)}
     tagged = df.withColumns(cell)
-    cells = tagged.groupBy(*by, *cell).agg(F.count("*").alias("__n"))
+    needed = "__day" if "__day" in cell else "__y"
+    cells = tagged.where(F.col(needed).isNotNull()).groupBy(*by, *cell).agg(F.count("*").alias("__n"))
     group = Window.partitionBy(*by)
     n = F.sum("__n").over(group)
 
@@ -151,4 +154,4 @@ def sample_weights(
         else:
             weighted = cells.withColumn("__w", F.col("__class"))
     weights = normed(weighted, "__w").select(*by, *cell, F.col("__w").alias(name))
-    return tagged.join(weights, [*by, *cell]).select(*df.columns, name)
+    return tagged.join(weights, [*by, *cell], "left").select(*df.columns, name)

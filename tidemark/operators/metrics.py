@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio, sanitize
 from tidemark.operators.ordered import ROWS_PER_SLICE, Running, cut_points, running
+from tidemark.session import materialize
 
 CELLS = ("tn", "fp", "fn", "tp")
 
@@ -63,13 +64,15 @@ def evaluate(
 ) -> DataFrame:
     """One row per group: confusion cells, metrics and the tie-aware ROC AUC.
 
-    Rows are first folded to one row per score. The AUC needs the negatives below
-    each score, a running total over scores that is cut into slices when a group
-    can hold many scores; ``bounded`` states that it cannot (daily rows of a key).
+    Rows are first folded to one row per score, and that is written once. The AUC needs
+    the negatives below each score, a running total over scores that is cut into slices
+    when a group has many different scores; ``bounded`` states that it cannot (daily
+    rows of a key).
     """
     known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & F.col(pred).isNotNull())
-    cuts = [] if bounded else cut_points(known, score, rows_per_slice)
     folded = known.groupBy(*by, score).agg(*confusion_columns(label, pred))
+    folded = folded if bounded else materialize(folded)
+    cuts = [] if bounded else cut_points(folded, score, rows_per_slice, by)
     negatives = F.col("tn") + F.col("fp")
     ranked = running(folded, by, score, {"__neg_to": Running("total", negatives)}, cuts=cuts)
     wins = (F.col("tp") + F.col("fn")).cast("double") * (F.col("__neg_to") - negatives / 2)

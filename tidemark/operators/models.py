@@ -47,8 +47,12 @@ class Config:
     trees: int | None = None
 
 
-def estimator(config: Config, label: str = "y", weight: str = "w", rows: int | None = None):
-    """The MLlib counterpart of a model name, with the published settings."""
+def estimator(config: Config, label: str = "y", weight: str = "w", total_weight: float | None = None):
+    """The MLlib counterpart of a model name, with the published settings.
+
+    ``total_weight`` is the sum of training weights, by which the logistic penalty is set:
+    MLlib divides the loss by it.
+    """
     # Trees of the full and the fast profile, depth and rate of each family.
     trees = {
         "XGBClassifier": (320, 80),
@@ -60,7 +64,7 @@ def estimator(config: Config, label: str = "y", weight: str = "w", rows: int | N
     many = config.trees or trees.get(config.model, (0, 0))[config.fast]
     shared = {"featuresCol": "v", "labelCol": label, "weightCol": weight}
     if config.model == "XGBClassifier":
-        return GBTClassifier(maxIter=many, maxDepth=3, stepSize=0.035, subsamplingRate=0.85, seed=SEED, **shared)
+        return GBTClassifier(maxIter=many, maxDepth=3, stepSize=0.035, subsamplingRate=0.85, featureSubsetStrategy="0.85", minInstancesPerNode=3, seed=SEED, **shared)
     if config.model == "HistGradientBoostingClassifier":
         return GBTClassifier(maxIter=many, maxDepth=5, stepSize=0.035, seed=SEED, **shared)
     if config.model == "RandomForestClassifier":
@@ -68,21 +72,27 @@ def estimator(config: Config, label: str = "y", weight: str = "w", rows: int | N
         return RandomForestClassifier(seed=SEED, **forest, **shared)
     if config.model == "LogisticRegression":
         scaled = StandardScaler(inputCol="v", outputCol="vs", withMean=True)
-        linear = LogisticRegression(maxIter=200, regParam=1 / (0.5 * (rows or 1)), **{**shared, "featuresCol": "vs"})
+        linear = LogisticRegression(maxIter=2000, regParam=1 / (0.5 * (total_weight or 1.0)), **{**shared, "featuresCol": "vs"})
         return Pipeline(stages=[scaled, linear])
     if config.model == "XGBRegressor":
-        return GBTRegressor(maxIter=many, maxDepth=3, stepSize=0.035, subsamplingRate=0.85, seed=SEED, **shared)
+        return GBTRegressor(maxIter=many, maxDepth=3, stepSize=0.035, subsamplingRate=0.85, featureSubsetStrategy="0.85", minInstancesPerNode=3, seed=SEED, **shared)
     if config.model == "RandomForestRegressor":
         return RandomForestRegressor(numTrees=many, minInstancesPerNode=4, maxDepth=20, seed=SEED, **shared)
     raise ValueError(f"unknown model: {config.model}")
 
 
 def feature_arrays(long: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """``(ids, feature, value)`` to one array per row, ordered like ``features``."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("feature", "value")))
-    wanted = F.array(*[F.lit(f) for f in features])
-    known = long.where(F.col("feature").isin(list(features)))
-    return known.groupBy(*ids).agg(pairs.alias("m")).select(*ids, F.transform(wanted, lambda f: F.col("m")[f]).alias("x"))
+    """``(ids, feature, value)`` to one array per row, ordered like ``features``; NULL where a row lacks one.
+
+    Names become positions by one hash lookup per value; a row's values, with the positions
+    it lacks, are then sorted by position.
+    """
+    places = long.sparkSession.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, pos int")
+    placed = long.join(F.broadcast(places), "feature").groupBy(*ids).agg(F.collect_list(F.struct("pos", "value")).alias("m"))
+    lacking = F.array_except(F.sequence(F.lit(0), F.lit(len(features) - 1)), F.transform("m", lambda p: p["pos"]))
+    gaps = F.transform(lacking, lambda i: F.struct(i.alias("pos"), F.lit(None).cast("double").alias("value")))
+    whole = F.array_sort(F.concat(F.col("m"), gaps))
+    return placed.select(*ids, F.transform(whole, lambda p: p["value"]).alias("x"))
 
 
 @dataclass(frozen=True)
@@ -100,18 +110,21 @@ class Inputs:
 
 
 def choose_inputs(fit: DataFrame, features: Sequence[str], label: str, top: int) -> Inputs:
-    """Rank features and take medians on the fit rows only; the driver gets one row per feature."""
+    """Rank features and take medians on the fit rows only; the driver gets one row per feature.
+
+    Values are folded once per feature for least, middle and greatest; ranking is a second
+    pass, for which only features that move are looked at.
+    """
     tall = fit.select(F.col(label).alias("y"), F.posexplode("x").alias("pos", "value"))
     tall = tall.withColumn("value", sanitize(F.col("value")))
-    stats = tall.groupBy("pos").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    moving = stats.where(F.col("lo") < F.col("hi")).select("pos")
-    usable = [r["pos"] for r in moving.orderBy("pos").collect()]
+    stats = {r["pos"]: r for r in exact_quantiles(tall, ["pos"], "value", {"lo": 0.0, "m": 0.5, "hi": 1.0}).collect()}
+    usable = sorted(pos for pos, r in stats.items() if r["lo"] < r["hi"])
+    fill = {pos: r["m"] for pos, r in stats.items()}
     if len(usable) > top:
-        named = tall.join(moving, "pos").withColumn("feature", F.col("pos").cast("string"))
+        moving = fit.sparkSession.createDataFrame([(pos,) for pos in usable], "pos int")
+        named = tall.join(F.broadcast(moving), "pos").withColumn("feature", F.col("pos").cast("string"))
         ranked = rank_features(named, [], "y", top).orderBy("rank").collect()
         usable = [int(r["feature"]) for r in ranked]
-    middle = exact_quantiles(tall.where(F.col("pos").isin(usable)), ["pos"], "value", {"m": 0.5}).collect()
-    fill = {r["pos"]: r["m"] for r in middle}
     return Inputs([features[i] for i in usable], usable, [fill.get(i, 0.0) for i in usable])
 
 
@@ -190,6 +203,23 @@ def _test_rows(panel: DataFrame, ts: str, split: Split) -> DataFrame:
     return panel.where((F.col(ts) >= F.lit(split.test_start)) & (F.col(ts) < F.lit(split.test_end)))
 
 
+def training_weights(fit: DataFrame, config: Config, ts: str) -> DataFrame:
+    """``fit`` (label ``y``) with its training weights ``w``, for blocks and for the final model alike."""
+    weighted = sample_weights(fit, [], "y", config.weight_strategy, day=ts, name="w")
+    if config.model != "LogisticRegression":
+        return weighted
+    # This family is always balanced, on top of the strategy.
+    balanced = sample_weights(weighted, [], "y", "balanced", name="__b")
+    return balanced.withColumn("w", F.col("w") * F.col("__b")).drop("__b")
+
+
+def train(fit: DataFrame, inputs: Inputs, config: Config, ts: str) -> PipelineModel:
+    """A model of ``config`` on ``fit``, which has the label ``y`` and the features ``x``."""
+    weighted = training_weights(fit, config, ts).withColumn("v", inputs.vector())
+    total = weighted.agg(F.sum("w")).first()[0] if config.model == "LogisticRegression" else None
+    return Pipeline(stages=[estimator(config, total_weight=total)]).fit(weighted)
+
+
 def walkforward(
     panel: DataFrame, features: Sequence[str], config: Config, keys: Sequence[str], ts: str = "ds", price: str = "px",
     start: str = "2020-05-01", months: int = 6, embargo_days: int = 0, parallel: int = 2,
@@ -207,17 +237,11 @@ def walkforward(
         raise ValueError("no block has enough training and test rows")
 
     def one(split: Split) -> tuple[DataFrame, DataFrame, DataFrame]:
-        train = _train_rows(known, ts, split, embargo_days).withColumn("y", F.col(label).cast("double"))
+        before = _train_rows(known, ts, split, embargo_days).withColumn("y", F.col(label).cast("double"))
         early = F.unix_date(ts) < split.cal_start_day
-        fit, cal, test = train.where(early), train.where(~early), _test_rows(known, ts, split)
+        fit, cal, test = before.where(early), before.where(~early), _test_rows(known, ts, split)
         inputs = choose_inputs(fit, features, "y", config.max_features)
-        weighted = sample_weights(fit, [], "y", config.weight_strategy, day=ts, name="w").withColumn("v", inputs.vector())
-        rows = fit.count() if config.model == "LogisticRegression" else None
-        if config.model == "LogisticRegression":
-            # This family is always balanced, on top of the strategy.
-            balanced = sample_weights(weighted, [], "y", "balanced", name="__b")
-            weighted = balanced.withColumn("w", F.col("w") * F.col("__b")).drop("__b")
-        model = estimator(config, rows=rows).fit(weighted)
+        model = train(fit, inputs, config, ts)
         scored_cal = model.transform(cal.withColumn("v", inputs.vector())).select("y", probability().alias("p"), F.lit(0).alias("g"))
         found = threshold_search(scored_cal, ["g"], "p", "y").first()
         scored = model.transform(test.withColumn("v", inputs.vector())).select(
@@ -253,9 +277,9 @@ def magnitude(
         raise ValueError("no block has enough training and test rows")
     results, logs = [], []
     for split in splits:
-        train = _train_rows(known, ts, split, 0).withColumns({"y": F.col(real), "w": F.lit(1.0)})
-        inputs = choose_inputs(train, features, label, config.max_features)
-        model = estimator(config).fit(train.withColumn("v", inputs.vector()))
+        before = _train_rows(known, ts, split, 0).withColumns({"y": F.col(real), "w": F.lit(1.0)})
+        inputs = choose_inputs(before, features, label, config.max_features)
+        model = estimator(config).fit(before.withColumn("v", inputs.vector()))
         log = model.transform(_test_rows(known, ts, split).withColumn("v", inputs.vector())).select(
             *keys, ts, price, F.col(real).alias(f"real_return_h{config.horizon}"),
             F.col("prediction").alias("pred_return_direct"),
@@ -279,19 +303,19 @@ def permutation_importance(
 
     Rows are dealt at random into buckets of about a thousand and the feature's values
     move one row on in a random order inside each bucket. That is a permutation of the
-    whole column, and no task has to hold the column.
+    whole column, and no task has to hold the column. Single values are dealt; the arrays
+    join them afterwards, where the model reads them.
     """
-    rows = test.select(*ident, F.col(label).cast("int").alias("y"), vector_to_array(inputs.vector()).alias("a"))
+    rows = materialize(test.select(*ident, F.col(label).cast("int").alias("y"), vector_to_array(inputs.vector()).alias("a")))
     buckets = max(1, rows.count() // SHUFFLE_BUCKET)
-    trials = F.explode(F.sequence(F.lit(0), F.lit(len(inputs.names) - 1)))
-    tried = rows.withColumn("f", trials).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    narrow = rows.select(*ident, F.posexplode("a").alias("f", "own"))
+    tried = narrow.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     slot = F.pmod(F.xxhash64(F.lit(SEED), "f", "trial", *ident), F.lit(buckets))
-    tried = tried.withColumns(
-        {"slot": slot, "turn": F.xxhash64(F.lit(SEED + 1), "f", "trial", *ident), "own": F.get("a", F.col("f"))}
-    )
+    tried = tried.withColumns({"slot": slot, "turn": F.xxhash64(F.lit(SEED + 1), "f", "trial", *ident)})
     ring = Window.partitionBy("f", "trial", "slot").orderBy("turn", *ident)
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    moved = tried.withColumn("new", F.coalesce(F.lead("own", 1).over(ring), F.first("own").over(whole)))
+    dealt = tried.withColumn("new", F.coalesce(F.lead("own", 1).over(ring), F.first("own").over(whole)))
+    moved = dealt.select(*ident, "f", "trial", "new").join(rows, list(ident))
     swapped = F.transform("a", lambda v, i: F.when(i == F.col("f"), F.col("new")).otherwise(v))
 
     def accuracy(frame: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -316,9 +340,7 @@ def fit_final(
     label = f"target_up_h{config.horizon}"
     known = panel.where(F.col(label).isNotNull()).withColumn("y", F.col(label).cast("double"))
     inputs = choose_inputs(known, features, "y", config.max_features)
-    weighted = sample_weights(known, [], "y", config.weight_strategy, day=ts, name="w").withColumn("v", inputs.vector())
-    rows = known.count() if config.model == "LogisticRegression" else None
-    return Pipeline(stages=[estimator(config, rows=rows)]).fit(weighted), inputs
+    return train(known, inputs, config, ts), inputs
 
 
 def save_bundle(spark: SparkSession, path: str, model: PipelineModel, inputs: Inputs, config: Config, threshold: float) -> None:

@@ -7,12 +7,14 @@ Two primitives carry every ordered operator in the package:
 
 A DATE axis holds at most one row per key and day, so the rows of a key are
 bounded by the calendar and a plain window is the right plan. Any other axis
-(timestamps, scores) can put an unbounded number of rows under one key. There the
-axis is cut into slices of about equal size, each slice is worked on by its own
-task, and the slices are tied together by carried totals (``running``) or by a
-few copied edge rows (``framed``). Results are the same on both paths.
-
-The order column must be unique within a key; ``dedup`` in ``panel`` sees to it.
+(timestamps, scores) can put an unbounded number of rows under one key. Where the
+largest key has more rows than a slice, the axis is cut into slices of about equal
+size, each slice is worked on by its own task, and the slices are tied together by
+carried totals (``running``) or by a few copied edge rows (``framed``). Results are
+the same on both paths.
+
+The order column must be unique within a key (``dedup`` in ``panel`` sees to it), or
+``ties`` must name columns that make it so; a value of the order column is never cut.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from pyspark.sql import types as T
 from tidemark.session import materialize
 
 FIRST_SLICES = 64
-MAX_SLICES = 2048
 ROWS_PER_SLICE = 1_000_000
 _SLICE = "__slice"
 
@@ -48,34 +49,31 @@ def calendar_bounded(df: DataFrame, order: str) -> bool:
     return isinstance(df.schema[order].dataType, T.DateType)
 
 
-def cut_points(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
-    """Inner slice borders; empty when all rows fit into one slice.
+def cut_points(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE, keys: Sequence[str] = ()) -> list[float]:
+    """Inner slice borders; empty when the rows of every key fit into one slice.
 
-    One scan with map-side sketches, a second one when more than ``FIRST_SLICES`` are
-    needed. The driver receives at most ``MAX_SLICES`` numbers whatever the size of the
-    data. Borders are literals in the plan, so a recomputed task cuts the rows exactly
-    as the first run did.
+    Rows are counted per key, folded before the shuffle. Only a key that is too large
+    for one slice costs a second scan, with map-side sketches whose accuracy follows the
+    number of slices. The driver receives one number per slice, eight bytes for each
+    ``rows_per_slice`` rows. Borders are literals in the plan, so a recomputed task cuts
+    the rows exactly as the first run did.
     """
     value = axis_value(df, order)
-
-    def borders(parts: int) -> tuple[int, list[float]]:
-        shares = [i / parts for i in range(1, parts)]
-        return df.agg(F.count(value), F.percentile_approx(value, shares, 20_000)).first()
-
-    n, cuts = borders(FIRST_SLICES)
-    slices = min(MAX_SLICES, math.ceil(n / rows_per_slice))
-    if slices <= 1:
+    n, largest = df.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if (largest or 0) <= rows_per_slice:
         return []
-    if slices > FIRST_SLICES:
-        _, cuts = borders(slices)
+    slices = math.ceil(n / rows_per_slice)
+    parts = max(slices, FIRST_SLICES)
+    shares = [i / parts for i in range(1, parts)]
+    (cuts,) = df.agg(F.percentile_approx(value, shares, max(20_000, 10 * parts))).first()
     parts = len(cuts) + 1
     picked = (cuts[round(parts * i / slices) - 1] for i in range(1, slices))
     return sorted(set(picked))
 
 
-def axis_cuts(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
+def axis_cuts(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE, keys: Sequence[str] = ()) -> list[float]:
     """Slice borders for ordered work on this axis; none for a daily one."""
-    return [] if calendar_bounded(df, order) else cut_points(df, order, rows_per_slice)
+    return [] if calendar_bounded(df, order) else cut_points(df, order, rows_per_slice, keys)
 
 
 def add_slice(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
@@ -102,9 +100,9 @@ class Running:
             "low": lambda: F.min(self.value).over(w),
         }[self.kind]()
 
-    def per_slice(self, order: str) -> Column:
+    def per_slice(self, order: Sequence[str]) -> Column:
         return {
-            "last": lambda: F.max_by(self.value, F.when(self.value.isNotNull(), F.col(order))),
+            "last": lambda: F.max_by(self.value, F.when(self.value.isNotNull(), F.struct(*order))),
             "count": lambda: F.count(self.value),
             "total": lambda: F.sum(self.value),
             "product": lambda: F.product(self.value),
@@ -134,27 +132,28 @@ def running(
     columns: dict[str, Running],
     rows_per_slice: int = ROWS_PER_SLICE,
     cuts: Sequence[float] | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Add running values over all rows of a key up to and including the row.
 
     ``cuts`` gives slice borders that are already known; ``[]`` states that the
-    rows of a key are few.
+    rows of a key are few. ``ties`` orders rows of equal ``order``.
     """
     if cuts is None:
-        cuts = axis_cuts(df, order, rows_per_slice)
+        cuts = axis_cuts(df, order, rows_per_slice, keys)
     to_here = (Window.unboundedPreceding, Window.currentRow)
     if not cuts:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(*to_here)
+        w = Window.partitionBy(*keys).orderBy(order, *ties).rowsBetween(*to_here)
         return df.select("*", *[c.within(w).alias(name) for name, c in columns.items()])
 
     # Read twice below; written once so that chained operators do not repeat their input.
     sliced = materialize(add_slice(df, order, cuts))
-    parts = sliced.groupBy(*keys, _SLICE).agg(*[c.per_slice(order).alias(f"__p_{n}") for n, c in columns.items()])
+    parts = sliced.groupBy(*keys, _SLICE).agg(*[c.per_slice([order, *ties]).alias(f"__p_{n}") for n, c in columns.items()])
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(
         *keys, _SLICE, *[c.over_slices(f"__p_{n}", earlier).alias(f"__c_{n}") for n, c in columns.items()]
     )
-    w = Window.partitionBy(*keys, _SLICE).orderBy(order).rowsBetween(*to_here)
+    w = Window.partitionBy(*keys, _SLICE).orderBy(order, *ties).rowsBetween(*to_here)
     local = sliced.join(carried, [*keys, _SLICE], "left").select(
         *df.columns,
         *[f"__c_{n}" for n in columns],
@@ -175,6 +174,7 @@ def framed(
     ahead: int = 0,
     rows_per_slice: int = ROWS_PER_SLICE,
     cuts: Sequence[float] | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Add columns whose windows reach at most ``back`` rows back and ``ahead`` ahead.
 
@@ -183,13 +183,13 @@ def framed(
     dropped again. At most ``back + ahead`` rows per run are copied.
     """
     if cuts is None:
-        cuts = axis_cuts(df, order, rows_per_slice)
+        cuts = axis_cuts(df, order, rows_per_slice, keys)
     if not cuts:
-        made = columns(Window.partitionBy(*keys).orderBy(order))
+        made = columns(Window.partitionBy(*keys).orderBy(order, *ties))
         return df.select("*", *[c.alias(name) for name, c in made.items()])
 
     run = max(rows_per_slice, back + ahead, 1)
-    placed = running(df, keys, order, {"__place": Running("count", F.lit(1))}, cuts=cuts)
+    placed = running(df, keys, order, {"__place": Running("count", F.lit(1))}, cuts=cuts, ties=ties)
     home = F.floor((F.col("__place") - 1) / run).cast("long")
     offset = (F.col("__place") - 1) % run
     placed = placed.withColumn("__run_home", home).withColumn(
@@ -204,7 +204,7 @@ def framed(
             )
         ),
     )
-    made = columns(Window.partitionBy(*keys, "__run").orderBy(order))
+    made = columns(Window.partitionBy(*keys, "__run").orderBy(order, *ties))
     return (
         placed.select("*", *[c.alias(name) for name, c in made.items()])
         .where(F.col("__run") == F.col("__run_home"))
@@ -222,19 +222,20 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key.
 
-    Small data (checked) use the built-in ``percentile``, which keeps the distinct
-    values of a key in memory. Beyond that the ranks are found by slices: counts per
-    slice tell which slices hold the wanted ranks, and only the rows of those slices
-    are sorted.
+    Rows are folded to one per key and value first, and written once. Where the values
+    of every key fit a slice (checked) the built-in ``percentile`` finds the ranks from
+    their counts. Beyond that counts per slice tell which slices hold the wanted ranks,
+    and only the values of those slices are sorted.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    folded = materialize(rows.groupBy(*keys, "__v").agg(F.count("*").alias("__n")))
     if cuts is None:
-        cuts = cut_points(rows, "__v", rows_per_slice)
+        cuts = cut_points(folded, "__v", rows_per_slice, keys)
     if not cuts:
-        return rows.groupBy(*keys).agg(*[F.percentile("__v", F.lit(p)).alias(n) for n, p in quantiles.items()])
+        return folded.groupBy(*keys).agg(*[F.percentile("__v", F.lit(p), F.col("__n")).alias(n) for n, p in quantiles.items()])
 
-    sliced = materialize(add_slice(rows, "__v", cuts))
-    sizes = sliced.groupBy(*keys, _SLICE).agg(F.count("*").alias("__n"))
+    sliced = add_slice(folded, "__v", cuts)
+    sizes = sliced.groupBy(*keys, _SLICE).agg(F.sum("__n").alias("__n"))
     up_to = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = sizes.select(
         *keys,
@@ -248,11 +249,7 @@ def exact_quantiles(
     needed = F.lit(False)
     for rank in ranks:
         needed = needed | ((rank >= F.col("__from")) & (rank < F.col("__to")))
-    values = (
-        sliced.groupBy(*keys, _SLICE, "__v")
-        .agg(F.count("*").alias("__n"))
-        .join(spans.where(needed).drop("__to"), [*keys, _SLICE])
-    )
+    values = sliced.join(spans.where(needed).drop("__to"), [*keys, _SLICE])
     inside = Window.partitionBy(*keys, _SLICE).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = values.withColumn("__to", F.col("__from") + F.sum("__n").over(inside)).withColumn(
         "__from", F.col("__to") - F.col("__n")

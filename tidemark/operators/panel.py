@@ -7,12 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import to_day, to_number
+from tidemark.functions.columns import one_of, to_day, to_number
 from tidemark.functions.names import source_prefix
-from tidemark.operators.ordered import Running, calendar_bounded, running
-
-# A DATE axis has 36,525 days a century: 16 columns of doubles are 5 MB.
-MAX_BROADCAST_COLUMNS = 16
+from tidemark.operators.ordered import Running, running
 
 
 def dedup(df: DataFrame, by: Sequence[str], tiebreak: Sequence[str], keep: str = "first") -> DataFrame:
@@ -50,8 +47,10 @@ def wide_by_source(
     """Every source becomes a group of prefixed columns, one row per time.
 
     Same rows as a chain of full outer joins over the sources, in one shuffle.
-    Several rows of a source at one time: the largest value is kept.
+    Several rows of a source at one time: the largest value is kept. Rows without a
+    source go; a source that is not listed stops the job, as its columns would be lost.
     """
+    df = df.withColumn(source, one_of(F.col(source), sources))
     columns = [
         F.max(F.when(F.col(source) == s, F.col(v))).alias(f"{source_prefix(s)}_{v}") for s in sources for v in values
     ]
@@ -70,13 +69,10 @@ def align(
     """Context values on the rows of the panel: exact match on time, then fill forward.
 
     A context value at a time the panel does not have is not used. The context is
-    folded to one row per time. On a DATE axis that is at most one row per day of the
-    calendar whatever the size of the data, so a narrow context is broadcast and the
-    panel stays where it is; any other context is joined by size.
+    folded to one row per time; whether it is small enough to broadcast is left to
+    Spark, which sees its size.
     """
     once = context.groupBy(ts).agg(*[F.max(c).alias(c) for c in columns])
-    if calendar_bounded(context, ts) and len(columns) <= MAX_BROADCAST_COLUMNS:
-        once = F.broadcast(once)
     matched = panel.join(once, ts, "left").select(*panel.columns, *columns)
     return fill_forward(matched, keys, ts, columns, **slicing)
 

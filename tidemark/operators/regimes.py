@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio, sanitize
 from tidemark.operators.ordered import ROWS_PER_SLICE, exact_quantiles
+from tidemark.session import materialize
 
-SAMPLE_ROWS = 3000
+MAX_CLUSTERS = 1000
 MIN_PAIRS = 30
 NMI_SHARES = (0.15, 0.10)
 
@@ -66,80 +66,59 @@ def kmeans_labels(
     return best.transform(vectors).select(*points.columns, place[F.col("__k")].alias(name))
 
 
-def score_sample(points: DataFrame, ident: Sequence[str], rows: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
-    """A repeatable sample of at most ``rows`` points, all points when there are no more."""
-    return points.orderBy(F.xxhash64(F.lit(seed), *ident), *ident).limit(rows)
+def silhouette(points: DataFrame, axes: Sequence[str], label: str) -> float | None:
+    """Mean silhouette of all points, by squared Euclidean distance; None for one cluster.
 
-
-def silhouette(sample: DataFrame, axes: Sequence[str], label: str) -> DataFrame:
-    """Silhouette of each point of a bounded sample, by Euclidean distance.
-
-    The sample (see ``score_sample``) is sent to the tasks; each task handles its
-    own points.
+    The mean squared distance from a point to a cluster follows from the cluster's size,
+    its sum of vectors and its sum of squared norms, so no pair of points is formed. Labels
+    may be of any type and few; NULL is a label.
+    """
+    names = [r[0] for r in points.select(F.col(label).cast("string")).distinct().limit(MAX_CLUSTERS + 1).collect()]
+    if len(names) > MAX_CLUSTERS:
+        raise ValueError(f"{label} has more than {MAX_CLUSTERS} values")
+    if len(names) < 2:
+        return None
+    known = F.array(*[F.lit(n) for n in sorted(n for n in names if n is not None)])
+    number = F.coalesce(F.array_position(known, F.col(label).cast("string")), F.lit(0)).cast("double")
+    vectors = _vector(points.select(*axes, number.alias("__n")), axes, "__v")
+    return ClusteringEvaluator(predictionCol="__n", featuresCol="__v", metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(vectors)
+
+
+def cluster_scores(points: DataFrame, axes: Sequence[str], label: str) -> DataFrame:
+    """Silhouette, Calinski-Harabasz and Davies-Bouldin of labelled points, one row.
+
+    All rows and axes count. Sums per cluster give everything but the mean distance to
+    the centre, for which the few centres are joined back to the rows.
     """
-    held = sample.select(*axes, label).toPandas()
-    points, names = held[list(axes)].to_numpy(float), held[label].to_numpy()
-    groups, member = np.unique(names, return_inverse=True)
-    sizes = np.bincount(member)
-    onehot = np.eye(len(groups))[member]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            here = batch[list(axes)].to_numpy(float)
-            own = np.searchsorted(groups, batch[label].to_numpy())
-            square = sum((here[:, [i]] - points[:, i]) ** 2 for i in range(len(axes)))
-            totals = np.sqrt(square) @ onehot
-            row = np.arange(len(here))
-            inside = totals[row, own] / np.maximum(sizes[own] - 1, 1)
-            means = totals / sizes
-            means[row, own] = np.inf
-            outside = means.min(axis=1)
-            width = (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300)
-            yield batch.assign(silhouette=np.where(sizes[own] > 1, width, 0.0))
-
-    kept = sample.select(*axes, label)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInPandas(score, f"{fields}, silhouette double")
-
-
-def cluster_scores(sample: DataFrame, axes: Sequence[str], label: str) -> DataFrame:
-    """Silhouette, Calinski-Harabasz and Davies-Bouldin of labelled points, one row."""
-    widths = silhouette(sample, axes, label)
+    width = silhouette(points, axes, label)
     everywhere = Window.partitionBy(F.lit(0))
-    centres = widths.groupBy(label).agg(
-        F.count("*").alias("n"),
-        F.sum("silhouette").alias("sil"),
-        *[F.avg(a).alias(f"c_{a}") for a in axes],
-        *[F.sum(a).alias(f"t_{a}") for a in axes],
-    )
-    centres = centres.withColumns(
-        {f"g_{a}": F.sum(f"t_{a}").over(everywhere) / F.sum("n").over(everywhere) for a in axes}
+    sums = points.groupBy(F.col(label).alias("__l")).agg(
+        F.count("*").alias("n"), *[F.avg(a).alias(f"c_{a}") for a in axes]
     )
+    centres = materialize(sums)
+
+    def gap2(left: Callable[[str], Column], right: Callable[[str], Column]) -> Column:
+        return sum((F.pow(left(a) - right(a), F.lit(2)) for a in axes), F.lit(0.0))
 
-    def square(left: str, right: str) -> Column:
-        return sum((F.pow(F.col(f"{left}{a}") - F.col(f"{right}{a}"), 2) for a in axes), F.lit(0.0))
-
-    around = widths.join(centres, label).withColumn("d2", square("", "c_"))
-    spread = around.groupBy(label).agg(
-        F.first("n").alias("n"),
-        F.first("sil").alias("sil"),
-        *[F.first(f"c_{a}").alias(f"c_{a}") for a in axes],
-        F.first(square("c_", "g_")).alias("between"),
-        F.sum("d2").alias("within"),
-        F.avg(F.sqrt("d2")).alias("radius"),
+    centre = lambda a: F.col(f"c_{a}")
+    total = {f"g_{a}": F.sum(F.col(f"c_{a}") * F.col("n")).over(everywhere) / F.sum("n").over(everywhere) for a in axes}
+    around = points.join(F.broadcast(centres), F.col(label).eqNullSafe(F.col("__l")))
+    radii = around.groupBy("__l").agg(F.avg(F.sqrt(gap2(F.col, centre))).alias("radius"), F.sum(gap2(F.col, centre)).alias("within"))
+    spread = centres.withColumns(total).withColumn("between", gap2(centre, lambda a: F.col(f"g_{a}"))).join(
+        radii.withColumnRenamed("__l", "__r"), F.col("__l").eqNullSafe(F.col("__r"))
     )
-    rivals = F.collect_list(F.struct(F.col(label).alias("l"), "radius", *[f"c_{a}" for a in axes])).over(everywhere)
+    rivals = F.collect_list(F.struct(F.col("__l").alias("l"), "radius", *[f"c_{a}" for a in axes])).over(everywhere)
 
     def closeness(rival: Column) -> Column:
-        gap = F.sqrt(sum((F.pow(F.col(f"c_{a}") - rival[f"c_{a}"], 2) for a in axes), F.lit(0.0)))
-        return F.when(rival["l"] != F.col(label), ratio(F.col("radius") + rival["radius"], gap))
+        gap = F.sqrt(gap2(centre, lambda a: rival[f"c_{a}"]))
+        return F.when(~rival["l"].eqNullSafe(F.col("__l")), ratio(F.col("radius") + rival["radius"], gap))
 
     judged = spread.withColumn("rivals", rivals).withColumn("worst", F.array_max(F.transform("rivals", closeness)))
     n, k = F.sum("n"), F.count("*")
     return judged.agg(
-        n.alias("sample_size"),
+        n.alias("n_rows"),
         k.alias("n_clusters"),
-        F.when(k > 1, F.sum("sil") / n).alias("silhouette"),
+        F.lit(width).cast("double").alias("silhouette"),
         F.when(k > 1, ratio(F.sum(F.col("n") * F.col("between")) * (n - k), F.sum("within") * (k - 1))).alias("calinski_harabasz"),
         F.when(k > 1, F.avg("worst")).alias("davies_bouldin"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import sample_kurtosis, sample_skew, sanitize
+from tidemark.functions.columns import one_of, sample_kurtosis, sample_skew, sanitize
 from tidemark.operators.metrics import evaluate
 from tidemark.operators.ordered import ROWS_PER_SLICE, calendar_bounded, exact_quantiles, framed
 from tidemark.operators.panel import to_long
@@ -15,6 +15,7 @@ from tidemark.operators.panel import to_long
 MIN_ROWS = 20
 DAYS_PER_YEAR = 252
 MISSING = "nan"
+MAX_CLUSTERS = 1000
 
 
 def by_segment(df: DataFrame, segments: Sequence[str], names: tuple[str, str], keep_missing: bool) -> DataFrame:
@@ -143,10 +144,19 @@ def cluster_profile(
 
 
 def transition_matrix(
-    df: DataFrame, keys: Sequence[str], ts: str, cluster: str, values: Sequence[str], **slicing
+    df: DataFrame, keys: Sequence[str], ts: str, cluster: str, values: Sequence[str] | None = None, **slicing
 ) -> DataFrame:
-    """Share of moves from each cluster to each cluster between neighbouring rows of a key."""
-    named = df.select(*keys, ts, F.coalesce(F.col(cluster).cast("string"), F.lit(MISSING)).alias("__to"))
+    """Share of moves from each cluster to each cluster between neighbouring rows of a key.
+
+    ``values`` are the columns. Without them all clusters of ``df`` are, if they are at
+    most ``MAX_CLUSTERS``; with them a cluster that is not listed stops the job.
+    """
+    label = F.coalesce(F.col(cluster).cast("string"), F.lit(MISSING))
+    if values is None:
+        values = sorted(r[0] for r in df.select(label).distinct().limit(MAX_CLUSTERS + 1).collect())
+        if len(values) > MAX_CLUSTERS:
+            raise ValueError(f"{cluster} has more than {MAX_CLUSTERS} values")
+    named = df.select(*keys, ts, one_of(label, values).alias("__to"))
 
     def previous(w: WindowSpec) -> dict[str, Column]:
         return {"from_cluster": F.lag("__to", 1).over(w)}

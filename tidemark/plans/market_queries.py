@@ -51,7 +51,7 @@ def hysteresis(spark: SparkSession, folder: str) -> DataFrame:
 @registered("""
   SELECT event_type, ts, event_id, coalesce(last_value(CASE WHEN value / 40 >= 0.60 THEN 1.0 WHEN value / 40 <= 0.35 THEN 0.0 END IGNORE NULLS) OVER w, 0)::DOUBLE AS state,
     sum(value::DECIMAL(18,2)) OVER w::DOUBLE AS total, max(value) OVER w AS highest, count(value) OVER w AS seen
-  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def hysteresis_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Running state and totals on raw events of five types, worked out slice by slice."""
     value = F.col("value")
@@ -61,7 +61,7 @@ def hysteresis_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
         "highest": Running("high", value),
         "seen": Running("count", value),
     }
-    made = running(views.events(spark, folder), ["event_type"], "ts", columns, rows_per_slice=1000).drop("value")
+    made = running(views.events(spark, folder), ["event_type"], "ts", columns, rows_per_slice=1000, ties=["event_id"]).drop("value")
     return made.withColumns({"state": F.coalesce("state", F.lit(0.0)), "total": F.col("total").cast("double")})
 
 

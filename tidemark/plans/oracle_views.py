@@ -88,7 +88,7 @@ VIEWS = {
       0.5::DOUBLE AS threshold, CASE WHEN day(ds) <= 20 THEN round(logret_1d, 6) END AS pred_return_direct
     FROM regime WHERE future_logret_h21 IS NOT NULL AND move IS NOT NULL)""",
     "scored": """
-  SELECT doc_id, source, quality AS y_true, round(least(n_chars, 20000) / 20000.0, 6) AS proba_up
+  SELECT doc_id, source, quality AS y_true, round(n_chars / (n_chars + 2000.0), 6) AS proba_up
   FROM labels JOIN documents USING (doc_id)""",
     "signals": """
   SELECT series_id, ds, px, future_logret_h21, target_up_h21,
@@ -189,6 +189,8 @@ VIEWS = {
   SELECT *, CASE WHEN buyhold_return > 0.10 THEN 'alcista_fuerte' WHEN buyhold_return > 0.05 THEN 'alcista_moderado'
     WHEN buyhold_return >= -0.05 THEN 'lateral' ELSE 'bajista' END AS regimen_mercado FROM regime_windows""",
     "pts": """
-  SELECT vec_id, label, embedding[1]::DOUBLE AS axis_1, embedding[2]::DOUBLE AS axis_2, embedding[3]::DOUBLE AS v1,
-    embedding[4]::DOUBLE AS v2, embedding[5]::DOUBLE AS v3 FROM embeddings""",
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+    list_sum(list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN x::DOUBLE ELSE 0 END)) AS axis_1,
+    list_sum(list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 0 THEN x::DOUBLE ELSE 0 END)) AS axis_2
+  FROM embeddings""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import calendar_parts
+from tidemark.functions.columns import calendar_parts, indicator
 from tidemark.functions.columns import one_hot as one_hot_of
 from tidemark.functions.columns import policy_stance as stance_of
 from tidemark.functions.names import normalize_headers as renamed
@@ -26,13 +26,10 @@ def by_series() -> WindowSpec:
 @registered("""
   SELECT o_orderpriority, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n,
     sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total
-  FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2000-12-31' GROUP BY 1, 2""")
+  FROM orders GROUP BY 1, 2""")
 def scan_tables(spark: SparkSession, folder: str) -> DataFrame:
     day = F.col("o_orderdate")
-    rows = table(spark, folder, "orders").where(
-        (day >= F.lit("1996-01-01").cast("timestamp_ntz")) & (day <= F.lit("2000-12-31").cast("timestamp_ntz"))
-    )
-    return rows.groupBy("o_orderpriority", F.trunc(day, "month").alias("month")).agg(
+    return table(spark, folder, "orders").groupBy("o_orderpriority", F.trunc(day, "month").alias("month")).agg(
         F.count("*").alias("n"), views.money("o_totalprice").alias("total")
     )
 
@@ -211,8 +208,10 @@ def hash_sample(spark: SparkSession, folder: str) -> DataFrame:
     return panel.hash_sample(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"], 0.1)
 
 
-# A mean of cents over a window often ends exactly on a rounding tie; both sides step off it.
-TIE_SHIFT = 1e-5
+# A mean of cents over a window often ends exactly on a rounding tie, which noise in the last bit of a
+# sum could send either way. Other means lie at least 0.004 units of the third digit away from a tie, so
+# rounding from a little under the tie is the same rounding, with ties up on both sides.
+TIE = 0.5001
 
 _ELIGIBLE = """
   WITH ok AS (SELECT series_id, variable, avg((value > 0)::INT) > 0.98 AS log_ok FROM longp WHERE value IS NOT NULL GROUP BY 1, 2),
@@ -225,7 +224,7 @@ _LOG_SQL = "round(l, 6) AS log, " + ", ".join(f"round(l - lag(l, {k}) OVER w, 6)
 _DIFF_SQL = "round(value - lag(value, 1) OVER w, 3) AS diff_1, round(value / nullif(lag(value, 21) OVER w, 0) - 1, 6) AS pct_21"
 _LAG_SQL = ", ".join(f"round(lag(value, {k}) OVER w, 3) AS lag{k}" for k in (1, 5, 21, 63))
 _ROLL_SQL = ", ".join(
-    f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(avg(value) OVER w{n} + {TIE_SHIFT}, 3) END AS roll_mean{n}, "
+    f"CASE WHEN count(value) OVER w{n} >= {m} THEN floor(avg(value) OVER w{n} * 1000 + {TIE}) / 1000 END AS roll_mean{n}, "
     f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(stddev_samp(value) OVER w{n}, 3) END AS roll_std{n}, "
     f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(value / nullif(max(value) OVER w{n}, 0) - 1, 6) END AS dist_max{n}, "
     f"CASE WHEN count(value) OVER w{n} >= {m} THEN round(value / nullif(min(value) OVER w{n}, 0) - 1, 6) END AS dist_min{n}"
@@ -246,8 +245,8 @@ def _shown(df: DataFrame, names: list[str]) -> DataFrame:
     levels = [n for n in names if n in _levels()]
     shares = [n for n in names if n not in levels]
     kept = df.select("series_id", "variable", "ds", "value", *names).withColumn("value", F.round("value", 3))
-    means = {n: F.col(n) + TIE_SHIFT for n in levels if n.startswith("roll_mean")}
-    return rounded(rounded(kept.withColumns(means), 3, *levels), 6, *shares)
+    means = {n: F.floor(F.col(n) * 1000 + TIE) / 1000 for n in levels if n.startswith("roll_mean")}
+    return rounded(rounded(kept.withColumns(means), 3, *[n for n in levels if n not in means]), 6, *shares)
 
 
 @registered(_ELIGIBLE + f" SELECT series_id, variable, ds, round(value, 3) AS value, {_LOG_SQL} FROM lg {_WINDOWS}")
@@ -282,9 +281,9 @@ def ts_features(spark: SparkSession, folder: str) -> DataFrame:
     CASE WHEN count(value) OVER w126 >= 31 THEN round(stddev_samp(value) OVER w126, 6) END AS roll_std126,
     CASE WHEN count(value) OVER w126 >= 31 THEN round(value / nullif(max(value) OVER w126, 0) - 1, 6) END AS dist_max126,
     round(lead(value, 21) OVER w, 6) AS ahead21
-  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts),
-    w21 AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW),
-    w126 AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 125 PRECEDING AND CURRENT ROW)""")
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id),
+    w21 AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW),
+    w126 AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 125 PRECEDING AND CURRENT ROW)""")
 def ts_features_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Features on raw events of five types: each key is cut into runs of rows."""
 
@@ -295,7 +294,7 @@ def ts_features_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
         return {**features.lag_columns(x, w, (1, 63)), **wanted, "ahead21": F.lead(x, 21).over(w)}
 
     rows = views.events(spark, folder)
-    made = framed(rows, ["event_type"], "ts", columns, back=126, ahead=21, rows_per_slice=1000).drop("value")
+    made = framed(rows, ["event_type"], "ts", columns, back=126, ahead=21, rows_per_slice=1000, ties=["event_id"]).drop("value")
     return rounded(rounded(made, 6, "lag1", "lag63", "roll_mean21", "roll_std126", "ahead21"), 6, "dist_max126")
 
 
@@ -366,16 +365,16 @@ def feature_frame(spark: SparkSession, folder: str) -> DataFrame:
     )
     frame = local.join(wide, "ds", "left").select(
         "series_id", "ds", "px", parts["year"].alias("year"), parts["month"].alias("month"), parts["month_sin"].alias("month_sin"),
-        "policy_stance", one_hot_of(F.col("policy_stance"), ["easing"], "policy_stance")["policy_stance_easing"].alias("policy_stance_easing"),
-        "lag1_score", "lag1_cls", one_hot_of(F.col("lag1_cls"), ["medio"], "lag1_cls")["lag1_cls_medio"].alias("lag1_cls_medio"),
+        "policy_stance", indicator(F.col("policy_stance"), "easing").alias("policy_stance_easing"),
+        "lag1_score", "lag1_cls", indicator(F.col("lag1_cls"), "medio").alias("lag1_cls_medio"),
         "px_lag1", "px_roll_std63", *[f"{v}_{n}" for v, ns in wanted.items() for n in ns],
     )
     levels = ["px_lag1", "px_roll_std63", "gld_close_lag1", "vix_close_roll_mean21"]
     return rounded(rounded(frame, 4, *levels), 6, "month_sin", "gld_close_logret_21")
 
 
-LOCAL_VARIABLES = ["px", "gap"]
-CATALOG_FEATURES = ["log", "logret_1", "diff_1", "pct_21", "lag1", "lag63", "roll_mean21", "roll_std126", "dist_max63"]
+LOCAL_VARIABLES = ["px", "fx", "oil", "gap"]
+CATALOG_FEATURES = features.feature_names()
 _CONTEXT_VARIABLES = ["gld_volume", "gld_close", "si_f_volume", "si_f_close", "vix_volume", "vix_close"]
 _ALL_NAMES = [f"{v}_{f}" for v in LOCAL_VARIABLES + _CONTEXT_VARIABLES for f in CATALOG_FEATURES]
 
@@ -396,14 +395,22 @@ def catalog_values(spark: SparkSession, folder: str) -> DataFrame:
     return tall.select("feature", F.array_position(names, F.col("feature")).alias("pos"), "value")
 
 
-_FEATURES_OF = """
-    ln_ok AS log, ln_ok - lag(ln_ok, 1) OVER w AS logret_1, value - lag(value, 1) OVER w AS diff_1, value / nullif(lag(value, 21) OVER w, 0) - 1 AS pct_21,
-    lag(value, 1) OVER w AS lag1, lag(value, 63) OVER w AS lag63, CASE WHEN count(value) OVER w21 >= 5 THEN avg(value) OVER w21 END AS roll_mean21,
-    CASE WHEN count(value) OVER w126 >= 31 THEN stddev_samp(value) OVER w126 END AS roll_std126,
-    CASE WHEN count(value) OVER w63 >= 15 THEN value / nullif(max(value) OVER w63, 0) - 1 END AS dist_max63"""
+_FEATURES_OF = ", ".join([
+    "ln_ok AS log", *[f"ln_ok - lag(ln_ok, {k}) OVER w AS logret_{k}" for k in features.LOG_LAGS],
+    "value - lag(value, 1) OVER w AS diff_1", "value / nullif(lag(value, 21) OVER w, 0) - 1 AS pct_21",
+    *[f"lag(value, {k}) OVER w AS lag{k}" for k in features.LAGS],
+    *[
+        f"CASE WHEN count(value) OVER w{n} >= {m} THEN {made.format(n=n)} END AS {kind}{n}"
+        for n, m in ((21, 5), (63, 15), (126, 31))
+        for kind, made in (
+            ("roll_mean", "avg(value) OVER w{n}"), ("roll_std", "stddev_samp(value) OVER w{n}"),
+            ("dist_max", "value / nullif(max(value) OVER w{n}, 0) - 1"), ("dist_min", "value / nullif(min(value) OVER w{n}, 0) - 1"),
+        )
+    ],
+])
 _CATALOG_SQL = f"""
   WITH raw AS (
-    SELECT series_id, variable, ds, value FROM longp WHERE variable IN ('px', 'gap')
+    SELECT series_id, variable, ds, value FROM longp WHERE variable IN ('px', 'fx', 'oil', 'gap')
     UNION ALL SELECT 'ctx', unnest({_CONTEXT_VARIABLES!r}), ds, unnest([{', '.join(_CONTEXT_VARIABLES)}]) FROM calctx),
   gate AS (SELECT series_id, variable, avg((value > 0)::INT) > 0.98 AS ok FROM raw WHERE value IS NOT NULL GROUP BY 1, 2),
   lgs AS (SELECT r.*, CASE WHEN ok AND value > 0 THEN ln(value) END AS ln_ok FROM raw r LEFT JOIN gate g
@@ -445,13 +452,49 @@ def feature_sets(spark: SparkSession, folder: str) -> DataFrame:
       WHEN contains(feature, 'vix') THEN 'riesgo' ELSE 'colombia' END AS "group",
     CASE WHEN contains(feature, 'lag') THEN 'lag' WHEN contains(feature, 'roll_mean') THEN 'rolling_mean' WHEN contains(feature, 'roll_std') THEN 'rolling_std'
       WHEN contains(feature, 'logret') THEN 'log_return' WHEN contains(feature, 'pct') THEN 'pct_change' WHEN contains(feature, 'diff') THEN 'difference'
-      WHEN contains(feature, 'dist_max') THEN 'rolling_distance' ELSE 'raw' END AS transform,
+      WHEN contains(feature, 'dist_max') OR contains(feature, 'dist_min') THEN 'rolling_distance' ELSE 'raw' END AS transform,
     is_global, feature IN (SELECT feature FROM sets WHERE feature_set = 'global_no_metals') AS used_in_best FROM sets""")
 def feature_catalog(spark: SparkSession, folder: str) -> DataFrame:
     sets = _sets(spark, folder)
     return catalog.feature_catalog(sets, sets.where(F.col("feature_set") == "global_no_metals"))
 
 
+_MANY = "(PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
+
+
+def customer_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """All orders by customer: many keys, none of them large."""
+    return table(spark, folder, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("value"))
+
+
+@registered(f"""
+  SELECT o_custkey, o_orderkey, round(lag(value, 1) OVER w, 2) AS lag1, round(lag(value, 3) OVER w, 2) AS lag3, round(value - lag(value, 1) OVER w, 2) AS diff_1,
+    round(value / nullif(lag(value, 2) OVER w, 0) - 1, 6) AS pct_2, CASE WHEN count(value) OVER w6 >= 5 THEN round(stddev_samp(value) OVER w6, 4) END AS roll_std6,
+    CASE WHEN count(value) OVER w6 >= 5 THEN round(value / nullif(max(value) OVER w6, 0) - 1, 6) END AS dist_max6
+  FROM (SELECT *, o_totalprice AS value FROM orders) WINDOW w AS {_MANY}), w6 AS {_MANY} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
+def ts_features_many_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Short features on the orders of every customer; keys are small, so nothing is sliced."""
+
+    def columns(w):
+        x = F.col("value")
+        rolls = features.rolling_columns(x, w, (6,))
+        return {**features.lag_columns(x, w, (1, 3)), **features.change_columns(x, w, 2), **{n: rolls[n] for n in ("roll_std6", "dist_max6")}}
+
+    made = framed(customer_orders(spark, folder), ["o_custkey"], "o_orderdate", columns, back=6, ties=["o_orderkey"])
+    shown = made.select("o_custkey", "o_orderkey", "lag1", "lag3", "diff_1", "pct_2", "roll_std6", "dist_max6")
+    return rounded(rounded(rounded(shown, 2, "lag1", "lag3", "diff_1"), 6, "pct_2", "dist_max6"), 4, "roll_std6")
+
+
+@registered(f"""
+  SELECT o_custkey, o_orderkey, future_price_h2, round(ln(future_price_h2 / value), 6) AS future_logret_h2,
+    (ln(future_price_h2 / value) > 0)::INT AS target_up_h2
+  FROM (SELECT *, o_totalprice AS value, lead(o_totalprice, 2) OVER w AS future_price_h2 FROM orders WINDOW w AS {_MANY}))""")
+def targets_many_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The order value two orders ahead, for every customer."""
+    made = features.targets(customer_orders(spark, folder), ["o_custkey"], "o_orderdate", "value", (2,), ties=["o_orderkey"])
+    return rounded(made.drop("o_orderdate", "value"), 6, "future_logret_h2")
+
+
 @registered("""
   SELECT "column", dtype, count(*) AS n, count(*) FILTER (v IS NULL) AS n_missing, round(avg((v IS NULL)::INT), 6) AS pct_missing,
     count(DISTINCT v) AS n_unique, "column" IN ('px', 'gld_close', 'oil') AS is_feature_candidate, contains("column", 'gld') AS is_global

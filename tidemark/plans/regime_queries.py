@@ -88,27 +88,36 @@ def regime_join(spark: SparkSession, folder: str) -> DataFrame:
     return views.target_panel(spark, folder).join(labels, ["series_id", "ds"], "left")
 
 
-def _scores_sql(label: str) -> str:
+def _scores_sql(rows: str) -> str:
+    """Scores of a relation with an id ``i``, a label ``l`` and a vector ``v``, from sums of squares over all pairs and centres."""
     return f"""
-  (WITH p AS (SELECT vec_id, axis_1 AS x, axis_2 AS y, {label} AS l FROM pts),
-  d AS (SELECT a.vec_id, a.l AS own, b.l AS other, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS total, count(*) AS n
-    FROM p a JOIN p b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
-  s AS (SELECT vec_id, coalesce((min(total / n) FILTER (own <> other) - max(total / n) FILTER (own = other))
+  (WITH p AS ({rows}),
+  d AS (SELECT a.i, a.l AS own, b.l AS other, sum(list_distance(a.v, b.v) ** 2) AS total, count(*) AS n
+    FROM p a JOIN p b ON a.i <> b.i GROUP BY 1, 2, 3),
+  s AS (SELECT i, coalesce((min(total / n) FILTER (own <> other) - max(total / n) FILTER (own = other))
       / greatest(min(total / n) FILTER (own <> other), max(total / n) FILTER (own = other)), 0) AS width FROM d GROUP BY 1),
-  c AS (SELECT l, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1),
-  q AS (SELECT c.l, c.n, cx, cy, avg(sqrt((x - cx) ** 2 + (y - cy) ** 2)) AS r, sum((x - cx) ** 2 + (y - cy) ** 2) AS within
-    FROM p JOIN c ON p.l = c.l GROUP BY 1, 2, 3, 4),
-  g AS (SELECT avg(x) AS gx, avg(y) AS gy FROM p),
-  w AS (SELECT a.l, max((a.r + b.r) / sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2)) AS worst FROM q a JOIN q b ON a.l <> b.l GROUP BY 1)
-  SELECT sum(n)::BIGINT AS sample_size, count(*) AS n_clusters, (SELECT avg(width) FROM s) AS silhouette,
-    sum(n * ((cx - gx) ** 2 + (cy - gy) ** 2)) * (sum(n) - count(*)) / (sum(within) * (count(*) - 1)) AS calinski_harabasz,
+  m AS (SELECT l, j, count(*) AS n, avg(x) AS x FROM (SELECT l, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM p) GROUP BY 1, 2),
+  c AS (SELECT l, any_value(n) AS n, list(x ORDER BY j) AS c FROM m GROUP BY 1),
+  g AS (SELECT list(x ORDER BY j) AS g FROM (SELECT j, sum(n * x) / sum(n) AS x FROM m GROUP BY 1)),
+  q AS (SELECT c.l, any_value(c.n) AS n, any_value(c.c) AS c, avg(list_distance(v, c.c)) AS r, sum(list_distance(v, c.c) ** 2) AS within
+    FROM p JOIN c ON p.l = c.l GROUP BY 1),
+  w AS (SELECT a.l, max((a.r + b.r) / list_distance(a.c, b.c)) AS worst FROM q a JOIN q b ON a.l <> b.l GROUP BY 1)
+  SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_clusters, (SELECT avg(width) FROM s) AS silhouette,
+    sum(n * list_distance(c, g) ** 2) * (sum(n) - count(*)) / (sum(within) * (count(*) - 1)) AS calinski_harabasz,
     (SELECT avg(worst) FROM w) AS davies_bouldin FROM q, g)"""
 
 
-@registered(f"SELECT sample_size, n_clusters, {sql_rounded('silhouette', 'calinski_harabasz', 'davies_bouldin', digits=5)} FROM {_scores_sql('label')}")
+def spread_vectors(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The vectors ``e`` as one column per dimension."""
+    names = [f"e{i}" for i in range(views.dimensions(rows))]
+    return rows.select(*[c for c in rows.columns if c != "e"], *[F.get("e", F.lit(i)).alias(n) for i, n in enumerate(names)]), names
+
+
+@registered(f"SELECT n_rows, n_clusters, {sql_rounded('silhouette', 'calinski_harabasz', 'davies_bouldin', digits=5)} FROM {_scores_sql('SELECT vec_id AS i, label AS l, e AS v FROM pts')}")
 def cluster_scores(spark: SparkSession, folder: str) -> DataFrame:
-    sample = regimes.score_sample(views.points(spark, folder), ["vec_id"])
-    made = regimes.cluster_scores(sample, ["axis_1", "axis_2"], "label")
+    """Scores of the labels over all vectors and all of their dimensions."""
+    rows, axes = spread_vectors(views.points(spark, folder))
+    made = regimes.cluster_scores(rows, axes, "label")
     return rounded(made, 5, "silhouette", "calinski_harabasz", "davies_bouldin")
 
 
@@ -128,26 +137,30 @@ def nmi(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(stance.join(label, "one").drop("one"), 6, "nmi_policy_stance", "nmi_class")
 
 
-_DESIGNS = {6: "vec_id % 6", 7: "label % 7"}
+_DESIGNS = {"abs": "cluster_abs", "changes": "cluster_chg"}
+_COMPLETE = "px IS NOT NULL AND fx IS NOT NULL AND oil IS NOT NULL AND move IS NOT NULL"
 
 
 @registered("WITH d AS (" + " UNION ALL ".join(
-    f"""SELECT 'abs' AS embedding, {k} AS n_clusters, silhouette, calinski_harabasz, davies_bouldin,
-    {_nmi_sql(e, "label").format(rows="pts")} AS nmi_class, {_nmi_sql(e, "vec_id % 3").format(rows="pts")} AS nmi_policy_stance FROM {_scores_sql(e)} s{k}"""
-    for k, e in _DESIGNS.items()
-) + f""") SELECT embedding, n_clusters, {sql_rounded("silhouette", "calinski_harabasz", "davies_bouldin", "nmi_class", "nmi_policy_stance", digits=5)},
+    f"""SELECT '{name}' AS embedding, n_clusters, n_rows, silhouette, calinski_harabasz, davies_bouldin,
+    {_nmi_sql(label, "lag1_cls").format(rows=f"(FROM regime WHERE {_COMPLETE} AND {label} IS NOT NULL)")} AS nmi_class,
+    {_nmi_sql(label, "policy_stance").format(rows=f"(FROM regime WHERE {_COMPLETE} AND {label} IS NOT NULL)")} AS nmi_policy_stance
+    FROM {_scores_sql(f"SELECT series_id || ds AS i, {label} AS l, [px / 1000, fx / 1000, oil / 1000, move * 100]::DOUBLE[] AS v FROM regime WHERE {_COMPLETE} AND {label} IS NOT NULL")} s_{name}"""
+    for name, label in _DESIGNS.items()
+) + f""") SELECT embedding, n_clusters, n_rows, {sql_rounded("silhouette", "calinski_harabasz", "davies_bouldin", "nmi_class", "nmi_policy_stance", digits=5)},
     round(d.silhouette + 0.15 * d.nmi_class + 0.10 * d.nmi_policy_stance, 5) AS structural_silhouette_score,
-    row_number() OVER (ORDER BY d.silhouette + 0.15 * d.nmi_class + 0.10 * d.nmi_policy_stance DESC, n_clusters)::INT AS rank FROM d""")
+    row_number() OVER (PARTITION BY embedding ORDER BY d.silhouette + 0.15 * d.nmi_class + 0.10 * d.nmi_policy_stance DESC, n_clusters)::INT AS rank FROM d""")
 def regime_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the panel's two regime labels, with their relation to annual class and policy stance."""
+    known = materialize(views.regime_panel(spark, folder).where(_COMPLETE))
+    axes = {"px_s": F.col("px") / 1000, "fx_s": F.col("fx") / 1000, "oil_s": F.col("oil") / 1000, "move_s": F.col("move") * 100}
     designs = []
-    for k, expression in _DESIGNS.items():
-        rows = views.points(spark, folder).withColumns({"design": F.expr(expression).cast("int"), "part": F.col("vec_id") % 3})
-        scores = regimes.cluster_scores(regimes.score_sample(rows, ["vec_id"]), ["axis_1", "axis_2"], "design")
-        one = F.lit(1).alias("one")
-        aligned = scores.select("*", one)
-        for name, other in (("nmi_class", "label"), ("nmi_policy_stance", "part")):
-            aligned = aligned.join(regimes.nmi(rows, "design", other, name).select("*", one), "one")
-        designs.append(aligned.drop("one", "sample_size", "n_clusters").withColumns({"n_clusters": F.lit(k), "embedding": F.lit("abs")}))
+    for name, label in _DESIGNS.items():
+        rows = known.where(F.col(label).isNotNull())
+        scores = regimes.cluster_scores(rows.withColumns(axes), list(axes), label).withColumn("embedding", F.lit(name))
+        for column, other in (("nmi_class", "lag1_cls"), ("nmi_policy_stance", "policy_stance")):
+            scores = scores.withColumn(column, F.lit(regimes.nmi(rows, label, other, column).first()[0]))
+        designs.append(scores)
     ranked = regimes.rank_designs(panel.union_rows(*designs), ["nmi_class", "nmi_policy_stance"], "n_clusters")
     numbers = ["silhouette", "calinski_harabasz", "davies_bouldin", "nmi_class", "nmi_policy_stance", "structural_silhouette_score"]
     return rounded(ranked, 5, *numbers)
@@ -156,10 +169,12 @@ def regime_selection(spark: SparkSession, folder: str) -> DataFrame:
 @registered("""
   SELECT feature, round(loading_x, 6) AS loading_x, round(loading_y, 6) AS loading_y, round(sqrt(f.loading_x ** 2 + f.loading_y ** 2), 6) AS loading_norm FROM (
     SELECT feature, coalesce(corr(x, value), 0) AS loading_x, coalesce(corr(y, value), 0) AS loading_y FROM (
-      SELECT axis_1 AS x, axis_2 AS y, unnest(['v1', 'v2', 'v3']) AS feature, unnest([v1, v2, v3]) AS value FROM pts)
+      SELECT axis_1 AS x, axis_2 AS y, 'e' || (generate_subscripts(e, 1) - 1) AS feature, unnest(e) AS value FROM pts)
     WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) >= 30) f""")
 def biplot_loadings(spark: SparkSession, folder: str) -> DataFrame:
-    made = regimes.biplot_loadings(views.points(spark, folder), "axis_1", "axis_2", ["v1", "v2", "v3"])
+    """Correlation of every dimension with the two axes."""
+    rows, variables = spread_vectors(views.points(spark, folder))
+    made = regimes.biplot_loadings(rows, "axis_1", "axis_2", variables)
     return rounded(made, 6, "loading_x", "loading_y", "loading_norm")
 
 

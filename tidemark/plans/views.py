@@ -145,9 +145,9 @@ def prediction_log(spark: SparkSession, folder: str, panel: DataFrame | None = N
 
 
 def scored_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Document length as a score for document quality."""
+    """Document length, squeezed into (0, 1), as a score for document quality."""
     texts = table(spark, folder, "documents").select("doc_id", "source", "n_chars")
-    score = F.round(F.least(F.col("n_chars"), F.lit(20000)) / 20000.0, 6)
+    score = F.round(F.col("n_chars") / (F.col("n_chars") + 2000.0), 6)
     return table(spark, folder, "labels").join(texts, "doc_id").select(
         "doc_id", "source", F.col("quality").alias("y_true"), score.alias("proba_up")
     )
@@ -159,6 +159,18 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
-    """Two axes, three variables and two candidate clusterings from the vectors."""
-    at = {name: F.get("embedding", F.lit(i)).cast("double") for i, name in enumerate(["axis_1", "axis_2", "v1", "v2", "v3"])}
-    return table(spark, folder, "embeddings").select("vec_id", "label", *[c.alias(n) for n, c in at.items()])
+    """The vectors (``e``) with their label, and two linear forms over all dimensions as axes."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+
+    def axis(odd: int) -> Column:
+        return F.aggregate(F.transform(e, lambda x, i: F.when(i % 2 == odd, x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+
+    return table(spark, folder, "embeddings").select("vec_id", "label", e.alias("e"), axis(0).alias("axis_1"), axis(1).alias("axis_2"))
+
+
+def dimensions(points: DataFrame, name: str = "e") -> int:
+    """Length of the vectors; all must have the same."""
+    least, most = points.agg(F.min(F.size(name)), F.max(F.size(name))).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} dimensions")
+    return most or 0

@@ -7,8 +7,12 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tidemark") -> SparkSession:
-    """A local session for tests and benchmarks; a cluster brings its own."""
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tidemark", checkpoints: str | None = None) -> SparkSession:
+    """A local session for tests and benchmarks; a cluster brings its own.
+
+    ``checkpoints`` is the folder for checkpoints; without it a new one is made, as only
+    this process reads it. Checkpoints are deleted when nothing refers to them.
+    """
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -16,6 +20,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", checkpoints or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

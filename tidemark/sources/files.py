@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from tidemark.operators.panel import union_rows
 
+# What Spark says of a folder that does not exist, or that has no file yet.
+NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
 
 def find_file(spark: SparkSession, folders: Sequence[str], patterns: Sequence[str]) -> str | None:
     """The best match below the folders: shortest path first, then the largest file.
@@ -22,7 +25,9 @@ def find_file(spark: SparkSession, folders: Sequence[str], patterns: Sequence[st
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         try:
             found.append(reader.option("pathGlobFilter", "{" + ",".join(patterns) + "}").load(folder).select("path", "length"))
-        except AnalysisException:  # the folder does not exist
+        except AnalysisException as error:
+            if error.getCondition() not in NOTHING_THERE:
+                raise
             continue
     if not found:
         return None

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.files import replace_partitions
+from tidemark.sources.files import NOTHING_THERE, replace_partitions
 
 LEDGER_SCHEMA = "config_key string"
 
@@ -35,7 +35,9 @@ def pending(configs: DataFrame, done: DataFrame) -> DataFrame:
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.parquet(path).select("config_key").distinct()
-    except AnalysisException:  # nothing was finished yet
+    except AnalysisException as error:
+        if error.getCondition() not in NOTHING_THERE:
+            raise
         return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
