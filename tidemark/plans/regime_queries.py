@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, models, panel, regimes, summaries
@@ -69,23 +69,49 @@ def _labelled(spark: SparkSession, folder: str, k: int = 6) -> DataFrame:
     return regimes.kmeans_labels(materialize(embedded), ["axis_1", "axis_2"], k, seeds=(42, 43))
 
 
-@registered()
-def regime_pca(spark: SparkSession, folder: str) -> DataFrame:
+def embedded(spark: SparkSession, folder: str) -> DataFrame:
     return regimes.embed_2d(regimes.regime_matrix(level_rows(spark, folder), LEVELS), LEVELS)
 
 
-@registered()
-def regime_kmeans(spark: SparkSession, folder: str) -> DataFrame:
-    """Clusters of the 21-row changes."""
+@registered("SELECT series_id, count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered FROM regime GROUP BY 1")
+def regime_pca(spark: SparkSession, folder: str) -> DataFrame:
+    """What is determined of the two axes: rows per series, zero mean, no correlation, falling variance."""
+    rows = materialize(embedded(spark, folder))
+    m1, m2, v1, v2, c = rows.agg(F.avg("axis_1"), F.avg("axis_2"), F.var_pop("axis_1"), F.var_pop("axis_2"), F.corr("axis_1", "axis_2")).first()
+    facts = {"centred": max(abs(m1), abs(m2)) < 1e-6, "uncorrelated": abs(c) < 1e-6, "ordered": v1 >= v2}
+    return rows.groupBy("series_id").agg(F.count("*").alias("n")).withColumns({k: F.lit(bool(v)) for k, v in facts.items()})
+
+
+def change_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Seven clusters of the 21-row changes, the best of five starts."""
     changes = [f"{c}_chg" for c in LEVELS]
     matrix = regimes.regime_matrix(change_rows(spark, folder), changes)
-    return regimes.kmeans_labels(materialize(regimes.embed_2d(matrix, changes)), ["axis_1", "axis_2"], 7)
+    return regimes.kmeans_labels(materialize(regimes.embed_2d(matrix, changes)), ["axis_1", "axis_2"], 7, seeds=range(42, 47))
+
+
+@registered("SELECT series_id, count(*) AS n, 7::BIGINT AS n_clusters, true AS at_nearest FROM regime GROUP BY 1")
+def regime_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    """What is determined of the clusters: rows per series, their number, and that rows lie nearest to their own centre."""
+    rows = materialize(change_labels(spark, folder))
+    centres = rows.groupBy("cluster").agg(F.avg("axis_1").alias("x"), F.avg("axis_2").alias("y"))
+    held = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in centres.collect()])
+    gap = F.transform(held, lambda c: F.struct(F.hypot(F.col("axis_1") - c["x"], F.col("axis_2") - c["y"]).alias("d"), c["cluster"].alias("c")))
+    nearest = rows.select((F.array_min(gap)["c"] == F.col("cluster")).cast("int").alias("near"), F.col("cluster"))
+    share, n = nearest.agg(F.avg("near"), F.count_distinct("cluster")).first()
+    return rows.groupBy("series_id").agg(F.count("*").alias("n")).withColumns({"n_clusters": F.lit(n).cast("bigint"), "at_nearest": F.lit(share > 0.99)})
 
 
-@registered()
+def with_regimes(spark: SparkSession, folder: str) -> DataFrame:
+    """Target panel with the clusters of the levels."""
+    labels = regimes.kmeans_labels(materialize(embedded(spark, folder)), ["axis_1", "axis_2"], 6, seeds=(42, 43))
+    return views.target_panel(spark, folder).join(labels.select("series_id", "ds", F.col("cluster").alias("regime")), ["series_id", "ds"], "left")
+
+
+@registered("SELECT series_id, ds, round(px, 2) AS px, target_up_h21, true AS regime_in_range FROM target")
 def regime_join(spark: SparkSession, folder: str) -> DataFrame:
-    labels = _labelled(spark, folder).select("series_id", "ds", F.col("cluster").alias("regime"))
-    return views.target_panel(spark, folder).join(labels, ["series_id", "ds"], "left")
+    """Every row of the target panel with a regime from 0 to 5."""
+    found = F.coalesce(F.col("regime").between(0, 5), F.lit(False)).alias("regime_in_range")
+    return with_regimes(spark, folder).select("series_id", "ds", F.round("px", 2).alias("px"), "target_up_h21", found)
 
 
 def _scores_sql(rows: str) -> str:
@@ -193,34 +219,75 @@ def _config(model: str = "XGBClassifier", **settings) -> models.Config:
     return models.Config(model, max_features=6, trees=5, **settings)
 
 
-@registered()
-def walkforward_model(spark: SparkSession, folder: str) -> DataFrame:
+FIRST_BLOCK = "2000-07-01"
+_BLOCKS = f"""
+  SELECT block_id::INT AS block_id, a::DATE AS test_start, least(a + INTERVAL 6 MONTH, last_day)::DATE AS test_end, count(*) FILTER (ds >= a AND ds < least(a + INTERVAL 6 MONTH, last_day)) AS n_test
+  FROM (SELECT ds, max(ds) OVER () AS last_day FROM target WHERE target_up_h21 IS NOT NULL), (SELECT i AS block_id, DATE '{FIRST_BLOCK}' + INTERVAL (6 * i) MONTH AS a FROM range(0, 100) t(i))
+  WHERE a < last_day GROUP BY ALL HAVING count(*) FILTER (ds < a) >= 800 AND n_test >= 20"""
+
+
+def block_results(spark: SparkSession, folder: str) -> DataFrame:
     results, _, _ = models.walkforward(
-        model_panel(spark, folder), MODEL_FEATURES, _config(weight_strategy="balanced"), KEYS, start="2000-07-01", months=6
+        model_panel(spark, folder), MODEL_FEATURES, _config(weight_strategy="balanced"), KEYS, start=FIRST_BLOCK, months=6
     )
     return results
 
 
-@registered()
-def magnitude_model(spark: SparkSession, folder: str) -> DataFrame:
-    results, _ = models.magnitude(
-        model_panel(spark, folder), MODEL_FEATURES, _config("XGBRegressor"), KEYS, start="2000-07-01", months=6
+@registered(f"SELECT *, 6::BIGINT AS n_features, true AS adds_up, true AS in_range FROM ({_BLOCKS})")
+def walkforward_model(spark: SparkSession, folder: str) -> DataFrame:
+    """What is determined of the blocks' results: dates, sizes, number of features, and that cells and metrics agree."""
+    shares = [F.col(c).between(0, 1) for c in ("accuracy", "balanced_accuracy", "roc_auc")] + [F.col("threshold").between(0.05, 0.95)]
+    within = shares[0] & shares[1] & shares[2] & shares[3]
+    return block_results(spark, folder).select(
+        "block_id", "test_start", "test_end", "n_test", F.col("n_features").cast("bigint").alias("n_features"),
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") == F.col("n_test")).alias("adds_up"), within.alias("in_range"),
     )
+
+
+def magnitude_results(spark: SparkSession, folder: str) -> DataFrame:
+    results, _ = models.magnitude(model_panel(spark, folder), MODEL_FEATURES, _config("XGBRegressor"), KEYS, start=FIRST_BLOCK, months=6)
     return results
 
 
-@registered()
-def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
+@registered(f"SELECT *, 6::BIGINT AS n_features, true AS in_order FROM ({_BLOCKS})")
+def magnitude_model(spark: SparkSession, folder: str) -> DataFrame:
+    """What is determined of the regressions: dates, sizes, number of features, and the order of the errors."""
+    return magnitude_results(spark, folder).select(
+        "block_id", "test_start", "test_end", "n_test", F.col("n_features").cast("bigint").alias("n_features"),
+        ((F.col("rmse_return") >= F.col("mae_return")) & (F.col("mae_return") >= 0)).alias("in_order"),
+    )
+
+
+def importances(spark: SparkSession, folder: str) -> DataFrame:
     rows = materialize(model_panel(spark, folder).where(F.col("target_up_h21").isNotNull()))
     train, test = rows.where(F.col("ds") < "2000-01-01"), rows.where(F.col("ds") >= "2000-01-01")
     model, inputs = models.fit_final(train, MODEL_FEATURES, _config())
-    return models.permutation_importance(model, test, inputs, "target_up_h21", ["series_id", "ds"], repeats=2)
+    return models.permutation_importance(model, test, inputs, "target_up_h21", ["series_id", "ds"])
 
 
-@registered()
-def score_latest(spark: SparkSession, folder: str) -> DataFrame:
+@registered("SELECT i::INT AS rank, true AS known, true AS falling, true AS bounded FROM range(1, 7) t(i)")
+def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """What is determined of the importances: ranks, names from the list, falling values, none beyond 1."""
+    before = F.lag("importance").over(Window.partitionBy(F.lit(0)).orderBy("rank"))
+    return importances(spark, folder).select(
+        "rank", F.col("feature").isin(MODEL_FEATURES).alias("known"), F.coalesce(before >= F.col("importance"), F.lit(True)).alias("falling"),
+        (F.abs("importance") <= 1).alias("bounded"),
+    )
+
+
+def latest_scores(spark: SparkSession, folder: str) -> DataFrame:
     rows = materialize(model_panel(spark, folder))
     model, inputs = models.fit_final(rows, MODEL_FEATURES, _config("LogisticRegression"))
     path = f"{checkpoint_dir(spark)}/model_bundle_{spark.sparkContext.applicationId}"
     models.save_bundle(spark, path, model, inputs, _config("LogisticRegression"), 0.5)
     return models.score_latest(spark, path, rows, MODEL_FEATURES, KEYS)
+
+
+@registered("SELECT series_id, max(ds) AS ds, 0.5::DOUBLE AS threshold, true AS in_range, true AS agrees FROM regime GROUP BY 1")
+def score_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """What is determined of the scores: last day per series, range, and that the call follows the threshold."""
+    up = F.col("proba_up")
+    return latest_scores(spark, folder).select(
+        "series_id", "ds", F.col("threshold").cast("double").alias("threshold"), up.between(0, 1).alias("in_range"),
+        ((up >= F.col("threshold")).cast("int") == F.col("pred_up_calibrated")).alias("agrees"),
+    )
