@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpoint_dir
@@ -12,6 +12,9 @@ from tidemark.session import checkpoint_dir
 #: Rows of a few fixed-width columns that may be broadcast (tens of MB), once they are counted.
 BROADCAST_ROWS = 500_000
 
+#: Folders that this process has stored tables in.
+STORED: list[str] = []
+
 #: Words of the contracts: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,14 +46,24 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
     Lineage ends here and a lost executor costs nothing. Unlike ``checkpoint()`` the
-    columns are encoded and compressed, and Spark knows the size of what it reads.
+    columns are encoded and compressed, and Spark knows the size of what it reads. The
+    files stay until ``forget`` is called, as results that are read later need them.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete what ``stored`` wrote in this process, and say how many tables. Results that need it must be written before."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in STORED]
+    gone = [p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True) for p in paths]
+    STORED.clear()
+    return sum(gone)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` narrow rows, else as it is.
 

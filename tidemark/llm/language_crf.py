@@ -226,7 +226,7 @@ def sample(docs: DataFrame, docs_of_each: int = SAMPLE_DOCS, chars: int = SAMPLE
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     drawn = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     start = F.pmod("h", F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    part = known.join(F.broadcast(counts.limit(10_000)), "lang").where(drawn * F.col("n") < docs_of_each)
+    part = known.join(counts, "lang").where(drawn * F.col("n") < docs_of_each)
     rows = part.select(F.substring("text", start, F.lit(chars)).alias("text"), "lang", "h").collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"]))]
 
