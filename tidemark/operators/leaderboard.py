@@ -69,6 +69,16 @@ def top_config_sample(
     return last_rows(of_configs(predictions, chosen), CONFIG, ts, rows, tiebreak)
 
 
+# What each audited feature set leaves out.
+AUDIT_NOTES = {
+    "colombia_only": "Base local sin contexto global.",
+    "colombia_plus_global_compact": "Modelo global compacto original.",
+    "global_no_gold_direct": "Excluye GLD, IAU y GC=F.",
+    "global_no_metals": "Excluye oro, plata y metales cercanos.",
+    "global_macro_only": "Conserva solo macro global: dólar, VIX, tasas, equity, petróleo.",
+}
+
+
 def audit_summary(
     summary: DataFrame,
     sets: Sequence[str] = AUDIT_SETS,
@@ -92,4 +102,5 @@ def audit_summary(
         "mean_roc_auc",
         (score - F.col("__best")).alias("delta_bacc_vs_best"),
         status.otherwise(AUDIT_DEFAULT).alias("status"),
+        F.coalesce(*[F.when(F.col("feature_set") == s, note) for s, note in AUDIT_NOTES.items()], F.lit("")).alias("interpretacion"),
     )

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import sanitize
-from tidemark.functions.markers import CONTEXT
+from tidemark.functions.markers import CONTEXT, feature_group, is_context
 from tidemark.operators.calibration import sample_weights, threshold_search
 from tidemark.operators.metrics import confusion_columns, balanced_accuracy, evaluate, regression_metrics
 from tidemark.operators.ordered import exact_quantiles
@@ -256,7 +256,7 @@ def walkforward(
         )
         chosen = known.sparkSession.createDataFrame(
             [(i + 1, name) for i, name in enumerate(inputs.names)], "rank int, feature string"
-        )
+        ).withColumn("is_global", is_context(F.col("feature")))
         return _mark(result, config, split), _mark(log, config, split), _mark(chosen, config, split)
 
     with ThreadPoolExecutor(parallel) as pool:
@@ -297,9 +297,11 @@ SHUFFLE_BUCKET = 1000
 
 
 def permutation_importance(
-    model: Model, test: DataFrame, inputs: Inputs, label: str, ident: Sequence[str], repeats: int = 5, threshold: float = 0.5
+    model: Model, test: DataFrame, inputs: Inputs, label: str, ident: Sequence[str], repeats: int = 5, threshold: float = 0.5, config: Config | None = None
 ) -> DataFrame:
-    """Loss of balanced accuracy when one feature is shuffled; mean, deviation and rank.
+    """Loss of balanced accuracy when one feature is shuffled; mean, deviation, rank and the feature's group.
+
+    With ``config`` its model and feature set are columns too.
 
     Rows are dealt at random into buckets of about a thousand and the feature's values
     move one row on in a random order inside each bucket. That is a permutation of the
@@ -330,7 +332,9 @@ def permutation_importance(
         F.avg(F.lit(base) - F.col("bacc")).alias("importance"), F.stddev_pop("bacc").alias("importance_std")
     )
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "f"))
-    return summary.select(F.get(names, F.col("f")).alias("feature"), "importance", "importance_std", rank.alias("rank"))
+    ranked = summary.select(F.get(names, F.col("f")).alias("feature"), "importance", "importance_std", rank.alias("rank"))
+    marks = {} if config is None else {"model": F.lit(config.model), "feature_set": F.lit(config.feature_set)}
+    return ranked.withColumns({"group": feature_group(F.col("feature")), **marks})
 
 
 def fit_final(

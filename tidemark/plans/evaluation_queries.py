@@ -90,7 +90,10 @@ def best_per_group(spark: SparkSession, folder: str) -> DataFrame:
     round(mean_balanced_accuracy, 6) AS mean_balanced_accuracy, round(mean_roc_auc, 6) AS mean_roc_auc,
     round(mean_balanced_accuracy - top, 6) AS delta_bacc_vs_best,
     CASE WHEN feature_set = 'colombia_plus_global_compact' THEN 'referencia' WHEN best.mean_balanced_accuracy >= top - 0.03 THEN 'verde_se_sostiene'
-      WHEN best.mean_balanced_accuracy >= top - 0.10 THEN 'amarillo_baja_moderada' ELSE 'rojo_dependencia_alta' END AS status
+      WHEN best.mean_balanced_accuracy >= top - 0.10 THEN 'amarillo_baja_moderada' ELSE 'rojo_dependencia_alta' END AS status,
+    CASE feature_set WHEN 'colombia_only' THEN 'Base local sin contexto global.' WHEN 'colombia_plus_global_compact' THEN 'Modelo global compacto original.'
+      WHEN 'global_no_gold_direct' THEN 'Excluye GLD, IAU y GC=F.' WHEN 'global_no_metals' THEN 'Excluye oro, plata y metales cercanos.'
+      WHEN 'global_macro_only' THEN 'Conserva solo macro global: dólar, VIX, tasas, equity, petróleo.' ELSE '' END AS interpretacion
   FROM best WHERE rn = 1""")
 def audit_summary(spark: SparkSession, folder: str) -> DataFrame:
     audit = leaderboard.audit_summary(leaderboard.classification_summary(results_by_set(spark, folder)))

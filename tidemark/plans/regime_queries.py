@@ -262,7 +262,7 @@ def importances(spark: SparkSession, folder: str) -> DataFrame:
     rows = materialize(model_panel(spark, folder).where(F.col("target_up_h21").isNotNull()))
     train, test = rows.where(F.col("ds") < "2000-01-01"), rows.where(F.col("ds") >= "2000-01-01")
     model, inputs = models.fit_final(train, MODEL_FEATURES, _config())
-    return models.permutation_importance(model, test, inputs, "target_up_h21", ["series_id", "ds"])
+    return models.permutation_importance(model, test, inputs, "target_up_h21", ["series_id", "ds"], config=_config())
 
 
 @registered("SELECT i::INT AS rank, true AS known, true AS falling, true AS bounded FROM range(1, 7) t(i)")
