@@ -12,6 +12,12 @@ from tidemark.session import checkpoint_dir
 #: Rows of a few fixed-width columns that may be broadcast (tens of MB), once they are counted.
 BROADCAST_ROWS = 500_000
 
+#: Rows and list items that may be broadcast, once they are counted; an item has 16 bytes at most.
+BROADCAST_ITEMS = 1_500_000
+
+#: Bytes of the Arrow batches in which texts travel to Python.
+BATCH_BYTES = 8 << 20
+
 #: Folders that this process has stored tables in.
 STORED: list[str] = []
 
@@ -42,6 +48,14 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def text_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Have texts travel to Python in Arrow batches of ``most`` bytes at most, as rows may be long; a smaller setting, given in bytes, stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= most):
+        spark.conf.set(name, f"{most}b")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
@@ -70,3 +84,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     ``df`` should be stored or checkpointed, as it is counted.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def small_lists(df: DataFrame, column: str, items: int = BROADCAST_ITEMS) -> DataFrame:
+    """Like ``small``, for rows with a list: rows and list items together are at most ``items``."""
+    rows, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
+    return F.broadcast(df) if rows + held <= items else df

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, row_key, stored
+from tidemark.llm.common import fresh, row_key, small_lists, stored
 
 #: Lines of a gram: the shortest run that can be deleted.
 GRAM = 3
@@ -104,7 +104,7 @@ def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> tuple[Data
     """
     key, gone, many = fresh(docs, "doc_key", "gone_lines", "n_removed")
     found = stored(cuts(docs, gram, window).select(F.col("doc_key").alias(key), F.col("gone").alias(gone)))
-    joined = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(found, key, "left")
+    joined = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(small_lists(found, gone), key, "left")
     lines = F.split(F.col("text"), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n")
