@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import fresh, small, stored, text_key
+from tidemark.llm.common import fresh, small, small_lists, stored, text_batches, text_key
 
 #: Bytes of a repeated string.
 LENGTH = 200
@@ -42,12 +42,10 @@ LENGTH = 200
 GRAM = 32
 GRAMS = LENGTH - GRAM + 1
 #: Bytes of text that are hashed at once, and that a block of buckets has.
-PIECE = 1 << 20
-BLOCK = 1 << 21
+PIECE = 1 << 18
+BLOCK = 1 << 19
 #: A key with more different runs is counted by digest.
 HOT = 4_000
-#: Spans of repeated bytes that may be broadcast to the texts (16 bytes each).
-BROADCAST_SPANS = 2_000_000
 
 # A perfect difference set; every residue modulo 73 is a difference of two of them.
 PERIOD = 73
@@ -316,6 +314,7 @@ def merge_at(at: pd.Series) -> pd.Series:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(text_key, spans): bytes to remove from each different text, as merged (begin, end) in order; texts without any are left out."""
+    text_batches(docs.sparkSession)
     texts = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes")).where(F.length("bytes") >= LENGTH)
     counted = texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("stands"), F.min(F.length("bytes")).alias("size")).where("copies > 1")
     copied = stored(counted)
@@ -389,9 +388,7 @@ def dedup(docs: DataFrame) -> tuple[DataFrame, str]:
     """
     key, gone, made = fresh(docs, "text_key", "gone_spans", "deduped")
     found = repeated_spans(docs).select(F.col("text_key").alias(key), F.col("spans").alias(gone))
-    many = found.agg(F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()[0]
-    side = F.broadcast(found) if many <= BROADCAST_SPANS else found
-    joined = docs.withColumn(key, text_key(F.col("text"))).join(side, key, "left")
+    joined = docs.withColumn(key, text_key(F.col("text"))).join(small_lists(found, gone), key, "left")
     return joined.withColumn(made, without(F.col("text"), F.col(gone))).select(*docs.columns, made), made
 
 
