@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm.common import fresh, row_key, stored
+from tidemark.llm.common import fresh, row_key, stored, text_batches
 
 #: A chunk ends where these many top bits of the hash are zero: one byte in 32.
 MASK_BITS = 5
@@ -103,6 +103,7 @@ def repeats(docs: DataFrame, stretch: int = STRETCH) -> DataFrame:
     of (doc_id, doc_key), null ids last, or earlier in the document itself. A stretch is
     a sequence of repeats without a gap. Rows that repeat id and text are one document.
     """
+    text_batches(docs.sparkSession)
     own = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("doc_key"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes")).where(F.length("bytes") > 0)
     chunks = stored(own.select("doc_key", "bytes").mapInArrow(chunk_batches, CHUNKS_DDL))
     # half of a digest finds what may repeat, the whole decides

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, row_key, small, stored
+from tidemark.llm.common import fresh, row_key, small, stored, text_batches
 from tidemark.llm.components import components
 
 BITS = 64
@@ -101,6 +101,7 @@ def fingerprint_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, doc_key and the fingerprint (as a signed long) of every row of ``docs``."""
+    text_batches(docs.sparkSession)
     own = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("doc_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return own.mapInPandas(fingerprint_batches, f"doc_id {kind}, doc_key binary, fp long")

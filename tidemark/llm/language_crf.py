@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, row_key, small, stored
+from tidemark.llm.common import fresh, row_key, small, stored, text_batches
 
 #: About so many labelled documents of each language are sampled, and so many characters of each, from anywhere in it.
 SAMPLE_DOCS = 300
@@ -295,6 +295,7 @@ def label(docs: DataFrame, field: Field | None) -> DataFrame:
     order. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     own = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("doc_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, doc_key binary, lang_pred string, score double, runs array<struct<lang:string,first_word:int,n_words:int>>"

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm.common import WORD, fresh, row_key, small, stored
+from tidemark.llm.common import WORD, fresh, row_key, small, stored, text_batches
 
 #: A line is boilerplate if more texts of its host hold it than both of these allow.
 MOST_TEXTS = 20
@@ -117,6 +117,7 @@ def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def profile(docs: DataFrame, host: str) -> DataFrame:
     """One row per document: row_id, doc_id, doc_key, host, the counts, and its lines."""
+    text_batches(docs.sparkSession)
     named = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("doc_key"), F.col(host).cast("string").alias("host"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = named.mapInPandas(profiles, f"doc_id {kind}, doc_key binary, host string, {PROFILE}")

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, row_key, small, stored
+from tidemark.llm.common import fresh, row_key, small, stored, text_batches
 
 #: Consecutive words that make a window; a shorter item is one window.
 WINDOW = 13
@@ -188,6 +188,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     empty, without items nothing is hit. Items are a stated query set: they go to the
     tasks in blocks of ``block_bytes``, and the blocks' results are merged per document.
     """
+    text_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     own = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("doc_key"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, doc_key binary, {RESULT}"
