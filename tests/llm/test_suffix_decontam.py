@@ -53,6 +53,13 @@ def test_verdicts_and_removal(spark):
     assert sorted(repr(r[0]) for r in kept.collect()) == sorted(repr(r[0]) for r in ROWS if not brute(r[1], ITEMS)[4])
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
+def test_every_row_in_any_block_size(spark, block_bytes):
+    docs, items = spark.createDataFrame([(*r, "x", "y") for r in ROWS], DOCS), spark.createDataFrame(ITEMS, "item_id long, text string")
+    made = sd.contamination(docs, items, block_bytes=block_bytes).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert sorted(repr(tuple(r)) for r in made) == sorted(repr((r[0], *brute(r[1], ITEMS))) for r in ROWS)
+
+
 def test_empty(spark):
     docs, none = spark.createDataFrame([(*r, "x", "y") for r in ROWS], DOCS), spark.createDataFrame([], "item_id long, text string")
     assert sd.contamination(docs.limit(0), none).count() == 0

@@ -174,7 +174,13 @@ def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, sc) -> Iterat
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Hits of all test items in each document.
+    """Like ``row_matches``, but where the items fill several blocks, documents that repeat id and text are one row."""
+    parts = block_matches(docs, benchmark, window, block_bytes)
+    return parts[0] if len(parts) == 1 else merged(parts).drop("n_rows")
+
+
+def row_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Hits of all test items in each document, one row per row of ``docs`` whatever the size of the items.
 
     Returns doc_id, doc_key (of id and text), n_words, hits (word ranges start, end, ...,
     merged and in order), items (ids as text, in order, each once), longest and
@@ -188,26 +194,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     empty, without items nothing is hit. Items are a stated query set: they go to the
     tasks in blocks of ``block_bytes``, and the blocks' results are merged per document.
     """
+    parts = block_matches(docs, benchmark, window, block_bytes)
+    if len(parts) == 1:
+        return parts[0]
+    return merged(parts).withColumn("n_rows", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows"))).drop("n_rows")
+
+
+def block_matches(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list[DataFrame]:
+    """The hits of each block of items, one row per row of ``docs`` in every block."""
     text_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     own = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("doc_key"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, doc_key binary, {RESULT}"
     blocks = list(blocks_of(benchmark, window, block_bytes, sc)) or [sc.broadcast(Items([], window))]
-    parts = [own.mapInPandas(matcher(block), schema) for block in blocks]
-    return parts[0] if len(parts) == 1 else merged(parts)
+    return [own.mapInPandas(matcher(block), schema) for block in blocks]
 
 
 def merged(parts: list[DataFrame]) -> DataFrame:
-    """One row per document from the results of several blocks of items. Rows that repeat id and text become one."""
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
-    gathered = united.groupBy("doc_key").agg(
+    """One row per different document from the results of several blocks of items, and in n_rows how many rows it has in ``docs``.
+
+    Copies are counted per block first, so that their hits are gathered once and not once a copy.
+    """
+    united = parts[0].withColumn("block", F.lit(0))
+    for i, part in enumerate(parts[1:], 1):
+        united = united.unionByName(part.withColumn("block", F.lit(i)))
+    best = F.max(F.struct("longest", "longest_at")).alias("best")
+    single = united.groupBy("doc_key", "block").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("hits").alias("hits"), F.first("items").alias("items"), best, F.count(F.lit(1)).alias("n_rows"))
+    gathered = single.groupBy("doc_key").agg(
         F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("hits")).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max(F.struct("longest", "longest_at")).alias("best"),
+        F.max("best").alias("best"),
+        F.max("n_rows").alias("n_rows"),
     )
     ranges = F.expr("array_sort(transform(sequence(0, cast(size(hits) / 2 as int) - 1), i -> struct(hits[2 * i] as a, hits[2 * i + 1] as b)))")
     folded = F.aggregate(
@@ -217,7 +236,7 @@ def merged(parts: list[DataFrame]) -> DataFrame:
             F.concat(done, F.array(x["a"], x["b"]))
         ),
     )
-    return gathered.select("doc_id", "doc_key", "n_words", folded.alias("hits"), "items", F.col("best.longest").alias("longest"), F.col("best.longest_at").alias("longest_at"))
+    return gathered.select("doc_id", "doc_key", "n_words", folded.alias("hits"), "items", F.col("best.longest").alias("longest"), F.col("best.longest_at").alias("longest_at"), "n_rows")
 
 
 def matcher(held: Broadcast):
@@ -245,9 +264,9 @@ def hit_words(hits: Column) -> Column:
     return F.aggregate(F.transform(hits, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, doc_key, n_words, n_hit, n_items, items_sha256, contaminated, hits, longest, longest_at."""
-    found = matches(docs, benchmark).withColumn("n_hit", hit_words(F.col("hits")))
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, doc_key, n_words, n_hit, n_items, items_sha256, contaminated, hits, longest, longest_at, for every row of ``docs``."""
+    found = row_matches(docs, benchmark, block_bytes=block_bytes).withColumn("n_hit", hit_words(F.col("hits")))
     return found.select(
         "doc_id", "doc_key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).alias("contaminated"), "hits", "longest", "longest_at",
