@@ -13,6 +13,7 @@ array is built over those; a window cannot cross a word that no item has.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ WINDOW = 13
 SHARD_WORDS = 1_000_000
 #: Test items travel to the tasks in blocks of so many bytes at most.
 BLOCK_BYTES = 64 << 20
+#: Windows that are searched at a time.
+SEARCHED = 1 << 16
 #: A document is contaminated if hit words are at least one in so many.
 SHARE = 20
 
@@ -42,65 +45,153 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """Test items as numbers: their words, and each different window with the items that have it."""
+    """Test items as numbers, in memory that grows with their words only.
+
+    ``flat`` has the words of all items, a zero after each. Different windows are
+    numbered: ``heads`` has where each stands first in ``flat``, ``lengths`` its words,
+    ``spots`` from ``spot_from[w]`` on all its places, ``owners`` from ``owner_from[w]``
+    on the items that have it, as places in ``names``.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
         self.numbers: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], dict[str, None]] = {}
-        tails: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.window = window
+        names: dict[str, int] = {}
+        flat, begins, sizes, item = array("i"), array("q"), array("q"), array("q")
         for name, text in items:
-            own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in split_words(text)]
-            length = min(window, len(own))
-            for at in range(len(own) - length + 1 if own else 0):
-                cut = tuple(own[at : at + length])
-                windows.setdefault(cut, {})[name] = None
-                tails[cut] = max(tails.get(cut, ()), tuple(own[at:]), key=len)
-        self.names = [list(x) for x in windows.values()]
-        self.lengths = np.array([len(x) for x in windows], dtype=np.int64)
-        self.heads = padded(list(windows), max(self.lengths, default=0))
-        self.tail_lengths = np.array([len(tails[x]) for x in windows], dtype=np.int64)
-        self.tails = padded([tails[x] for x in windows], max(self.tail_lengths, default=0))
-
-
-def padded(rows: list[tuple[int, ...]], width: int) -> np.ndarray:
-    made = np.zeros((len(rows), int(width)), dtype=np.int32)
-    for i, row in enumerate(rows):
-        made[i, : len(row)] = row
-    return made
+            begins.append(len(flat))
+            flat.extend(self.numbers.setdefault(w, len(self.numbers) + 1) for w in split_words(text))
+            sizes.append(len(flat) - begins[-1])
+            item.append(names.setdefault(name, len(names)))
+            flat.append(0)
+        self.names = np.array(list(names), dtype=object)
+        self.flat = np.array(flat, dtype=np.int32)
+        size = np.array(sizes, dtype=np.int64)
+        length = np.minimum(size, window)
+        count = np.where(size > 0, size - length + 1, 0)
+        at, length, item = ranges(np.array(begins, dtype=np.int64), count), np.repeat(length, count), np.repeat(np.array(item, dtype=np.int64), count)
+        kind, heads, lengths = numbered(self.flat, at, length)
+        self.heads, self.lengths = heads.astype(np.int32), lengths.astype(np.int32)
+        by_kind = np.argsort(kind, kind="stable")
+        edges = np.arange(len(self.heads) + 1)
+        self.spots, self.spot_from = at[by_kind].astype(np.int32), np.searchsorted(kind[by_kind], edges).astype(np.int32)
+        owned = np.unique(kind * max(len(names), 1) + item)
+        self.owners, self.owner_from = (owned % max(len(names), 1)).astype(np.int32), np.searchsorted(owned // max(len(names), 1), edges).astype(np.int32)
+
+    def held(self, windows: np.ndarray, values: str) -> np.ndarray:
+        """The "spots" or "owners" of all ``windows``."""
+        begin = getattr(self, f"{values[:-1]}_from")
+        return getattr(self, values)[ranges(begin[windows], begin[windows + 1] - begin[windows])]
+
+
+def ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts[i]`` numbers from ``begins[i]`` on, for every i."""
+    counts = counts.astype(np.int64)
+    return np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def doubled(rank: np.ndarray, step: int) -> tuple[np.ndarray, int]:
+    """Ranks of twice as many words from ranks of the first ``step``, and how many are different."""
+    after = np.zeros_like(rank)
+    after[:-step] = rank[step:] + 1
+    different, rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)
+    return rank, len(different)
+
+
+def numbered(flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each window of ``length`` words at ``at``, equal windows having one; and per number its first place and its length.
+
+    Two overlapping stretches of a power of two of words tell a window.
+    """
+    kind, heads, lengths = np.zeros(len(at), dtype=np.int64), [], []
+    rank, step, made = flat.astype(np.int64), 1, 0
+    for n in np.unique(length):
+        while 2 * step <= n:
+            rank, step = doubled(rank, step)[0], 2 * step
+        own = np.flatnonzero(length == n)
+        pair = rank[at[own]] * (int(rank.max()) + 1) + rank[at[own] + n - step]
+        different, first, which = np.unique(pair, return_index=True, return_inverse=True)
+        kind[own] = made + which
+        heads.append(at[own[first]])
+        lengths.append(np.full(len(different), n))
+        made += len(different)
+    return kind, np.concatenate([np.zeros(0, dtype=np.int64), *heads]), np.concatenate([np.zeros(0, dtype=np.int64), *lengths])
 
 
 def sorted_suffixes(words: np.ndarray, depth: int) -> np.ndarray:
     """Positions of ``words`` in order of their suffixes, by the first ``depth`` words at least."""
-    rank, step = words.astype(np.int64), 1
-    while True:
-        different, rank = np.unique(rank, return_inverse=True)
-        if step >= depth or len(different) == len(rank):
-            return np.argsort(rank, kind="stable")
-        after = np.zeros_like(rank)
-        after[:-step] = rank[step:] + 1
-        rank, step = rank * (len(different) + 1) + after, step * 2
-
-
-def search(words: np.ndarray, order: np.ndarray, asked: np.ndarray, lengths: np.ndarray, upper: bool) -> np.ndarray:
-    """For each row of ``asked`` the first place in ``order`` whose suffix is not under it (``upper``: is beyond it)."""
-    low, high = np.zeros(len(asked), dtype=np.int64), np.full(len(asked), len(order), dtype=np.int64)
-    columns = np.arange(asked.shape[1])
-    while (open_ := low < high).any():
-        middle = (low + high) // 2
-        there = words[np.minimum(order[np.minimum(middle, len(order) - 1)][:, None] + columns, len(words) - 1)]
-        unequal = (there != asked) & (columns < lengths[:, None])
-        first = unequal.argmax(axis=1)
-        rows = np.arange(len(asked))
-        differs = unequal[rows, first]
-        under = np.where(differs, there[rows, first] < asked[rows, first], upper)
-        low, high = np.where(open_ & under, middle + 1, low), np.where(open_ & ~under, middle, high)
-    return low
-
-
-def common_words(words: np.ndarray, starts: np.ndarray, asked: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    columns = np.arange(asked.shape[1])
-    there = words[np.minimum(starts[:, None] + columns, len(words) - 1)]
-    return ((there == asked) & (columns < lengths[:, None])).cumprod(axis=1).sum(axis=1)
+    different, rank = np.unique(words, return_inverse=True)
+    many, step = len(different), 1
+    while step < depth and many < len(rank):
+        (rank, many), step = doubled(rank, step), 2 * step
+    return np.argsort(rank, kind="stable")
+
+
+def search(words: np.ndarray, order: np.ndarray, items: Items, upper: bool) -> np.ndarray:
+    """For each window of ``items`` the first place in ``order`` whose suffix is not under it (``upper``: is beyond it)."""
+    found = [np.zeros(0, dtype=np.int64)]
+    for begin in range(0, len(items.heads), SEARCHED):
+        heads, lengths = items.heads[begin : begin + SEARCHED], items.lengths[begin : begin + SEARCHED]
+        columns, rows = np.arange(lengths.max()), np.arange(len(heads))
+        asked = items.flat[np.minimum(heads[:, None] + columns, len(items.flat) - 1)]
+        low, high = np.zeros(len(heads), dtype=np.int64), np.full(len(heads), len(order), dtype=np.int64)
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            there = words[np.minimum(order[np.minimum(middle, len(order) - 1)][:, None] + columns, len(words) - 1)]
+            unequal = (there != asked) & (columns < lengths[:, None])
+            first = unequal.argmax(axis=1)
+            under = np.where(unequal[rows, first], there[rows, first] < asked[rows, first], upper)
+            low, high = np.where(open_ & under, middle + 1, low), np.where(open_ & ~under, middle, high)
+        found.append(low)
+    return np.concatenate(found)
+
+
+def with_breaks(at: np.ndarray, window: np.ndarray, symbol: int) -> tuple[np.ndarray, np.ndarray]:
+    """``window`` with a symbol of its own, from ``symbol`` on, after each run of consecutive places ``at``; and where each window went."""
+    place = np.arange(len(at)) + np.concatenate(([0], np.cumsum(np.diff(at) != 1)))
+    made = symbol + np.arange(place[-1] + 2)
+    made[place] = window
+    return made, place
+
+
+def reach(at: np.ndarray, window: np.ndarray, items: Items) -> np.ndarray:
+    """Words of the longest match with a test item that begins at each hit: of ``window`` at ``at``, in order of ``at``.
+
+    A match of some words more than a window is so many windows more, one after the
+    other, in the document and in the item. So the windows hit and the places of the
+    same windows in the items are sorted as suffixes, and the longest match of a hit is
+    that with the next item suffix on either side.
+    """
+    made = items.lengths[window].copy()
+    whole = np.flatnonzero(made == items.window)
+    if not len(whole):
+        return made
+    used = np.unique(window[whole])
+    spots = items.held(used, "spots")
+    kinds = np.repeat(used, items.spot_from[used + 1] - items.spot_from[used])
+    by_spot = np.argsort(spots, kind="stable")
+    mine, place = with_breaks(at[whole], window[whole], len(items.heads))
+    theirs = with_breaks(spots[by_spot], kinds[by_spot], len(items.heads) + len(mine))[0]
+    different, rank = np.unique(np.concatenate((mine, theirs)), return_inverse=True)
+    levels, many, step = [], len(different), 1
+    while many < len(rank):
+        levels.append(rank.astype(np.int32))
+        (rank, many), step = doubled(rank, step), 2 * step
+    order = np.argsort(rank)
+    spot = np.where(order >= len(mine), np.arange(len(order)), -1)
+    before = np.maximum.accumulate(spot)
+    after = np.minimum.accumulate(np.where(spot < 0, len(order), spot)[::-1])[::-1]
+    longest = np.zeros(len(place), dtype=np.int64)
+    for side in (before, after):
+        near = side[rank[place]]
+        usable = (near >= 0) & (near < len(order))
+        a, b = place[usable], order[near[usable]]
+        same = np.zeros(len(a), dtype=np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            same += (levels[k][a + same] == levels[k][b + same]).astype(np.int64) << k
+        longest[usable] = np.maximum(longest[usable], same)
+    made[whole] += longest - 1
+    return made
 
 
 def match_shard(texts: list[list[bytes]], items: Items) -> list[tuple[int, list[int], list[str], int, int]]:
@@ -122,30 +213,21 @@ def match_shard(texts: list[list[bytes]], items: Items) -> list[tuple[int, list[
     if not len(begins):
         return found
     sizes = ends - begins + 1  # each run with the zero after it
-    places = np.repeat(begins - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+    places = ranges(begins, sizes)
     words = np.concatenate((stream[places], [0]))
     places = np.concatenate((places, [len(stream) - 1]))
-    order = sorted_suffixes(words, items.tails.shape[1])
-    low = search(words, order, items.heads, items.lengths, False)
-    high = search(words, order, items.heads, items.lengths, True)
+    order = sorted_suffixes(words, int(items.lengths.max()))
+    low, high = search(words, order, items, False), search(words, order, items, True)
     has = np.flatnonzero(high > low)
     if not len(has):
         return found
     count = high[has] - low[has]
-    rows = np.repeat(low[has] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
     window = np.repeat(has, count)
-    at = places[order[rows]]
+    at = places[order[ranges(low[has], count)]]
     doc = np.searchsorted(starts, at, side="right") - 1
-    # the longest match of each test suffix lies beside its own place in the order
-    best = search(words, order, items.tails[has], items.tail_lengths[has], False)
-    sides = [order[np.clip(best - d, 0, len(order) - 1)] for d in (0, 1)]
-    reach = [common_words(words, s, items.tails[has], items.tail_lengths[has]) for s in sides]
-    length, place = np.maximum(*reach), places[np.where(reach[0] >= reach[1], *sides)]
-    longest: dict[int, tuple[int, int]] = {}
-    for d, n, p in zip(np.searchsorted(starts, place, side="right") - 1, length, place):
-        longest[int(d)] = max(longest.get(int(d), (0, 0)), (int(n), int(starts[d] - p)))
     by_doc = np.lexsort((at, doc))
     doc, at, window = doc[by_doc], at[by_doc], window[by_doc]
+    longest = reach(at, window, items)
     cuts = np.flatnonzero(np.diff(doc)) + 1
     for lo, hi in zip([0, *cuts], [*cuts, len(doc)]):
         d = int(doc[lo])
@@ -153,9 +235,9 @@ def match_shard(texts: list[list[bytes]], items: Items) -> list[tuple[int, list[
         last = np.maximum.accumulate(first + items.lengths[window[lo:hi]])
         opens = np.flatnonzero(np.concatenate(([True], first[1:] > last[:-1])))
         shut = np.concatenate((last[opens[1:] - 1], last[-1:]))
-        names = sorted({n for w in np.unique(window[lo:hi]) for n in items.names[w]})
-        n, p = longest.get(d, (0, 1))
-        found[d] = (len(texts[d]), np.column_stack((first[opens], shut)).ravel().tolist(), names, n, -p)
+        names = sorted(items.names[np.unique(items.held(np.unique(window[lo:hi]), "owners"))])
+        best = int(longest[lo:hi].argmax())
+        found[d] = (len(texts[d]), np.column_stack((first[opens], shut)).ravel().tolist(), names, int(longest[lo + best]), int(first[best]))
     return found
 
 
