@@ -2,6 +2,7 @@
 
 import hashlib
 import pickle
+from random import Random
 
 import pytest
 
@@ -74,6 +75,48 @@ def test_shards_do_not_matter(monkeypatch):
     assert [x[:3] for x in sd.match_shard(texts, items)] == alone
 
 
+def longest_of(words, items, window):
+    """The longest match of each hit followed word by word, and its first place."""
+    best = (0, 1)
+    for _, item in items:
+        own = sd.split_words(item)
+        n = min(window, len(own))
+        for i in range(len(own) - n + 1 if own else 0):
+            for at in range(len(words) - n + 1):
+                if words[at : at + n] == own[i : i + n]:
+                    size = n
+                    while n == window and at + size < len(words) and i + size < len(own) and words[at + size] == own[i + size]:
+                        size += 1
+                    best = max(best, (size, -at))
+    return best[0], -best[1]
+
+
+def test_every_document_has_its_longest_match():
+    texts = [sd.split_words(t) for _, t in ROWS] + [sd.split_words("a " + " ".join(PASSAGE.split()[3:20]) + " b")] * 3
+    items = [("" if n is None else str(n), t) for n, t in ITEMS if t is not None]
+    held = sd.Items(items, 13)
+    found = sd.match_shard(texts, held)
+    assert [x[3:] for x in found] == [longest_of(t, items, 13) for t in texts] and [x[3:] for x in found[-3:]] == [(17, 1)] * 3
+    assert found == [sd.match_shard([t], held)[0] for t in texts]
+
+
+def test_longest_match_on_few_words():
+    random = Random(1)
+    some = lambda n: " ".join(random.choice("abc") for _ in range(random.randrange(n)))
+    for _ in range(100):
+        items = [(str(i % 3), some(25)) for i in range(5)]
+        texts = [sd.split_words(f"{some(30)} zz {some(30)}") for _ in range(4)]
+        window = random.choice([1, 2, 4, 7])
+        assert [x[3:] for x in sd.match_shard(texts, sd.Items(items, window))] == [longest_of(t, items, window) for t in texts]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
+def test_longest_match_in_any_block_size(spark, block_bytes):
+    docs, items = spark.createDataFrame([(*r, "x", "y") for r in ROWS], DOCS), [("" if n is None else str(n), t) for n, t in ITEMS if t is not None]
+    made = sd.row_matches(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), block_bytes=block_bytes)
+    assert sorted(repr((r["doc_id"], r["longest"], r["longest_at"])) for r in made.collect()) == sorted(repr((d, *longest_of(sd.split_words(t), items, 13))) for d, t in ROWS)
+
+
 def test_memory_of_a_long_item():
     """What is held of an item grows with its words and not with their square: 3,000 different words had 36 MB of tails."""
     items = sd.Items([("1", " ".join(f"w{i}" for i in range(3000))), ("2", "short item")], 13)

@@ -1,10 +1,12 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
 Documents are read in shards of about a million words. Each shard's words become
-numbers, suffixes are sorted by prefix doubling, and every suffix of every test item is
-binary-searched in that order: the range of training suffixes that start with its first
-13 words gives all places of that window, and the neighbours of the whole suffix give
-its longest verbatim match. Nothing is shuffled: a shard answers for its documents.
+numbers, suffixes are sorted by prefix doubling, and the first 13 words of every suffix
+of every test item are binary-searched in that order: the range of training suffixes that
+start with them gives all places of that window. Each hit is then followed along all
+items that have it, by an order of the hits and of the item suffixes with the same
+windows, for the longest verbatim match of every document. Nothing is shuffled: a shard
+answers for its documents.
 
 Only training suffixes whose first words all occur in some test item can match, so the
 array is built over those; a window cannot cross a word that no item has.
@@ -267,9 +269,9 @@ def row_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     Returns doc_id, doc_key (of id and text), n_words, hits (word ranges start, end, ...,
     merged and in order), items (ids as text, in order, each once), longest and
     longest_at (the longest verbatim match that a test suffix has here, in words, and
-    its first word; -1 if none). ``longest`` is the best that its shard has: where
-    several documents of a shard share the longest match of one suffix, one of them
-    reports it.
+    its first word; -1 if none; the first of several). An item of fewer words than a window
+    counts with all its words. Every document has its own longest match, whichever
+    documents share its shard.
 
     A null text has no words. Null item ids count as the id "". Repeated items count
     once; repeated documents each get their own row. Without documents the result is
@@ -300,7 +302,7 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     united = parts[0].withColumn("block", F.lit(0))
     for i, part in enumerate(parts[1:], 1):
         united = united.unionByName(part.withColumn("block", F.lit(i)))
-    best = F.max(F.struct("longest", "longest_at")).alias("best")
+    best = F.max(F.struct("longest", (-F.col("longest_at")).alias("before"))).alias("best")
     single = united.groupBy("doc_key", "block").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("hits").alias("hits"), F.first("items").alias("items"), best, F.count(F.lit(1)).alias("n_rows"))
     gathered = single.groupBy("doc_key").agg(
         F.first("doc_id").alias("doc_id"),
@@ -318,7 +320,7 @@ def merged(parts: list[DataFrame]) -> DataFrame:
             F.concat(done, F.array(x["a"], x["b"]))
         ),
     )
-    return gathered.select("doc_id", "doc_key", "n_words", folded.alias("hits"), "items", F.col("best.longest").alias("longest"), F.col("best.longest_at").alias("longest_at"), "n_rows")
+    return gathered.select("doc_id", "doc_key", "n_words", folded.alias("hits"), "items", F.col("best.longest").alias("longest"), (-F.col("best.before")).alias("longest_at"), "n_rows")
 
 
 def matcher(held: Broadcast):
