@@ -71,6 +71,26 @@ def test_guarantee(spark):
         assert r["doc_id"] < 4 or r["n_removed"] == 5
 
 
+def test_isolated_passages(spark):
+    """A repeated passage of 40 words or more goes whole, be it one line or up to four, whatever surrounds it; shorter ones stay."""
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    cases = {"one": [words("p", 51)], "two": [words("q", 25), words("r", 26)], "four": [words("s", 5), words("t", 20), words("u", 10), words("v", 6)], "uneven": [words("x", 3), words("y", 45), words("z", 2)], "short": [words("k", 15), words("l", 15)]}
+    rows = []
+    for n, lines in enumerate(cases.values()):
+        rows += [(20 * n + i, "\n".join([f"b{n} {i} {j}" for j in range(1 + i % 4)] + [""] + lines + [f"e{n} {i} {j}" for j in range(1 + i % 3)])) for i in range(12)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    removed = {r["doc_id"]: r["n_removed"] for r in wl.dedup_table(docs, words=wl.PASSAGE_WORDS).collect()}
+    for n, (name, lines) in enumerate(cases.items()):
+        assert removed[20 * n] == 0, name
+        assert {removed[20 * n + i] for i in range(1, 12)} == {len(lines)} if name != "short" else {removed[20 * n + i] for i in range(12)} == {0}, name
+    assert any(r["n_removed"] == 0 for r in wl.dedup_table(docs).where("doc_id BETWEEN 1 AND 11").collect())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_passages_in_sql(spark, sf):
+    assert compare(spark, "op10_winnow_passages", f"/root/testdata/{sf}").startswith("ok")
+
+
 def test_empty(spark):
     assert wl.dedup_table(spark.createDataFrame([], SCHEMA)).count() == 0
 

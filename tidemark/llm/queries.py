@@ -64,6 +64,11 @@ def op10_winnow_lines(spark: SparkSession, folder: str) -> DataFrame:
     return winnow_lines.dedup_table(table(spark, folder, "documents"))
 
 
+def op10_winnow_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document without runs of lines that occur earlier, and without passages of 40 words in fewer lines."""
+    return winnow_lines.dedup_table(table(spark, folder, "documents"), words=winnow_lines.PASSAGE_WORDS)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The stages of the corpus pipeline over all documents."""
     return corpus_pipeline.run(spark, folder)
@@ -71,8 +76,9 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_crf, op2_chunk_dedup, op3_secret_index, op4_line_frequency, op5_quote_links, op6_systematic_mix, op7_suffix_decontam, op8_suffix_dedup, op9_covering_simhash, op10_winnow_lines, pipeline)
+    for f in (op1_language_crf, op2_chunk_dedup, op3_secret_index, op4_line_frequency, op5_quote_links, op6_systematic_mix, op7_suffix_decontam, op8_suffix_dedup, op9_covering_simhash, op10_winnow_lines, op10_winnow_passages, pipeline)
 }
 ORACLES: dict[str, str] = {
     "op5_quote_links": quote_links.LINK_SQL, "op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL, "op10_winnow_lines": winnow_lines.WINNOW_SQL,
+    "op10_winnow_passages": winnow_lines.PASSAGE_SQL,
 }

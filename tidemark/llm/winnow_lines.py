@@ -13,6 +13,12 @@ longer grams finds its own first place, wherever that is, and a repeated run of
 lines or more goes whole. What is posted has a fixed size, no document is read again, and
 a run that a third of all documents share is folded to its first place before the shuffle.
 
+Lines have any length, so with ``words`` given there is a second family of prints, cut by
+content: every run of one to four lines that reaches so many words, and would not without
+its first or without its last line. Whether a run is one follows from its lines alone, so
+no window is needed, and a repeated run of so many words goes whole, however few lines it
+has.
+
 The main path has built-in functions only.
 """
 
@@ -27,22 +33,31 @@ from tidemark.llm.common import fresh, row_key, small_lists, stored
 GRAM = 3
 #: Grams of which the least is a fingerprint.
 WINDOW = 3
+#: Words that make a passage of the second family.
+PASSAGE_WORDS = 40
+#: Lines of a passage at most; a repeated run of more lines always shares a fingerprint.
+PASSAGE_LINES = GRAM + WINDOW - 2
+
+
+def plain_line(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), r"[ \t\x0B\f\r]+", " "))
 
 
 def line_hash(line: Column) -> Column:
     """60 bits of the line in lower case, white space aside from single spaces between words left out."""
-    return F.conv(F.substring(F.md5(F.trim(F.regexp_replace(F.lower(line), r"[ \t\x0B\f\r]+", " "))), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(plain_line(line)), 1, 15), 16, 10).cast("long")
 
 
 def gram_hash(lines: Column) -> Column:
     return F.unhex(F.md5(F.array_join(lines.cast("array<string>"), " ")))
 
 
-def line_sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_key, lines): number and hash of every line that is not blank, one row per different document."""
+def line_sequences(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """(doc_id, doc_key, lines): number and hash (``counted``: and words) of every line that is not blank, one row per different document."""
+    words = lambda x: [F.size(F.split(plain_line(x), " ")).alias("w")] if counted else []
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     hashed = F.filter(
-        F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(F.trim(F.translate(x, "\t\x0b\f\r", "    ")) != "", line_hash(x)).alias("h"))), lambda x: x["h"].isNotNull()
+        F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(F.trim(F.translate(x, "\t\x0b\f\r", "    ")) != "", line_hash(x)).alias("h"), *words(x))), lambda x: x["h"].isNotNull()
     )
     made = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("doc_key"), hashed.alias("lines"))
     return made.where(F.size("lines") > 0)
@@ -72,38 +87,56 @@ def fingerprints(sequences: DataFrame, gram: int, window: int) -> DataFrame:
     return each.select("doc_id", "doc_key", gram_hash(F.slice("h", F.col("x.begin") + 1, F.col("x.end") - F.col("x.begin"))).alias("print"), "x.begin", "x.end")
 
 
-def repeated_runs(sequences: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def passages(sequences: DataFrame, words: int, most: int = PASSAGE_LINES) -> DataFrame:
+    """(doc_id, doc_key, print, begin, end) from counted ``line_sequences``: runs of up to ``most`` lines that have ``words`` words, but not without the first or not without the last line."""
+
+    def from_line(b: Column) -> Column:
+        sizes = [F.coalesce(F.get("w", b + i), F.lit(0)) for i in range(most)]
+        totals = [sum(sizes[1 : k + 1], sizes[0]) for k in range(most)]
+        made = [F.when((b + k < F.size("w")) & (t >= words) & ((t - sizes[0] < words) | (t - sizes[k] < words)), b + (k + 1)) for k, t in enumerate(totals)]
+        return F.transform(F.filter(F.array(*made), lambda e: e.isNotNull()), lambda e: F.struct(b.alias("begin"), e.alias("end")))
+
+    each = sequences.select("doc_id", "doc_key", F.transform("lines", lambda x: x["h"]).alias("h"), F.transform("lines", lambda x: x["w"]).alias("w"))
+    found = each.withColumn("x", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), from_line))))
+    return found.select("doc_id", "doc_key", gram_hash(F.slice("h", F.col("x.begin") + 1, F.col("x.end") - F.col("x.begin"))).alias("print"), "x.begin", "x.end")
+
+
+def repeated_runs(sequences: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """(doc_key, begin, end) from ``line_sequences``: runs of the document's non-blank lines, from begin to before end, that occur earlier.
 
     Earlier means a smaller (doc_id, doc_key, line), null ids last; the same document
     counts too. Runs of one document may overlap.
     """
-    placed = fingerprints(sequences, gram, window).withColumn("place", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "doc_key", "begin"))
+    prints = fingerprints(sequences, gram, window)
+    if words is not None:
+        prints = prints.unionByName(passages(sequences, words, gram + window - 2))
+    placed = prints.withColumn("place", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "doc_key", "begin"))
     first = placed.groupBy("print").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "first")
     return placed.join(first, "print").where(F.col("place") > F.col("first")).select("doc_key", "begin", "end")
 
 
-def cuts(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def cuts(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """(doc_key, gone): the numbers (from 0, blank lines counted) of the lines to delete, for documents that have some."""
-    sequences = stored(line_sequences(docs).dropDuplicates(["doc_key"]))
-    runs = repeated_runs(sequences, gram, window)
+    sequences = stored(line_sequences(docs, words is not None).dropDuplicates(["doc_key"]))
+    runs = repeated_runs(sequences, gram, window, words)
     spots = runs.select("doc_key", F.explode(F.sequence("begin", F.col("end") - 1)).alias("spot")).groupBy("doc_key").agg(F.collect_set("spot").alias("spots"))
     numbers = sequences.select("doc_key", F.col("lines.i").alias("numbers"))
     return spots.join(numbers, "doc_key").select("doc_key", F.transform("spots", lambda x: F.element_at("numbers", x + 1)).alias("gone"))
 
 
-def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> tuple[DataFrame, str]:
+def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int | None = None) -> tuple[DataFrame, str]:
     """``docs`` with later repeated runs of lines deleted from ``text``, and the name of a new column with the count of lines deleted.
 
     Lines compare in lower case with single spaces; blank lines belong to no run and
-    stay. The first place of a run stays whole. A document of fewer lines than a gram
+    stay. The first place of a run stays whole. Runs of gram + window - 1 lines go
+    wherever they stand, and with ``words`` also those of so many words. A document of fewer lines than a gram
     goes if it repeats another whole short document. If nothing is left but blank lines
     the text becomes empty; null texts stay null. Rows that repeat id and text are one
     document and get the same result. All rows and columns stay; an empty table stays
     empty.
     """
     key, gone, many = fresh(docs, "doc_key", "gone_lines", "n_removed")
-    found = stored(cuts(docs, gram, window).select(F.col("doc_key").alias(key), F.col("gone").alias(gone)))
+    found = stored(cuts(docs, gram, window, words).select(F.col("doc_key").alias(key), F.col("gone").alias(gone)))
     joined = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(small_lists(found, gone), key, "left")
     lines = F.split(F.col("text"), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
@@ -113,9 +146,9 @@ def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> tuple[Data
     return made.select(*docs.columns, many), many
 
 
-def dedup_table(docs: DataFrame) -> DataFrame:
+def dedup_table(docs: DataFrame, words: int | None = None) -> DataFrame:
     """doc_id, n_lines_left, n_removed, text (what is left)."""
-    made, many = dedup(docs.select("doc_id", "text"))
+    made, many = dedup(docs.select("doc_id", "text"), words=words)
     before = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
     return made.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(before).cast("long").alias("n_lines_left"), many, "text")
 
@@ -166,3 +199,17 @@ WITH doc AS (
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(left_text, chr(10))) END AS n_lines_left, coalesce(n_removed, 0)::BIGINT AS n_removed, left_text AS text
 FROM documents LEFT JOIN cleaned USING (doc_id, text)
 """
+
+#: The same with the passages of 40 words besides.
+PASSAGE_SQL = WINNOW_SQL.replace(
+    "), later AS (\n  SELECT * FROM prints",
+    r"""), counts AS (
+  SELECT doc_id, text, list(len(string_split(plain, ' ')) ORDER BY i) AS w, list(('0x' || substr(md5(plain), 1, 15))::BIGINT ORDER BY i) AS h FROM plain WHERE plain <> '' GROUP BY doc_id, text
+), spans AS (
+  SELECT *, b + size AS e FROM (SELECT *, unnest(range(0, len(w))) AS b FROM counts), (VALUES (1), (2), (3), (4)) sizes(size) WHERE b + size <= len(w)
+), passages AS (
+  SELECT doc_id, text, b, e, md5(array_to_string(h[b + 1:e], ' ')) AS print FROM spans
+  WHERE list_sum(w[b + 1:e]) >= 40 AND (list_sum(w[b + 1:e]) - w[b + 1] < 40 OR list_sum(w[b + 1:e]) - w[e] < 40)
+), later AS (
+  SELECT * FROM (SELECT doc_id, text, b, e, print FROM prints UNION SELECT doc_id, text, b, e, print FROM passages)""",
+)
