@@ -54,6 +54,21 @@ def test_mailbox_in_sql(spark):
     assert rows_of(made.columns, made.collect()) == rows_of([d[0] for d in result.description], result.fetchall())
 
 
+def test_partial_quotes(spark):
+    """Trimmed quotes, replies between quoted lines and wrapped sentences link to what they are taken from."""
+    first = "The first line of it.\nThe second line\nends here. A third one follows."
+    rows = [
+        (1, 0, "a", first), (1, 1, "b", "Something else entirely."), (1, 2, "c", "> The first line of it.\n> The second line\nOnly two of three."),
+        (1, 3, "d", "> The first line of it.\nWhy?\n> The second line\n> ends here. A third one follows.\nI see."), (1, 4, "e", "> A third\n> one follows.\nWrapped anew."),
+        (1, 5, "f", "> The first line of it.\n> not said by anyone\n> > The second line\nNested."), (1, 6, "g", "> nothing of this\n> was said\nNo link."),
+        (2, 1, "h", "> The first line of it.\nAnother conversation."), (1, 7, "i", "> Only two of three. And\n> more.\n> Why?\n> Something else entirely.\nThree messages."),
+    ]
+    made = {r["role"]: r for r in ql.reply_ordered(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)).collect()}
+    assert {k: r["parent_turn"] for k, r in made.items()} == {"a": None, "b": None, "c": 0, "d": 0, "e": 0, "f": 0, "g": None, "h": None, "i": 1}
+    assert {k: r["n_linked"] for k, r in made.items()} == dict.fromkeys("abcdefghi", 0)  # no whole paragraph
+    assert all(made[k]["thread"] == 0 for k in "cdef")
+
+
 def test_empty(spark):
     assert ql.reply_ordered(frame(spark).limit(0)).count() == 0
 

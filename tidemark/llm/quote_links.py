@@ -3,7 +3,8 @@
 Lines are parsed into quote levels by their marks (">"), nested as often as they are.
 Consecutive lines of one level make paragraphs; each quoted paragraph is hashed in
 normalised form and joined to the first message of the conversation that has it as its
-own words. The message quoted most, at the lowest level that leads anywhere, is the one
+own words. A quoted paragraph that equals none is looked up by its lines and sentences,
+so trimmed quotes and those cut by replies between the lines count too. The message quoted most, at the lowest level that leads anywhere, is the one
 replied to. Threads follow from the replies by pointer jumping, and messages come out in
 order of threads without their quotes.
 
@@ -29,7 +30,7 @@ def plain(text: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, msg_key, own (the message's own lines), paragraphs (level, text), level 0 being its own."""
+    """conv_id, turn, role, msg_key, own (the message's own lines), paragraphs (level, lines), level 0 being its own."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     marked = messages.select("conv_id", "turn", "role", "msg_key", lines.alias("lines")).select(
         "*",
@@ -45,7 +46,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     starts = kinds.withColumn("starts", F.filter(every, lambda i: (i == 0) | (F.get("kinds", i) != F.get("kinds", i - 1))))
     paragraph = lambda s, j: F.struct(
-        F.get("kinds", s).alias("level"), F.array_join(F.slice("bodies", s + 1, F.coalesce(F.get("starts", j + 1), F.size("lines")) - s), " ").alias("text")
+        F.get("kinds", s).alias("level"), F.slice("bodies", s + 1, F.coalesce(F.get("starts", j + 1), F.size("lines")) - s).alias("lines")
     )
     own = F.array_join(F.transform(F.filter(every, lambda i: (F.get("levels", i) == 0) & (F.get("kinds", i) != -1)), lambda i: F.get("lines", i)), "\n")
     return starts.select(
@@ -61,13 +62,38 @@ def keyed(messages: DataFrame) -> DataFrame:
 
 def quote_links(parts: DataFrame) -> DataFrame:
     """(msg_key, conv_id, turn, level, quoted_turn, chars): what each message quotes of which earlier message, per level."""
+    text = F.array_join("p.lines", " ")
     each = parts.select("conv_id", "turn", "msg_key", F.explode("paragraphs").alias("p")).select(
-        "conv_id", "turn", "msg_key", "p.level", F.unhex(F.md5("p.text")).alias("hash"), F.length("p.text").alias("size")
+        "conv_id", "turn", "msg_key", "p.level", F.unhex(F.md5(text)).alias("hash"), F.length(text).alias("size"), "p.lines"
     )
-    first = each.where("level = 0 AND turn IS NOT NULL").groupBy(F.col("conv_id").alias("c"), F.col("hash").alias("h")).agg(F.min("turn").alias("quoted_turn"))
-    quotes = each.where("level > 0").groupBy("conv_id", "turn", "msg_key", "level", "hash").agg(F.max("size").alias("size"))
-    met = quotes.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h"))).where("quoted_turn < turn")
-    return met.groupBy("msg_key", "conv_id", "turn", "level", "quoted_turn").agg(F.sum("size").alias("chars"), F.count(F.lit(1)).alias("n_passages"))
+    own = each.where("level = 0 AND turn IS NOT NULL")
+    first = own.groupBy(F.col("conv_id").alias("c"), F.col("hash").alias("h")).agg(F.min("turn").alias("quoted_turn"))
+    quotes = each.where("level > 0").groupBy("conv_id", "turn", "msg_key", "level", "hash").agg(F.max("size").alias("size"), F.min("lines").alias("lines"))
+    met = stored(quotes.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")), "left").drop("c", "h"))
+    columns = ["msg_key", "conv_id", "turn", "level", "quoted_turn"]
+    found = met.where("quoted_turn < turn").select(*columns, F.col("size").alias("chars"), F.lit(1).alias("passages"))
+    rest = met.where("NOT coalesce(quoted_turn < turn, false) AND turn IS NOT NULL").drop("quoted_turn")
+    if not rest.isEmpty():
+        found = found.unionByName(piece_links(own, rest).select(*columns, "chars", "passages"))
+    return found.groupBy("msg_key", "conv_id", "turn", "level", "quoted_turn").agg(F.sum("chars").alias("chars"), F.sum("passages").alias("n_passages"))
+
+
+def pieces(lines: Column) -> Column:
+    """The different lines (kind 0) and the different sentences (kind 1) of a paragraph."""
+    sentences = F.split(F.array_join(lines, " "), r"(?<=[.!?]) +")
+    return F.concat(*[F.transform(F.array_distinct(made), lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x.alias("piece"))) for kind, made in enumerate((lines, sentences))])
+
+
+def piece_links(own: DataFrame, rest: DataFrame) -> DataFrame:
+    """``rest``'s paragraphs by their lines or sentences, whichever tell more, in ``own`` ones: (..., quoted_turn, chars, passages), the last 0 as no whole paragraph is met."""
+    near = rest.select(F.col("conv_id").alias("c")).distinct()
+    split = own.join(near, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi").select("conv_id", "turn", F.explode(pieces(F.col("lines"))).alias("x"))
+    first = split.groupBy(F.col("conv_id").alias("c"), F.unhex(F.md5("x.piece")).alias("h")).agg(F.min("turn").alias("quoted_turn"))
+    paragraph = ["msg_key", "conv_id", "turn", "level", "hash"]
+    asked = rest.select(*paragraph, F.explode(pieces(F.col("lines"))).alias("x")).select(*paragraph, "x.kind", F.unhex(F.md5("x.piece")).alias("part"), F.length("x.piece").alias("size"))
+    met = asked.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("h"))).where("quoted_turn < turn")
+    chars = met.groupBy(*paragraph, "quoted_turn", "kind").agg(F.sum("size").alias("chars")).groupBy(*paragraph, "quoted_turn").agg(F.max("chars").alias("chars"))
+    return chars.withColumn("passages", F.lit(0))
 
 
 def threads(replies: DataFrame) -> DataFrame:
@@ -91,7 +117,7 @@ def linked(messages: DataFrame) -> DataFrame:
 
     Returns conv_id, turn, role, parent_turn (null if it quotes nothing known), thread
     (turn of the thread's first message), depth, n_quotes (quoted paragraphs), n_linked
-    (those found in earlier messages), text (own words) and chat (role and own words in
+    (those found whole in earlier messages; parents follow from parts too), text (own words) and chat (role and own words in
     one string); rows are sorted by conversation, thread and turn, so every reply stands
     after what it answers and threads are not mixed.
 
