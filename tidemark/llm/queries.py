@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import chunk_dedup, covering_simhash, language_crf, line_frequency, quote_links, secret_index, suffix_decontam, suffix_dedup, systematic_mix, winnow_lines
+from tidemark.llm import (
+    chunk_dedup, contract_sql, covering_simhash, language_crf, line_frequency, merkle_manifest, print_exchange, quote_links, secret_index, suffix_decontam, suffix_dedup, systematic_mix,
+    turn_alignment, winnow_lines,
+)
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +72,21 @@ def op10_winnow_passages(spark: SparkSession, folder: str) -> DataFrame:
     return winnow_lines.dedup_table(table(spark, folder, "documents"), words=winnow_lines.PASSAGE_WORDS)
 
 
+def op11_turn_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    return turn_alignment.repair_table(table(spark, folder, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and checked proof of every document."""
+    return merkle_manifest.manifest_table(table(spark, folder, "documents"))
+
+
+def op13_print_exchange(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the one that stays of its equals."""
+    return print_exchange.dedup_table(table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The stages of the corpus pipeline over all documents."""
     return corpus_pipeline.run(spark, folder)
@@ -76,9 +94,11 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_crf, op2_chunk_dedup, op3_secret_index, op4_line_frequency, op5_quote_links, op6_systematic_mix, op7_suffix_decontam, op8_suffix_dedup, op9_covering_simhash, op10_winnow_lines, op10_winnow_passages, pipeline)
+    for f in (op1_language_crf, op2_chunk_dedup, op3_secret_index, op4_line_frequency, op5_quote_links, op6_systematic_mix, op7_suffix_decontam, op8_suffix_dedup, op9_covering_simhash, op10_winnow_lines, op10_winnow_passages,
+              op11_turn_alignment, op12_merkle_manifest, op13_print_exchange, pipeline)
 }
 ORACLES: dict[str, str] = {
     "op5_quote_links": quote_links.LINK_SQL, "op6_systematic_mix": systematic_mix.MIX_SQL, "op7_suffix_decontam": suffix_decontam.DECONTAM_SQL, "op10_winnow_lines": winnow_lines.WINNOW_SQL,
-    "op10_winnow_passages": winnow_lines.PASSAGE_SQL,
+    "op10_winnow_passages": winnow_lines.PASSAGE_SQL, "op11_turn_alignment": contract_sql.REPAIR_SQL, "op12_merkle_manifest": contract_sql.MANIFEST_SQL,
+    "op13_print_exchange": contract_sql.EXACT_SQL,
 }
