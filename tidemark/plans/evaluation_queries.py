@@ -182,9 +182,10 @@ def lang_scores(spark: SparkSession, folder: str) -> DataFrame:
     return materialize(views.scored_labels(spark, folder).join(langs, "doc_id").select("lang", "y_true", "proba_up"))
 
 
-@registered(_GRID.replace("WITH", "WITH" + _LANG_SCORES, 1) + " SELECT lang, step_no, round(threshold, 6) AS threshold FROM grid")
+@registered(_GRID.replace("WITH", "WITH" + _LANG_SCORES, 1) + " SELECT lang, step_no, round(threshold, 10) AS threshold FROM grid")
 def threshold_grid(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(calibration.threshold_grid(lang_scores(spark, folder), ["lang"], "proba_up", SMALL_SLICES), 6, "threshold")
+    """Scores have six digits, their interpolated quantiles eight and the steps between them ten, so ten digits leave nothing to round."""
+    return rounded(calibration.threshold_grid(lang_scores(spark, folder), ["lang"], "proba_up", SMALL_SLICES), 10, "threshold")
 
 
 @registered(_GRID.replace("WITH", "WITH" + _LANG_SCORES, 1) + """,
@@ -192,11 +193,11 @@ def threshold_grid(spark: SparkSession, folder: str) -> DataFrame:
     count(*) FILTER (y_true = 0 AND proba_up < threshold) AS tn, count(*) FILTER (y_true = 0) AS n
     FROM grid g JOIN lang_scores s ON g.lang = s.lang GROUP BY 1, 2, 3),
   judged AS (SELECT *, CASE WHEN p = 0 THEN tn::DOUBLE / n WHEN n = 0 THEN tp::DOUBLE / p ELSE (tp::DOUBLE / p + tn::DOUBLE / n) / 2 END AS b FROM hits)
-  SELECT lang, round(threshold, 6) AS threshold, round(b, 6) AS cal_bacc FROM judged
+  SELECT lang, round(threshold, 10) AS threshold, round(b, 6) AS cal_bacc FROM judged
   QUALIFY row_number() OVER (PARTITION BY lang ORDER BY b DESC, step_no) = 1""")
 def threshold_search(spark: SparkSession, folder: str) -> DataFrame:
     found = calibration.threshold_search(lang_scores(spark, folder), ["lang"], "proba_up", "y_true", SMALL_SLICES)
-    return rounded(found, 6, "threshold", "cal_bacc")
+    return rounded(rounded(found, 10, "threshold"), 6, "cal_bacc")
 
 
 _FREQ = "1 / greatest(count(*) OVER (PARTITION BY series_id, coalesce({c}::VARCHAR, 'nan'))::DOUBLE / count(*) OVER s, 1e-6)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import features, models, panel, regimes, summaries
+from tidemark.operators import clusters, features, models, panel, regimes, summaries
 from tidemark.plans import views
 from tidemark.plans.evaluation_queries import sql_rounded
 from tidemark.plans.registry import registered, rounded
@@ -192,6 +192,93 @@ def regime_selection(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ranked, 5, *numbers)
 
 
+CHANGES = [f"{c}_chg" for c in LEVELS]
+REGIME_VIEWS = {"abs": LEVELS, "chg": CHANGES}
+REGIME_KS = (6, 7)
+
+_CHANGED = ", ".join(f"{c} - lag({c}, 21) OVER (PARTITION BY series_id ORDER BY ds) AS {c}_chg" for c in LEVELS)
+_FILLED = ", ".join(f"coalesce({c}, median({c}) OVER ())::DOUBLE AS {c}" for c in LEVELS + CHANGES)
+_SCALED = ", ".join(f"(f.{c} - avg(f.{c}) OVER ()) / stddev_pop(f.{c}) OVER () AS {c}" for c in LEVELS + CHANGES)
+_DISTANCES = "list_transform(cs, lambda c: list_distance(c, p.x))"
+
+#: K-means from all starts as a recursion; ``assigned`` has each row's cluster in each view's and k's best start.
+_KMEANS = f"""
+  WITH RECURSIVE changed AS (SELECT series_id, ds, policy_stance, lag1_cls, {", ".join(LEVELS)}, {_CHANGED} FROM regime),
+  filled AS (SELECT series_id, ds, policy_stance, lag1_cls, {_FILLED} FROM changed),
+  scaled AS MATERIALIZED (SELECT series_id, ds, policy_stance, lag1_cls, series_id || '|' || ds AS key, {_SCALED} FROM filled f),
+  vectors AS MATERIALIZED ({" UNION ALL ".join(f"SELECT '{v}' AS embedding, key, policy_stance, lag1_cls, [{', '.join(axes)}] AS x FROM scaled" for v, axes in REGIME_VIEWS.items())}),
+  drawn AS (SELECT key FROM scaled ORDER BY md5(key), key LIMIT {clusters.START_ROWS}),
+  starts AS (SELECT key, s, row_number() OVER (PARTITION BY s ORDER BY md5(key || '|' || s), key) AS place FROM drawn, range({clusters.STARTS}) t(s)),
+  km(embedding, k, s, it, cs, moved) AS (
+    SELECT embedding, k, s, 0, list(x ORDER BY place), 1e0::DOUBLE FROM starts JOIN vectors USING (key), (VALUES {", ".join(f"({k})" for k in REGIME_KS)}) g(k) WHERE place <= k GROUP BY embedding, k, s
+    UNION ALL
+    SELECT embedding, k, s, it + 1, new, list_sum(list_transform(new, lambda c, i: list_distance(c, cs[i]) ** 2)) FROM (
+      SELECT embedding, k, s, it, cs, list_transform(generate_series(1, k), lambda j: coalesce(list_filter(found, lambda f: f.j = j)[1].c, cs[j])) AS new FROM (
+        SELECT embedding, k, s, it, any_value(cs) AS cs, list({{'j': j, 'c': c}}) AS found FROM (
+          SELECT embedding, k, s, it, j, any_value(cs) AS cs, [avg(x[1]), avg(x[2]), avg(x[3]), avg(x[4])] AS c FROM (
+            SELECT m.*, p.x, list_position({_DISTANCES}, list_min({_DISTANCES})) AS j FROM km m JOIN vectors p USING (embedding) WHERE moved > {clusters.STILL} AND it < {clusters.MAX_ROUNDS})
+          GROUP BY ALL)
+        GROUP BY embedding, k, s, it))),
+  ended AS (SELECT embedding, k, s, arg_max(cs, it) AS cs FROM km GROUP BY ALL),
+  costs AS (SELECT embedding, k, s, any_value(cs) AS cs, sum(list_min({_DISTANCES}) ** 2) AS cost FROM ended JOIN vectors p USING (embedding) GROUP BY embedding, k, s),
+  best AS (SELECT embedding, k, list_sort(cs) AS cs FROM costs QUALIFY row_number() OVER (PARTITION BY embedding, k ORDER BY printf('%.9g', cost)::DOUBLE, s) = 1),
+  assigned AS MATERIALIZED (SELECT embedding, k, key, policy_stance, lag1_cls, x, list_position({_DISTANCES}, list_min({_DISTANCES})) - 1 AS label FROM best JOIN vectors p USING (embedding))"""
+
+#: Scores of all designs from one grouped table, and silhouettes from the closed form.
+_DESIGN_SCORES = _KMEANS + f""",
+  sums AS (SELECT embedding, k, label, count(*) AS n, [sum(x[1]), sum(x[2]), sum(x[3]), sum(x[4])] AS sx, sum(list_inner_product(x, x)) AS q,
+    [avg(x[1]), avg(x[2]), avg(x[3]), avg(x[4])] AS c FROM assigned GROUP BY ALL),
+  far AS (SELECT a.embedding, a.k, a.key, a.label, s.label AS other, s.n, list_inner_product(a.x, a.x) * s.n - 2 * list_inner_product(a.x, s.sx) + s.q AS total FROM assigned a JOIN sums s USING (embedding, k)),
+  widths AS (SELECT embedding, k, key, max(total / greatest(n - 1, 1)) FILTER (label = other) AS a, min(total / n) FILTER (label <> other) AS b, max(n) FILTER (label = other) AS n FROM far GROUP BY ALL),
+  sil AS (SELECT embedding, k, avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM widths GROUP BY ALL),
+  radii AS (SELECT a.embedding, a.k, a.label, any_value(s.n) AS n, any_value(s.c) AS c, avg(list_distance(a.x, s.c)) AS r, sum(list_distance(a.x, s.c) ** 2) AS within FROM assigned a JOIN sums s USING (embedding, k, label) GROUP BY ALL),
+  worst AS (SELECT a.embedding, a.k, a.label, max((a.r + b.r) / list_distance(a.c, b.c)) AS w FROM radii a JOIN radii b USING (embedding, k) WHERE a.label <> b.label GROUP BY ALL),
+  db AS (SELECT embedding, k, avg(w) AS davies_bouldin FROM worst GROUP BY ALL),
+  middle AS (SELECT embedding, k, [avg(x[1]), avg(x[2]), avg(x[3]), avg(x[4])] AS g FROM assigned GROUP BY ALL),
+  ch AS (SELECT embedding, k, count(*) AS found, sum(n)::BIGINT AS n_rows, sum(n * list_distance(c, g) ** 2) * (sum(n) - count(*)) / (sum(within) * (count(*) - 1)) AS calinski_harabasz FROM radii JOIN middle USING (embedding, k) GROUP BY embedding, k),
+  {", ".join(f"""t_{c} AS (SELECT embedding, k, label, coalesce({c}::VARCHAR, 'nan') AS c, count(*)::DOUBLE AS n FROM assigned GROUP BY ALL),
+  p_{c} AS (SELECT embedding, k, n / sum(n) OVER e AS p, sum(n) OVER (PARTITION BY embedding, k, label) / sum(n) OVER e AS pa, sum(n) OVER (PARTITION BY embedding, k, c) / sum(n) OVER e AS pb FROM t_{c} WINDOW e AS (PARTITION BY embedding, k)),
+  m_{c} AS (SELECT embedding, k, 2 * sum(p * ln(p / (pa * pb))) / (sum(-p * ln(pa)) + sum(-p * ln(pb))) AS nmi_{c} FROM p_{c} GROUP BY ALL)""" for c in ("lag1_cls", "policy_stance"))},
+  judged AS (SELECT *, silhouette + 0.15 * nmi_lag1_cls + 0.10 * nmi_policy_stance AS score FROM sil JOIN db USING (embedding, k) JOIN ch USING (embedding, k) JOIN m_lag1_cls USING (embedding, k) JOIN m_policy_stance USING (embedding, k)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY embedding ORDER BY score DESC, silhouette DESC, calinski_harabasz DESC, davies_bouldin, k)::INT AS rank FROM judged)"""
+
+
+def regime_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Scaled levels and 21-row changes of every row, with annual class and policy stance."""
+    from tidemark.operators.ordered import framed
+
+    rows = views.regime_panel(spark, folder).select("series_id", "ds", "lag1_cls", "policy_stance", *LEVELS)
+    changed = framed(rows, KEYS, "ds", lambda w: {f"{c}_chg": F.col(c) - F.lag(c, 21).over(w) for c in LEVELS}, back=21)
+    # a small panel comes out of its windows in few partitions; each round of k-means reads all
+    spread = regimes.regime_matrix(materialize(changed), LEVELS + CHANGES, rows_per_slice=5000).repartition(spark.sparkContext.defaultParallelism)
+    return materialize(spread)
+
+
+def selected_regimes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All designs of both views over all rows, and the rows with the clusters of the best."""
+    return clusters.select_regimes(regime_points(spark, folder), ["series_id", "ds"], REGIME_VIEWS, ["lag1_cls", "policy_stance"], REGIME_KS)
+
+
+@registered(_DESIGN_SCORES + f"""
+  SELECT embedding, k::INT AS n_clusters, n_rows, {sql_rounded("silhouette", "calinski_harabasz", "davies_bouldin", "nmi_lag1_cls", "nmi_policy_stance", digits=5)},
+    round(score, 5) AS structural_silhouette_score, rank FROM ranked""")
+def regime_designs(spark: SparkSession, folder: str) -> DataFrame:
+    """Four designs by k-means from thirty starts each, scored over all rows and ranked."""
+    ranked, _ = selected_regimes(spark, folder)
+    numbers = ["silhouette", "calinski_harabasz", "davies_bouldin", "nmi_lag1_cls", "nmi_policy_stance", "structural_silhouette_score"]
+    return rounded(ranked.drop("design"), 5, *numbers)
+
+
+@registered(_DESIGN_SCORES + """
+  SELECT p.series_id, p.ds, a.label::INT AS cluster_abs, c.label::INT AS cluster_chg FROM scaled p
+  JOIN assigned a ON a.key = p.key AND a.embedding = 'abs' AND a.k = (SELECT k FROM ranked WHERE embedding = 'abs' AND rank = 1)
+  JOIN assigned c ON c.key = p.key AND c.embedding = 'chg' AND c.k = (SELECT k FROM ranked WHERE embedding = 'chg' AND rank = 1)""")
+def regime_labels_selected(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of the panel with the clusters of the best design of levels and of changes."""
+    _, labelled = selected_regimes(spark, folder)
+    return labelled.select("series_id", "ds", "cluster_abs", "cluster_chg")
+
+
 @registered("""
   SELECT feature, round(loading_x, 6) AS loading_x, round(loading_y, 6) AS loading_y, round(sqrt(f.loading_x ** 2 + f.loading_y ** 2), 6) AS loading_norm FROM (
     SELECT feature, coalesce(corr(x, value), 0) AS loading_x, coalesce(corr(y, value), 0) AS loading_y FROM (

@@ -48,5 +48,6 @@ def with_views(body: str) -> str:
         return body
     views = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed)
     joiner = ",\n" if body.lstrip().upper().startswith("WITH ") else "\n"
-    rest = re.sub(r"^\s*WITH\s", "", body, count=1, flags=re.IGNORECASE) if joiner == ",\n" else body
-    return f"WITH {views}{joiner}{rest}"
+    rest = re.sub(r"^\s*WITH\s+(RECURSIVE\s)?", "", body, count=1, flags=re.IGNORECASE) if joiner == ",\n" else body
+    recursive = "RECURSIVE " if re.match(r"\s*WITH\s+RECURSIVE\s", body, flags=re.IGNORECASE) else ""
+    return f"WITH {recursive}{views}{joiner}{rest}"
