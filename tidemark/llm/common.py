@@ -38,8 +38,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """16 bytes that stand for a document: its id and its text. Rows that repeat both are one document."""
-    marked = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), text)))
+    """16 bytes that stand for a document: its id and its text. Rows that repeat both are one document.
+
+    The id goes with its length, and null with a mark of its own, so no other id and text give the same string.
+    """
+    id_ = doc_id.cast("string")
+    marked = F.concat(F.coalesce(F.concat(F.lit("+"), F.length(id_).cast("string"), F.lit(":"), id_), F.lit("-")), F.coalesce(F.concat(F.lit("+"), text), F.lit("-")))
     return F.unhex(F.md5(marked))
 
 
