@@ -3,9 +3,9 @@
 Wanted are the bytes covered by a string of 200 bytes that starts anywhere else too, that
 is, suffixes that share 200 bytes with a neighbour in the suffix order. The suffixes of
 all texts are dealt to buckets by content: the key of a suffix is the least hash of the
-32-byte strings in its first 200 bytes. Equal strings have equal keys, and neighbouring
+64-byte strings in its first 200 bytes. Equal strings have equal keys, and neighbouring
 suffixes mostly share one, so a text is a sequence of runs of suffixes; about one run
-per 85 bytes is what is shuffled. A key with one run holds no repetition. If all runs of
+per 70 bytes is what is shuffled. A key with one run holds no repetition. If all runs of
 a key are the same bytes, they all repeat, and nothing is sorted. For the rest one copy of
 each different run is sent to its bucket.
 
@@ -13,7 +13,7 @@ A task sorts one block of buckets at a time: ranks of the suffixes at positions
 difference cover modulo 73 come first, by doubling; then the bucket's suffixes are sorted by
 80 bytes, and ties are settled by the ranks at the distance where both suffixes meet the
 cover. Memory is a constant times the block, however long the ties are. A key with more
-different runs than fit a block has its suffixes counted by digest instead, so no key has
+different runs, or bytes in them, than fit a few blocks has its suffixes counted by digest instead, so no key has
 to fit a task.
 
 Texts that are exact copies are found first; one of them stands for all.
@@ -34,18 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import fresh, small, small_lists, stored, text_batches, text_key
+from tidemark.llm.common import fresh, small, stored, text_batches, text_key
 
 #: Bytes of a repeated string.
 LENGTH = 200
 #: Bytes of the strings whose least hash is a suffix's key.
-GRAM = 32
+GRAM = 64
 GRAMS = LENGTH - GRAM + 1
 #: Bytes of text that are hashed at once, and that a block of buckets has.
 PIECE = 1 << 18
 BLOCK = 1 << 19
-#: A key with more different runs is counted by digest.
+#: A key with more different runs, or more bytes in them, is counted by digest, so a bucket is a few blocks at most.
 HOT = 4_000
+HOT_BYTES = 4 * BLOCK
 
 # A perfect difference set; every residue modulo 73 is a difference of two of them.
 PERIOD = 73
@@ -331,7 +332,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts_by_no = runs.select("text_no", "text_key").distinct()
 
     alike = stored(mixed.groupBy("key", "own").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("text_no", "start", "n")).alias("x")))
-    hot = stored(alike.groupBy("key").agg(F.count(F.lit(1)).alias("n_runs")).where(F.col("n_runs") > HOT).select("key", F.lit(True).alias("hot")))
+    hot = stored(alike.groupBy("key").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("x.n") + LENGTH - 1).alias("n_bytes")).where((F.col("n_runs") > HOT) | (F.col("n_bytes") > HOT_BYTES)).select("key", F.lit(True).alias("hot")))
     marked = alike.select("key", "own", "x.*").join(small(hot), "key", "left").withColumn("hot", F.col("hot").isNotNull())
     wanted = marked.join(texts_by_no, "text_no").groupBy("text_key").agg(F.collect_list(F.struct("key", "own", "start", "n", "hot")).alias("wanted"))
     # any text with the key serves, also several copies of it
@@ -387,8 +388,9 @@ def dedup(docs: DataFrame) -> tuple[DataFrame, str]:
     200 bytes. An empty table stays empty; other columns stay as they are.
     """
     key, gone, made = fresh(docs, "text_key", "gone_spans", "deduped")
+    # spans grow with the texts, so they are joined by a shuffle at any size and never sent to every task
     found = repeated_spans(docs).select(F.col("text_key").alias(key), F.col("spans").alias(gone))
-    joined = docs.withColumn(key, text_key(F.col("text"))).join(small_lists(found, gone), key, "left")
+    joined = docs.withColumn(key, text_key(F.col("text"))).join(found, key, "left")
     return joined.withColumn(made, without(F.col("text"), F.col(gone))).select(*docs.columns, made), made
 
 
