@@ -6,7 +6,6 @@ in catalog order. An array keeps the plan small for thousands of features.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -137,40 +136,53 @@ class Split:
     cal_start_day: float
 
 
-def pooled_splits(
+def pooled_plan(
     panel: DataFrame, ts: str, start: str, months: int, years: int | None,
     min_train: int = MIN_TRAIN, min_fit: int = MIN_FIT, min_cal: int = MIN_CAL, embargo_days: int = 0,
-) -> list[Split]:
-    """Splits of a panel whose keys share one model.
+) -> DataFrame:
+    """Splits of a panel whose keys share one model: block_id, test_start, test_end, train_from, n_train, n_test, n_fit, cal_start_day.
 
-    Worked out on rows per day, a table bounded by the calendar. Both calibration
-    rules are cuts on the day, so all rows of a day stay on one side.
+    Rows are counted per day, and running counts of the days tell the quantile of the
+    training days by position; tables and windows are bounded by the calendar, however many
+    rows a day has. Both calibration rules are cuts on the day, so all rows of a day
+    stay on one side. Blocks with too few rows are left out; no rows give no blocks.
     """
-    per_day = panel.groupBy(F.col(ts).alias("d")).agg(F.count("*").alias("n")).orderBy("d").toPandas()
-    if per_day.empty:
-        return []
-    days = per_day["d"].map(date.toordinal).to_numpy()
-    counts = per_day["n"].to_numpy()
-    epoch = date(1970, 1, 1).toordinal()
-    first, last = date.fromisoformat(start), date.fromordinal(int(days[-1]))
-    splits, block, begin = [], 0, first
-    while begin < last:
-        end = min(_add_months(first, (block + 1) * months), last)
-        from_day = _add_months(begin, -12 * years) if years else None
-        train = (days < begin.toordinal() - embargo_days) & (days >= (from_day.toordinal() if from_day else 0))
-        test = (days >= begin.toordinal()) & (days < end.toordinal())
-        n_train, n_test = int(counts[train].sum()), int(counts[test].sum())
-        if n_train >= min_train and n_test >= MIN_TEST:
-            edges = counts[train].cumsum()
-            place = FIT_SHARE * (n_train - 1)
-            low, high = (int(days[train][edges.searchsorted(p, side="right")]) for p in (math.floor(place), math.ceil(place)))
-            cut = max(low + (place - math.floor(place)) * (high - low), float(_add_months(begin, -12).toordinal()))
-            n_fit = int(counts[train & (days < cut)].sum())
-            if n_fit < min_fit or n_train - n_fit < min_cal:
-                cut = float(days[train][edges.searchsorted(int(n_train * FIT_SHARE), side="right")])
-            splits.append(Split(block, begin, end, from_day, cut - epoch))
-        block, begin = block + 1, end
-    return splits
+    per_day = materialize(panel.groupBy(F.col(ts).alias("d")).agg(F.count("*").alias("n")).where("d IS NOT NULL"))
+    last = per_day.agg(F.max("d")).first()[0]
+    first, blocks = date.fromisoformat(start), []
+    begin = first
+    while last is not None and begin < last:
+        end = min(_add_months(first, (len(blocks) + 1) * months), last)
+        blocks.append((len(blocks), begin, end, _add_months(begin, -12 * years) if years else None, _add_months(begin, -12)))
+        begin = end
+    known = panel.sparkSession.createDataFrame(blocks, "block_id int, test_start date, test_end date, train_from date, year_before date")
+    # days x later blocks
+    each = per_day.join(F.broadcast(known), F.col("d") < F.col("test_end"))
+    train = (F.col("d") < F.date_sub("test_start", embargo_days)) & (F.col("train_from").isNull() | (F.col("d") >= F.col("train_from")))
+    day = F.unix_date("d")
+    block = Window.partitionBy("block_id")
+    counted = each.withColumns({"train": train, "in_train": F.when(train, F.col("n")).otherwise(0), "in_test": F.when(F.col("d") >= F.col("test_start"), F.col("n")).otherwise(0), "day": day})
+    running = counted.withColumns({"edge": F.sum("in_train").over(block.orderBy("d")), "n_train": F.sum("in_train").over(block), "n_test": F.sum("in_test").over(block)})
+    kept = running.where((F.col("n_train") >= min_train) & (F.col("n_test") >= MIN_TEST))
+    at = lambda place: F.min(F.when(F.col("train") & (F.col("edge") > place), F.col("day"))).over(block)
+    place = F.lit(FIT_SHARE) * (F.col("n_train") - 1)
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    cut = F.greatest(low + (place - F.floor(place)) * (high - low), F.unix_date("year_before").cast("double"))
+    cuts = kept.withColumns({"cut": cut, "by_place": at(F.floor(F.lit(FIT_SHARE) * F.col("n_train"))).cast("double")})
+    fit_before = lambda c: F.sum(F.when(F.col("day") < F.col(c), F.col("in_train")).otherwise(0)).over(block)
+    fitted = cuts.withColumn("fit", fit_before("cut"))
+    few = (F.col("fit") < min_fit) | (F.col("n_train") - F.col("fit") < min_cal)
+    final = fitted.withColumn("cal_start_day", F.when(few, F.col("by_place")).otherwise(F.col("cut"))).withColumn("n_fit", fit_before("cal_start_day"))
+    return final.select("block_id", "test_start", "test_end", "train_from", "n_train", "n_test", "n_fit", "cal_start_day").distinct()
+
+
+def pooled_splits(
+    panel: DataFrame, ts: str, start: str, months: int, years: int | None,
+    min_train: int = MIN_TRAIN, min_fit: int = MIN_FIT, min_cal: int = MIN_CAL, embargo_days: int = 0,
+) -> list[Split]:
+    """The rows of ``pooled_plan`` in order; the driver gets one per block."""
+    plan = pooled_plan(panel, ts, start, months, years, min_train, min_fit, min_cal, embargo_days)
+    return [Split(r["block_id"], r["test_start"], r["test_end"], r["train_from"], r["cal_start_day"]) for r in plan.orderBy("block_id").collect()]
 
 
 def _add_months(day: date, months: int) -> date:

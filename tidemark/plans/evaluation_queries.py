@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import calibration, leaderboard, metrics, panel, rules, summaries, walkforward
+from tidemark.operators import calibration, leaderboard, metrics, models, panel, rules, summaries, walkforward
 from tidemark.plans import views
 from tidemark.plans.oracle_views import metrics_of
 from tidemark.plans.registry import registered, rounded
@@ -247,6 +247,24 @@ def _split(spark: SparkSession, folder: str, years: int | None) -> DataFrame:
     return rounded(plan, 4, "cal_start_day")
 
 
+@registered(f"""
+  WITH t AS (SELECT ds, ds - DATE '1970-01-01' AS day_no FROM target WHERE target_up_h21 IS NOT NULL),
+  b AS (SELECT i::INT AS block_id, (DATE '{views.BLOCK_START}' + INTERVAL (6 * i) MONTH)::DATE AS test_start,
+      least(DATE '{views.BLOCK_START}' + INTERVAL (6 * i + 6) MONTH, l)::DATE AS test_end, (DATE '{views.BLOCK_START}' + INTERVAL (6 * i - 24) MONTH)::DATE AS train_from
+    FROM (SELECT max(ds) AS l FROM t), range(0, 400) r(i) WHERE DATE '{views.BLOCK_START}' + INTERVAL (6 * i) MONTH < l),
+  q AS (SELECT b.*, count(*) FILTER (ds < test_start AND ds >= train_from) AS n_train, count(*) FILTER (ds >= test_start AND ds < test_end) AS n_test,
+      quantile_cont(day_no, 0.8) FILTER (ds < test_start AND ds >= train_from) AS q80, list(day_no ORDER BY day_no) FILTER (ds < test_start AND ds >= train_from) AS days FROM b, t GROUP BY ALL),
+  c AS (SELECT *, greatest(q80, (test_start - INTERVAL 1 YEAR)::DATE - DATE '1970-01-01') AS cut FROM q WHERE n_train >= 800 AND n_test >= 20),
+  f AS (SELECT *, len(list_filter(days, lambda d: d < cut)) AS fit FROM c),
+  g AS (SELECT *, CASE WHEN fit < 600 OR n_train - fit < 50 THEN days[floor(n_train * 0.8)::BIGINT + 1] ELSE cut END AS cal FROM f)
+  SELECT block_id, test_start, test_end, train_from, n_train, n_test, len(list_filter(days, lambda d: d < cal))::BIGINT AS n_fit, round(cal, 4) AS cal_start_day FROM g""")
+def pooled_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of all series together, trained on two years before each: the splits that the model runner takes."""
+    known = views.target_panel(spark, folder).where(F.col("target_up_h21").isNotNull())
+    plan = models.pooled_plan(known, "ds", views.BLOCK_START, 6, 2, min_train=800, min_fit=600, min_cal=50)
+    return rounded(plan, 4, "cal_start_day")
+
+
 @registered(_split_sql("DATE '1900-01-01'"))
 def walkforward_split(spark: SparkSession, folder: str) -> DataFrame:
     return _split(spark, folder, None)
