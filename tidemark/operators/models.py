@@ -6,6 +6,7 @@ in catalog order. An array keeps the plan small for thousands of features.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -23,9 +24,9 @@ from tidemark.functions.columns import sanitize
 from tidemark.functions.markers import CONTEXT, feature_group, is_context
 from tidemark.operators.calibration import sample_weights, threshold_search
 from tidemark.operators.metrics import confusion_columns, balanced_accuracy, evaluate, regression_metrics
-from tidemark.operators.ordered import exact_quantiles
 from tidemark.operators.panel import union_rows
-from tidemark.operators.walkforward import FIT_SHARE, MIN_CAL, MIN_FIT, MIN_TEST, MIN_TRAIN, rank_features
+from tidemark.operators.selection import Span, block_inputs
+from tidemark.operators.walkforward import FIT_SHARE, MIN_CAL, MIN_FIT, MIN_TEST, MIN_TRAIN
 from tidemark.session import materialize
 
 SEED = 42
@@ -108,23 +109,13 @@ class Inputs:
         return array_to_vector(filled)
 
 
-def choose_inputs(fit: DataFrame, features: Sequence[str], label: str, top: int) -> Inputs:
-    """Rank features and take medians on the fit rows only; the driver gets one row per feature.
-
-    Values are folded once per feature for least, middle and greatest; ranking is a second
-    pass, for which only features that move are looked at.
-    """
-    tall = fit.select(F.col(label).alias("y"), F.posexplode("x").alias("pos", "value"))
-    tall = tall.withColumn("value", sanitize(F.col("value")))
-    stats = {r["pos"]: r for r in exact_quantiles(tall, ["pos"], "value", {"lo": 0.0, "m": 0.5, "hi": 1.0}).collect()}
-    usable = sorted(pos for pos, r in stats.items() if r["lo"] < r["hi"])
-    fill = {pos: r["m"] for pos, r in stats.items()}
-    if len(usable) > top:
-        moving = fit.sparkSession.createDataFrame([(pos,) for pos in usable], "pos int")
-        named = tall.join(F.broadcast(moving), "pos").withColumn("feature", F.col("pos").cast("string"))
-        ranked = rank_features(named, [], "y", top).orderBy("rank").collect()
-        usable = [int(r["feature"]) for r in ranked]
-    return Inputs([features[i] for i in usable], usable, [fill.get(i, 0.0) for i in usable])
+def inputs_of_spans(rows: DataFrame, ts: str, label: str, spans: Sequence[Span], features: Sequence[str], top: int) -> dict[int, Inputs]:
+    """Inputs and medians of every span, from one pass over the rows; the driver gets one row per span and chosen feature."""
+    chosen: dict[int, list] = {s.block_id: [] for s in spans}
+    if spans:
+        for r in block_inputs(rows, F.unix_date(ts), label, spans, top).orderBy("block_id", "rank").collect():
+            chosen[r["block_id"]].append(r)
+    return {b: Inputs([features[r["pos"]] for r in made], [r["pos"] for r in made], [r["median"] for r in made]) for b, made in chosen.items()}
 
 
 @dataclass(frozen=True)
@@ -206,6 +197,15 @@ def _mark(df: DataFrame, config: Config, split: Split) -> DataFrame:
     return df.withColumns({name: F.lit(value) for name, value in marks.items()})
 
 
+def days_of(day: date) -> float:
+    return float((day - date(1970, 1, 1)).days)
+
+
+def span_of(split: Split, embargo_days: int = 0) -> Span:
+    """Days of the rows a split fits on: before its calibration and its test."""
+    return Span(split.block_id, days_of(split.train_from) if split.train_from else None, min(split.cal_start_day, days_of(split.test_start) - embargo_days))
+
+
 def _train_rows(panel: DataFrame, ts: str, split: Split, embargo_days: int) -> DataFrame:
     rows = panel.where(F.col(ts) < F.date_sub(F.lit(split.test_start), embargo_days))
     return rows.where(F.col(ts) >= F.lit(split.train_from)) if split.train_from else rows
@@ -247,12 +247,13 @@ def walkforward(
     splits = pooled_splits(known, ts, start, months, config.train_window_years, embargo_days=embargo_days)
     if not splits:
         raise ValueError("no block has enough training and test rows")
+    chosen_inputs = inputs_of_spans(known, ts, label, [span_of(s, embargo_days) for s in splits], features, config.max_features)
 
     def one(split: Split) -> tuple[DataFrame, DataFrame, DataFrame]:
         before = _train_rows(known, ts, split, embargo_days).withColumn("y", F.col(label).cast("double"))
         early = F.unix_date(ts) < split.cal_start_day
         fit, cal, test = before.where(early), before.where(~early), _test_rows(known, ts, split)
-        inputs = choose_inputs(fit, features, "y", config.max_features)
+        inputs = chosen_inputs[split.block_id]
         model = train(fit, inputs, config, ts)
         scored_cal = model.transform(cal.withColumn("v", inputs.vector())).select("y", probability().alias("p"), F.lit(0).alias("g"))
         found = threshold_search(scored_cal, ["g"], "p", "y").first()
@@ -287,10 +288,12 @@ def magnitude(
     splits = pooled_splits(known, ts, start, months, None, min_fit=0, min_cal=0)
     if not splits:
         raise ValueError("no block has enough training and test rows")
+    spans = [Span(s.block_id, None, days_of(s.test_start)) for s in splits]
+    chosen_inputs = inputs_of_spans(known, ts, label, spans, features, config.max_features)
     results, logs = [], []
     for split in splits:
         before = _train_rows(known, ts, split, 0).withColumns({"y": F.col(real), "w": F.lit(1.0)})
-        inputs = choose_inputs(before, features, label, config.max_features)
+        inputs = chosen_inputs[split.block_id]
         model = estimator(config).fit(before.withColumn("v", inputs.vector()))
         log = model.transform(_test_rows(known, ts, split).withColumn("v", inputs.vector())).select(
             *keys, ts, price, F.col(real).alias(f"real_return_h{config.horizon}"),
@@ -355,7 +358,7 @@ def fit_final(
     """One model on all rows with a known target."""
     label = f"target_up_h{config.horizon}"
     known = panel.where(F.col(label).isNotNull()).withColumn("y", F.col(label).cast("double"))
-    inputs = choose_inputs(known, features, "y", config.max_features)
+    inputs = inputs_of_spans(known, ts, "y", [Span(0, None, math.inf)], features, config.max_features)[0]
     return train(known, inputs, config, ts), inputs
 
 
