@@ -247,8 +247,9 @@ def _split(spark: SparkSession, folder: str, years: int | None) -> DataFrame:
     return rounded(plan, 4, "cal_start_day")
 
 
-#: Blocks of all series together, each trained on the two years before it.
-POOLED_SPLIT_SQL = f"""
+def pooled_split_sql(min_fit: int) -> str:
+    """Blocks of all series together, each trained on the two years before it."""
+    return f"""
   WITH t AS (SELECT ds, ds - DATE '1970-01-01' AS day_no FROM target WHERE target_up_h21 IS NOT NULL),
   b AS (SELECT i::INT AS block_id, (DATE '{views.BLOCK_START}' + INTERVAL (6 * i) MONTH)::DATE AS test_start,
       least(DATE '{views.BLOCK_START}' + INTERVAL (6 * i + 6) MONTH, l)::DATE AS test_end, (DATE '{views.BLOCK_START}' + INTERVAL (6 * i - 24) MONTH)::DATE AS train_from
@@ -257,11 +258,11 @@ POOLED_SPLIT_SQL = f"""
       quantile_cont(day_no, 0.8) FILTER (ds < test_start AND ds >= train_from) AS q80, list(day_no ORDER BY day_no) FILTER (ds < test_start AND ds >= train_from) AS days FROM b, t GROUP BY ALL),
   c AS (SELECT *, greatest(q80, (test_start - INTERVAL 1 YEAR)::DATE - DATE '1970-01-01') AS cut FROM q WHERE n_train >= 800 AND n_test >= 20),
   f AS (SELECT *, len(list_filter(days, lambda d: d < cut)) AS fit FROM c),
-  g AS (SELECT *, CASE WHEN fit < 600 OR n_train - fit < 50 THEN days[floor(n_train * 0.8)::BIGINT + 1] ELSE cut END AS cal FROM f)
+  g AS (SELECT *, CASE WHEN fit < {min_fit} OR n_train - fit < 50 THEN days[floor(n_train * 0.8)::BIGINT + 1] ELSE cut END AS cal FROM f)
   SELECT block_id, test_start, test_end, train_from, n_train, n_test, len(list_filter(days, lambda d: d < cal))::BIGINT AS n_fit, round(cal, 4) AS cal_start_day FROM g"""
 
 
-@registered(POOLED_SPLIT_SQL)
+@registered(pooled_split_sql(600))
 def pooled_split(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of all series together, trained on two years before each: the splits that the model runner takes."""
     known = views.target_panel(spark, folder).where(F.col("target_up_h21").isNotNull())

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import frame, models, selection
+from tidemark.operators.walkforward import MIN_FIT
 from tidemark.plans import views
-from tidemark.plans.evaluation_queries import POOLED_SPLIT_SQL
+from tidemark.plans.evaluation_queries import pooled_split_sql
 from tidemark.plans.panel_queries import _FEATURES_OF, _WINDOWS, TIE
 from tidemark.plans.registry import registered, rounded
 from tidemark.session import materialize
@@ -55,10 +58,10 @@ _CALENDAR_SQL = """year(r.ds)::DOUBLE AS year, month(r.ds)::DOUBLE AS month, qua
     round(sin(month(r.ds) * 2 * pi() / 12), 6) AS month_sin, round(cos(month(r.ds) * 2 * pi() / 12), 6) AS month_cos"""
 
 
-def whole_frame(spark: SparkSession, folder: str) -> DataFrame:
+def whole_frame(spark: SparkSession, folder: str, keep: Sequence[str] = ("target_up_h21",)) -> DataFrame:
     """All features of all variables, calendar, stance and annual class, with the target."""
     panel = views.regime_panel(spark, folder).withColumn("gap", F.col("fx") - F.col("oil"))
-    return frame.feature_frame(panel, views.calendar_context(spark, folder), LAYOUT, KEYS, "ds", keep=["target_up_h21"])
+    return frame.feature_frame(panel, views.calendar_context(spark, folder), LAYOUT, KEYS, "ds", keep=keep)
 
 
 @registered(f"""
@@ -76,7 +79,7 @@ def feature_frame_whole(spark: SparkSession, folder: str) -> DataFrame:
 
 def block_spans(known: DataFrame) -> list[selection.Span]:
     """Training days of every block of the calendar, without its calibration days."""
-    return [models.span_of(s) for s in models.pooled_splits(known, "ds", views.BLOCK_START, 6, 2, min_train=800, min_fit=600, min_cal=50)]
+    return [models.span_of(s) for s in models.pooled_splits(known, "ds", views.BLOCK_START, 6, 2)]
 
 
 _VALUES_SQL = ", ".join(
@@ -87,16 +90,20 @@ _VALUES_SQL = ", ".join(
 )
 
 
-@registered(f"""
+#: block_id, rank, feature, score, median.
+BLOCK_FEATURES_SQL = f"""
   WITH {_MADE},
-  splits AS ({POOLED_SPLIT_SQL}),
+  splits AS ({pooled_split_sql(MIN_FIT)}),
   xs AS MATERIALIZED (SELECT r.ds, r.ds - DATE '1970-01-01' AS day_no, r.target_up_h21::DOUBLE AS y, [{_VALUES_SQL}]::DOUBLE[] AS x
     FROM regime r {_JOINS} WHERE r.target_up_h21 IS NOT NULL),
   tall AS (SELECT s.block_id, y, unnest(x) AS value, unnest(range(0, {len(LAYOUT.names())})) AS pos FROM xs JOIN splits s ON ds >= train_from AND day_no < cal_start_day),
   mids AS (SELECT block_id, pos, median(value) AS m FROM tall GROUP BY 1, 2 HAVING min(value) < max(value)),
   rated AS (SELECT block_id, pos, count(*) AS n, any_value(m) AS m, round(abs(corr(coalesce(value, m), y)), 10) AS score FROM tall JOIN mids USING (block_id, pos) GROUP BY 1, 2),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY score DESC, pos) AS rank FROM rated)
-  SELECT block_id, rank::INT AS rank, {LAYOUT.names()!r}[pos + 1] AS feature, round(score, 6) AS score, round(m, 6) AS median FROM ranked WHERE rank <= {TOP}""")
+  SELECT block_id, rank::INT AS rank, {LAYOUT.names()!r}[pos + 1] AS feature, round(score, 6) AS score, round(m, 6) AS median FROM ranked WHERE rank <= {TOP}"""
+
+
+@registered(BLOCK_FEATURES_SQL)
 def block_features(spark: SparkSession, folder: str) -> DataFrame:
     """The features with the largest correlation in the training rows of every block, out of the whole frame."""
     known = materialize(whole_frame(spark, folder).where(F.col("target_up_h21").isNotNull()))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import clusters, features, models, panel, regimes, summaries
-from tidemark.plans import views
-from tidemark.plans.evaluation_queries import sql_rounded
+from tidemark.operators.walkforward import MIN_FIT
+from tidemark.plans import frame_queries, views
+from tidemark.plans.evaluation_queries import pooled_split_sql, sql_rounded
 from tidemark.plans.registry import registered, rounded
 from tidemark.session import checkpoint_dir, materialize
 
@@ -306,33 +307,38 @@ def _config(model: str = "XGBClassifier", **settings) -> models.Config:
     return models.Config(model, max_features=6, trees=5, **settings)
 
 
-FIRST_BLOCK = "2000-07-01"
 _BLOCKS = f"""
   SELECT block_id::INT AS block_id, a::DATE AS test_start, least(a + INTERVAL 6 MONTH, last_day)::DATE AS test_end, count(*) FILTER (ds >= a AND ds < least(a + INTERVAL 6 MONTH, last_day)) AS n_test
-  FROM (SELECT ds, max(ds) OVER () AS last_day FROM target WHERE target_up_h21 IS NOT NULL), (SELECT i AS block_id, DATE '{FIRST_BLOCK}' + INTERVAL (6 * i) MONTH AS a FROM range(0, 100) t(i))
+  FROM (SELECT ds, max(ds) OVER () AS last_day FROM target WHERE target_up_h21 IS NOT NULL), (SELECT i AS block_id, DATE '{views.BLOCK_START}' + INTERVAL (6 * i) MONTH AS a FROM range(0, 100) t(i))
   WHERE a < last_day GROUP BY ALL HAVING count(*) FILTER (ds < a) >= 800 AND n_test >= 20"""
 
 
-def block_results(spark: SparkSession, folder: str) -> DataFrame:
-    results, _, _ = models.walkforward(
-        model_panel(spark, folder), MODEL_FEATURES, _config(weight_strategy="balanced"), KEYS, start=FIRST_BLOCK, months=6
-    )
-    return results
+def block_results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Results and chosen features of every block, out of the whole frame."""
+    rows = frame_queries.whole_frame(spark, folder, ["px", "target_up_h21", "future_logret_h21"])
+    config = models.Config("XGBClassifier", max_features=frame_queries.TOP, trees=5, train_window_years=2, weight_strategy="balanced")
+    results, _, chosen = models.walkforward(rows, frame_queries.LAYOUT.names(), config, KEYS, start=views.BLOCK_START, months=6)
+    return results, chosen
 
 
-@registered(f"SELECT *, 6::BIGINT AS n_features, true AS adds_up, true AS in_range FROM ({_BLOCKS})")
+@registered(f"""
+  WITH chosen AS ({frame_queries.BLOCK_FEATURES_SQL}), planned AS ({pooled_split_sql(MIN_FIT)})
+  SELECT block_id, test_start, test_end, n_test, count(*) AS n_features, string_agg(feature, ',' ORDER BY rank) AS features, true AS adds_up, true AS in_range
+  FROM chosen JOIN planned USING (block_id) GROUP BY ALL""")
 def walkforward_model(spark: SparkSession, folder: str) -> DataFrame:
-    """What is determined of the blocks' results: dates, sizes, number of features, and that cells and metrics agree."""
+    """What is determined of the blocks' results: dates, sizes, the chosen features in their order, and that cells and metrics agree."""
+    results, chosen = block_results(spark, folder)
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]), ",")
     shares = [F.col(c).between(0, 1) for c in ("accuracy", "balanced_accuracy", "roc_auc")] + [F.col("threshold").between(0.05, 0.95)]
     within = shares[0] & shares[1] & shares[2] & shares[3]
-    return block_results(spark, folder).select(
-        "block_id", "test_start", "test_end", "n_test", F.col("n_features").cast("bigint").alias("n_features"),
+    return results.join(chosen.groupBy("block_id").agg(names.alias("features")), "block_id").select(
+        "block_id", "test_start", "test_end", "n_test", F.col("n_features").cast("bigint").alias("n_features"), "features",
         (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") == F.col("n_test")).alias("adds_up"), within.alias("in_range"),
     )
 
 
 def magnitude_results(spark: SparkSession, folder: str) -> DataFrame:
-    results, _ = models.magnitude(model_panel(spark, folder), MODEL_FEATURES, _config("XGBRegressor"), KEYS, start=FIRST_BLOCK, months=6)
+    results, _ = models.magnitude(model_panel(spark, folder), MODEL_FEATURES, _config("XGBRegressor"), KEYS, start=views.BLOCK_START, months=6)
     return results
 
 
