@@ -96,6 +96,7 @@ def test_choice_equals_a_plain_one(spark, slice_rows, top):
 def test_no_rows_no_choice(spark):
     df = spark.createDataFrame([], "day double, y int, x array<double>")
     assert selection.block_inputs(df, F.col("day"), "y", [selection.Span(0, None, 9.0)], 3).count() == 0
+    assert selection.block_inputs(df, F.col("day"), "y", [], 3).count() == 0
     assert models.inputs_of_spans(df.withColumn("ds", F.lit(DAY)), "ds", "y", [], ["a"], 3) == {}
 
 

@@ -106,8 +106,10 @@ def block_scores(rows: DataFrame, day: Column, label: str, spans: Sequence[Span]
     the absolute correlation with the label over the block's training rows, NULL values
     standing for the block's median; it is 0 with fewer than twenty rows or where
     one side does not vary. Rows without a label are left out, and so are features
-    that a block knows no value of. No rows give no scores.
+    that a block knows no value of. No rows and no spans give no scores.
     """
+    if not spans:
+        return rows.sparkSession.createDataFrame([], "block_id int, pos int, n long, lo double, median double, hi double, score double")
     stretches = Stretches(spans)
     tall = values_by_stretch(rows, day, label, stretches)
     stats = materialize(stretch_moments(tall))

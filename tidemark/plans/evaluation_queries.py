@@ -247,12 +247,13 @@ def _split(spark: SparkSession, folder: str, years: int | None) -> DataFrame:
     return rounded(plan, 4, "cal_start_day")
 
 
-def pooled_split_sql(min_fit: int) -> str:
-    """Blocks of all series together, each trained on the two years before it."""
+def pooled_split_sql(min_fit: int, years: int | None = 2) -> str:
+    """Blocks of all series together, each trained on the years before it; without ``years`` on all days."""
+    first_day = "DATE '1900-01-01'" if years is None else f"(DATE '{views.BLOCK_START}' + INTERVAL (6 * i - {12 * years}) MONTH)::DATE"
     return f"""
   WITH t AS (SELECT ds, ds - DATE '1970-01-01' AS day_no FROM target WHERE target_up_h21 IS NOT NULL),
   b AS (SELECT i::INT AS block_id, (DATE '{views.BLOCK_START}' + INTERVAL (6 * i) MONTH)::DATE AS test_start,
-      least(DATE '{views.BLOCK_START}' + INTERVAL (6 * i + 6) MONTH, l)::DATE AS test_end, (DATE '{views.BLOCK_START}' + INTERVAL (6 * i - 24) MONTH)::DATE AS train_from
+      least(DATE '{views.BLOCK_START}' + INTERVAL (6 * i + 6) MONTH, l)::DATE AS test_end, {first_day} AS train_from
     FROM (SELECT max(ds) AS l FROM t), range(0, 400) r(i) WHERE DATE '{views.BLOCK_START}' + INTERVAL (6 * i) MONTH < l),
   q AS (SELECT b.*, count(*) FILTER (ds < test_start AND ds >= train_from) AS n_train, count(*) FILTER (ds >= test_start AND ds < test_end) AS n_test,
       quantile_cont(day_no, 0.8) FILTER (ds < test_start AND ds >= train_from) AS q80, list(day_no ORDER BY day_no) FILTER (ds < test_start AND ds >= train_from) AS days FROM b, t GROUP BY ALL),

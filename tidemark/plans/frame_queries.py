@@ -79,7 +79,7 @@ def feature_frame_whole(spark: SparkSession, folder: str) -> DataFrame:
 
 def block_spans(known: DataFrame) -> list[selection.Span]:
     """Training days of every block of the calendar, without its calibration days."""
-    return [models.span_of(s) for s in models.pooled_splits(known, "ds", views.BLOCK_START, 6, 2)]
+    return [models.span_of(s) for s in models.pooled_splits(known, "ds", views.BLOCK_START, 6, None)]
 
 
 _VALUES_SQL = ", ".join(
@@ -93,7 +93,7 @@ _VALUES_SQL = ", ".join(
 #: block_id, rank, feature, score, median.
 BLOCK_FEATURES_SQL = f"""
   WITH {_MADE},
-  splits AS ({pooled_split_sql(MIN_FIT)}),
+  splits AS ({pooled_split_sql(MIN_FIT, None)}),
   xs AS MATERIALIZED (SELECT r.ds, r.ds - DATE '1970-01-01' AS day_no, r.target_up_h21::DOUBLE AS y, [{_VALUES_SQL}]::DOUBLE[] AS x
     FROM regime r {_JOINS} WHERE r.target_up_h21 IS NOT NULL),
   tall AS (SELECT s.block_id, y, unnest(x) AS value, unnest(range(0, {len(LAYOUT.names())})) AS pos FROM xs JOIN splits s ON ds >= train_from AND day_no < cal_start_day),

@@ -316,13 +316,13 @@ _BLOCKS = f"""
 def block_results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Results and chosen features of every block, out of the whole frame."""
     rows = frame_queries.whole_frame(spark, folder, ["px", "target_up_h21", "future_logret_h21"])
-    config = models.Config("XGBClassifier", max_features=frame_queries.TOP, trees=5, train_window_years=2, weight_strategy="balanced")
+    config = models.Config("XGBClassifier", max_features=frame_queries.TOP, trees=5, weight_strategy="balanced")
     results, _, chosen = models.walkforward(rows, frame_queries.LAYOUT.names(), config, KEYS, start=views.BLOCK_START, months=6)
     return results, chosen
 
 
 @registered(f"""
-  WITH chosen AS ({frame_queries.BLOCK_FEATURES_SQL}), planned AS ({pooled_split_sql(MIN_FIT)})
+  WITH chosen AS ({frame_queries.BLOCK_FEATURES_SQL}), planned AS ({pooled_split_sql(MIN_FIT, None)})
   SELECT block_id, test_start, test_end, n_test, count(*) AS n_features, string_agg(feature, ',' ORDER BY rank) AS features, true AS adds_up, true AS in_range
   FROM chosen JOIN planned USING (block_id) GROUP BY ALL""")
 def walkforward_model(spark: SparkSession, folder: str) -> DataFrame:
