@@ -6,7 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline as cp
-from tidemark.llm import language_crf, systematic_mix
+from tidemark.llm import language_crf, systematic_mix, winnow_lines
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
     raw = spark.read.parquet(f"{FOLDER}/documents.parquet")
     judged = {r["doc_id"]: r["lang_pred"] != "und" and r["score"] >= language_crf.LEAST_SCORE for r in language_crf.label(raw, language_crf.fit(raw)).collect()}
     assert Counter(known) == Counter(r for r in start if judged[r[0]])
-    lines = {r[0]: r[3] for r in helper("test_winnow_lines").brute([r[:2] for r in known])}
+    lines = {r[0]: r[3] for r in helper("test_winnow_lines").brute([r[:2] for r in known], winnow_lines.PASSAGE_WORDS)}
     assert Counter(cleaned) == Counter((d, lines[d], s) for d, _, s in known) and any(lines[d] != t for d, t, _ in known)
     group = {r[0]: r[2] for r in helper("test_covering_simhash").brute([r[:2] for r in cleaned])}
     assert Counter(single) == Counter(r for r in cleaned if group[r[0]] == r[0]) and len(single) < len(cleaned)

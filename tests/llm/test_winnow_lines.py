@@ -21,8 +21,8 @@ def digest(x):
     return int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
 
 
-def brute(rows):
-    """Fingerprints, their longer runs and first places as the docstrings say."""
+def brute(rows, words=None):
+    """Fingerprints, their longer runs, passages of so many words and first places as the docstrings say."""
     key = lambda d, t: hashlib.md5(("null" if d is None else str(d)).encode() + (b"-" if t is None else b"+" + t.encode())).digest()
     docs = sorted({(d is None, d if d is not None else 0, key(d, t), t or "") for d, t in rows})
     seqs, runs, first = [], [], {}
@@ -40,6 +40,11 @@ def brute(rows):
                 if a >= 0 and b <= len(h):
                     runs.append((n, a, b))
                     first[tuple(h[a:b])] = min(first.get(tuple(h[a:b]), (n, a)), (n, a))
+        many = [len(text.split("\n")[i].split()) for i, _ in own]
+        for a, b in [(a, b) for a in range(len(h)) for b in range(a + 1, min(a + 4, len(h)) + 1)] if words else []:
+            if sum(many[a:b]) >= words > min(sum(many[a + 1 : b]), sum(many[a : b - 1])):
+                runs.append((n, a, b))
+                first[tuple(h[a:b])] = min(first.get(tuple(h[a:b]), (n, a)), (n, a))
     gone = [set() for _ in docs]
     for n, a, b in runs:
         if first[tuple(x for _, x in seqs[n][a:b])] < (n, a):
