@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that occur earlier are deleted; documents of which nothing is left stay, with an empty text."""
-    return winnow_lines.dedup(docs)[0].select(*docs.columns)
+    """Runs of lines and passages of 40 words that occur earlier are deleted; documents of which nothing is left stay, with an empty text."""
+    return winnow_lines.dedup(docs, words=winnow_lines.PASSAGE_WORDS)[0].select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
