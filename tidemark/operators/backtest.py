@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import ratio, return_band, sanitize
 from tidemark.operators.ordered import ROWS_PER_SLICE, Running, axis_cuts, framed, running
 from tidemark.operators.walkforward import MIN_TEST, block_number
+from tidemark.session import materialize
 
 # Names of the strategies.
 STRATEGIES = [
@@ -53,6 +54,16 @@ def _exposures() -> dict[str, Column]:
     }
 
 
+def past_type(held: str = "int") -> str:
+    """What a key's earlier rows leave behind: rows so far, held signal, hysteresis state and one entry per strategy."""
+    entry = "struct<strategy: string, exposure: double, growth: double, peak: double>"
+    return f"struct<n_rows: bigint, held: {held}, state: double, book: array<{entry}>>"
+
+
+def _rows(preds: DataFrame, keys: Sequence[str], ts: str, price: str) -> DataFrame:
+    return preds.select(*keys, ts, price, "proba_up", "threshold", "pred_return_direct", "pred_up_calibrated")
+
+
 def backtest(
     preds: DataFrame,
     keys: Sequence[str],
@@ -77,9 +88,19 @@ def backtest(
         rows = rows.where(F.col(ts) >= F.lit(start).cast("date"))
     if end is not None:
         rows = rows.where(F.col(ts) <= F.lit(end).cast("date"))
-    base = [*keys, ts, price, "proba_up", "threshold", "pred_return_direct"]
-    rows = rows.select(*base, "pred_up_calibrated")
+    rows = _rows(rows, keys, ts, price)
+    nothing = F.lit(None).cast(past_type(rows.schema["pred_up_calibrated"].dataType.simpleString()))
+    curves = strategy_curves(rows.withColumn("__past", nothing), keys, ts, price, capital, cost, slippage, rows_per_slice)
+    return strategy_rows(curves, keys, ts, price)
+
+
+def strategy_curves(
+    rows: DataFrame, keys: Sequence[str], ts: str, price: str, capital: float, cost: float, slippage: float,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """All strategies side by side; ``__past`` on a key's first row says what earlier rows left behind."""
     slicing = {"rows_per_slice": rows_per_slice, "cuts": axis_cuts(rows, ts, rows_per_slice, keys)}
+    past = {s: F.get("__past.book", F.lit(i)) for i, s in enumerate(STRATEGIES)}
 
     def next_row(w: WindowSpec) -> dict[str, Column]:
         return {
@@ -89,21 +110,32 @@ def backtest(
 
     moved = framed(rows, keys, ts, next_row, back=0, ahead=1, **slicing).where("__more").drop("__more")
     moved = moved.withColumn("ret1", F.coalesce("ret1", F.lit(0.0)))
-    numbered = running(moved, keys, ts, {"__at": Running("count", F.lit(1))}, **slicing)
+    step = F.coalesce("__past.n_rows", F.lit(0)) + 1
+    numbered = running(moved, keys, ts, {"__at": Running("total", step)}, **slicing)
     rebalance = F.when((F.col("__at") - 1) % HOLD_ROWS == 0, F.coalesce(F.col("pred_up_calibrated"), F.lit(0)))
-    states = {"__held": Running("last", rebalance), "__state": hysteresis(F.col("proba_up"))}
+    switched = hysteresis(F.col("proba_up"))
+    states = {
+        "__held": Running("last", F.coalesce(rebalance, "__past.held")),
+        "__state": Running("last", F.coalesce(switched.value, "__past.state")),
+    }
     held = running(numbered, keys, ts, states, **slicing)
     exposed = held.withColumns({f"e_{s}": e for s, e in _exposures().items()})
 
     def turnovers(w: WindowSpec) -> dict[str, Column]:
-        return {f"t_{s}": F.abs(F.col(f"e_{s}") - F.lag(f"e_{s}", 1, 0.0).over(w)) for s in STRATEGIES}
+        before = {s: F.coalesce(F.lag(f"e_{s}", 1).over(w), past[s]["exposure"], F.lit(0.0)) for s in STRATEGIES}
+        return {f"t_{s}": F.abs(F.col(f"e_{s}") - before[s]) for s in STRATEGIES}
 
     traded = framed(exposed, keys, ts, turnovers, back=1, **slicing).withColumns(
         {f"r_{s}": F.col(f"e_{s}") * F.col("ret1") - F.col(f"t_{s}") * (cost + slippage) for s in STRATEGIES}
     )
-    growth = running(traded, keys, ts, {f"g_{s}": Running("product", 1 + F.col(f"r_{s}")) for s in STRATEGIES}, **slicing)
+    grown = {s: (1 + F.col(f"r_{s}")) * F.coalesce(past[s]["growth"], F.lit(1.0)) for s in STRATEGIES}
+    growth = running(traded, keys, ts, {f"g_{s}": Running("product", grown[s]) for s in STRATEGIES}, **slicing)
     funded = growth.withColumns({f"c_{s}": F.col(f"g_{s}") * capital for s in STRATEGIES})
-    peaks = running(funded, keys, ts, {f"h_{s}": Running("high", F.col(f"c_{s}")) for s in STRATEGIES}, **slicing)
+    highs = {f"h_{s}": Running("high", F.greatest(F.col(f"c_{s}"), past[s]["peak"])) for s in STRATEGIES}
+    return running(funded, keys, ts, highs, **slicing)
+
+
+def strategy_rows(curves: DataFrame, keys: Sequence[str], ts: str, price: str) -> DataFrame:
     per_strategy = F.array(
         *[
             F.struct(
@@ -118,7 +150,40 @@ def backtest(
             for s in STRATEGIES
         ]
     )
-    return peaks.select(*base, F.inline(per_strategy))
+    return curves.select(*keys, ts, price, "proba_up", "threshold", "pred_return_direct", F.inline(per_strategy))
+
+
+def advance(
+    state: DataFrame | None, preds: DataFrame, keys: Sequence[str], ts: str = "ds", price: str = "px", capital: float = CAPITAL,
+    cost: float = 0.0, slippage: float = 0.0, rows_per_slice: int = ROWS_PER_SLICE,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The backtest of new rows alone, going on from ``state``: (series, new state, late rows).
+
+    ``state`` has one row per key: its last prediction, which has no return before the
+    next one comes, and ``past``, what all rows before left behind. None starts afresh.
+    The series of all steps together are those of one backtest over all rows. A key
+    without new rows keeps its state. Rows that do not come after their key's last
+    prediction are late: they change nothing and are given back.
+    """
+    new, late = _rows(preds, keys, ts, price), None
+    past = past_type(new.schema["pred_up_calibrated"].dataType.simpleString())
+    if state is None:
+        rows, late = new.withColumn("__past", F.lit(None).cast(past)), new.limit(0)
+    else:
+        told = new.join(state.select(*keys, F.col(ts).alias("__last")), list(keys), "left")
+        known = F.coalesce(F.col(ts) <= F.col("__last"), F.lit(False))
+        late = told.where(known).drop("__last")
+        rows = told.where(~known).select(*new.columns, F.lit(None).cast(past).alias("__past"))
+        rows = rows.unionByName(state.select(*new.columns, F.col("past").alias("__past")))
+    rows = materialize(rows)
+    curves = materialize(strategy_curves(rows, keys, ts, price, capital, cost, slippage, rows_per_slice))
+    entry = {s: F.struct(F.lit(s).alias("strategy"), F.col(f"e_{s}").alias("exposure"), F.col(f"g_{s}").alias("growth"), F.col(f"h_{s}").alias("peak")) for s in STRATEGIES}
+    left = F.struct(F.col("__at").alias("n_rows"), F.col("__held").alias("held"), F.col("__state").alias("state"), F.array(*entry.values()).alias("book"))
+    done = curves.groupBy(*keys).agg(F.max_by(left, ts).cast(past).alias("__done"))
+    shown = [c for c in new.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*shown, "__past"), ts).alias("__r")).select(*keys, "__r.*")
+    after = last.join(done, list(keys), "left").select(*new.columns, F.coalesce("__done", "__past").alias("past"))
+    return strategy_rows(curves, keys, ts, price), after, late
 
 
 def backtest_summary(

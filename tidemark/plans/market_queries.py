@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.operators import backtest as bt
 from tidemark.operators import summaries
 from tidemark.operators.ordered import Running, exact_quantiles, running
+from tidemark.operators.panel import union_rows
 from tidemark.plans import views
 from tidemark.plans.evaluation_queries import sql_rounded
 from tidemark.plans.registry import registered, rounded
+from tidemark.session import materialize
 
 KEYS = views.KEYS
 COST, SLIPPAGE = 0.001, 0.0005
@@ -21,13 +23,28 @@ def strategy_series(spark: SparkSession, folder: str) -> DataFrame:
     return bt.backtest(log, KEYS, start="1998-01-01", end="2001-06-30", cost=COST, slippage=SLIPPAGE)
 
 
-@registered("""
+BACKTEST_SQL = """
   SELECT series_id, ds, px, proba_up, threshold, pred_return_direct, strategy, exposure, round(ret1, 6) AS ret1, turnover,
-    round(net_return, 6) AS net_return, round(capital, 2) AS capital, round(drawdown, 6) AS drawdown FROM bt""")
+    round(net_return, 6) AS net_return, round(capital, 2) AS capital, round(drawdown, 6) AS drawdown FROM bt"""
+
+
+@registered(BACKTEST_SQL)
 def backtest(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rounded(strategy_series(spark, folder), 6, "ret1", "net_return", "drawdown"), 2, "capital")
 
 
+@registered(BACKTEST_SQL)
+def backtest_carried(spark: SparkSession, folder: str) -> DataFrame:
+    """The same series, year by year: each year goes on from the state the one before left."""
+    log = materialize(views.prediction_log(spark, folder).where(F.col("ds").between("1998-01-01", "2001-06-30")))
+    years = [r[0] for r in log.select(F.year("ds")).distinct().sort(F.year("ds")).collect()]  # the years of a fixed span
+    state, made = None, []
+    for year in years:
+        series, state, _ = bt.advance(state, log.where(F.year("ds") == year), KEYS, cost=COST, slippage=SLIPPAGE)
+        made.append(series)
+    return rounded(rounded(union_rows(*made), 6, "ret1", "net_return", "drawdown"), 2, "capital")
+
+
 @registered("""
   WITH s AS (SELECT series_id, strategy, arg_max(capital, ds) AS capital_final, min(drawdown) AS max_drawdown, avg((net_return > 0)::INT) AS hit_rate,
     avg(abs(exposure)) AS time_in_market, count(*) FILTER (turnover > 0) AS n_position_changes, min(ds) AS start_date, max(ds) AS end_date FROM bt GROUP BY 1, 2)
