@@ -1,10 +1,13 @@
 """Reply structure from quotes: a hand-made mailbox, and SQL beside Spark on it and on the test tables."""
 
+import random
+
 import duckdb
 import pytest
 
 from check import compare, rows_of
 from tidemark.llm import quote_links as ql
+from tidemark.operators.ordered import running
 
 SCHEMA = "conv_id long, turn long, role string, text string, thread string, chat string"
 ROWS = [
@@ -63,12 +66,63 @@ def test_partial_quotes(spark):
         (1, 5, "f", "> The first line of it.\n> not said by anyone\n> > The second line\nNested."), (1, 6, "g", "> nothing of this\n> was said\nNo link."),
         (2, 1, "h", "> The first line of it.\nAnother conversation."), (1, 7, "i", "> Only two of three. And\n> more.\n> Why?\n> Something else entirely.\nThree messages."),
     ]
-    made = {r["role"]: r for r in ql.reply_ordered(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)).collect()}
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    every = ql.linked(frame)
+    assert rows_of(every.columns, every.collect()) == sql_rows(frame)
+    made = {r["role"]: r for r in every.collect()}
     assert {k: r["parent_turn"] for k, r in made.items()} == {"a": None, "b": None, "c": 0, "d": 0, "e": 0, "f": 0, "g": None, "h": None, "i": 1}
     assert {k: r["n_linked"] for k, r in made.items()} == dict.fromkeys("abcdefghi", 0)  # no whole paragraph
     assert all(made[k]["thread"] == 0 for k in "cdef")
 
 
+def sql_rows(messages):
+    con = duckdb.connect()
+    con.register("conversations", messages.select("conv_id", "turn", "role", "text").toArrow())
+    result = con.execute(ql.LINK_SQL)
+    return rows_of([d[0] for d in result.description], result.fetchall())
+
+
+def test_nearest_original(spark):
+    """Words said often tell little, and of their speakers the latest before the quote is meant; very short lines link nothing."""
+    rows = [
+        (1, 1, "a", "Thanks!\n\nThe pump on line two is down."), (1, 2, "b", "Looking into it.\n\nThanks!"), (1, 3, "c", "> Thanks!\nWelcome."),
+        (1, 4, "d", "> Thanks!\n> \n> The pump on line two is down.\nStill?"), (1, 5, "e", "Thanks!"), (1, 6, "f", "> Thanks!\n> Thanks!\n> bye\nBoth."),
+        (1, 7, "g", "> Still?\n> nobody said that\nToo short to link."), (2, 3, "h", "> Thanks!\nNobody here said it."),
+    ]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    made = ql.linked(frame)
+    assert {r["role"]: r["parent_turn"] for r in made.collect()} == {"a": None, "b": None, "c": 2, "d": 1, "e": None, "f": None, "g": None, "h": None}
+    assert rows_of(made.columns, made.collect()) == sql_rows(frame)
+
+
+def test_generated_mailbox(spark, monkeypatch):
+    """Some hundred messages that quote whole, trimmed, merged and nested passages with stock phrases between: every parent as planted, rows as in SQL, in slices too."""
+    draw = random.Random(11)
+    rows, planted = [], {}
+    for conv in range(12):
+        bodies = []
+        for turn in range(30):
+            own = [" ".join(draw.choice("alpha bravo delta kilo lima oscar tango zulu".split()) for _ in range(9)) + f" {conv} {turn} {j}." for j in range(3)]
+            phrase = draw.choice(["Thanks a lot!", "See below.", "Kind regards"])
+            quote, parent = [], None
+            if turn and draw.random() < 0.8:
+                parent = draw.randrange(turn)
+                theirs = bodies[parent]
+                way = draw.randrange(3)
+                quote = [f"> {x}" for x in theirs] if way == 0 else [f"> {theirs[1]}", "", f"> {theirs[2]}"] if way == 1 else [f"> {theirs[0]}", "> added by nobody", f"> > {theirs[2]}"]
+            planted[conv, turn] = parent
+            bodies.append(own)
+            rows.append((conv, turn, "r", "\n".join([*quote, "", phrase, "", *own]), "x", "y"))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    made = ql.linked(frame)
+    got = rows_of(made.columns, made.collect())
+    assert {(r["conv_id"], r["turn"]): r["parent_turn"] for r in made.collect()} == planted
+    assert got == sql_rows(frame)
+    monkeypatch.setattr(ql, "running", lambda *a, **k: running(*a, rows_per_slice=40, **k))
+    sliced = ql.linked(frame)
+    assert rows_of(sliced.columns, sliced.collect()) == got
+
+
 def test_empty(spark):
     assert ql.reply_ordered(frame(spark).limit(0)).count() == 0
 

@@ -2,15 +2,17 @@
 
 Lines are parsed into quote levels by their marks (">"), nested as often as they are.
 Consecutive lines of one level make paragraphs; each quoted paragraph is hashed in
-normalised form and joined to the first message of the conversation that has it as its
-own words. A quoted paragraph that equals none is looked up by its lines and sentences,
-so trimmed quotes and those cut by replies between the lines count too. The message quoted most, at the lowest level that leads anywhere, is the one
-replied to. Threads follow from the replies by pointer jumping, and messages come out in
-order of threads without their quotes.
-
-The main path has built-in functions only. Own paragraphs are folded to their first
-message before the join, so a passage that a third of all messages share is one row
-there, and no conversation has to fit a task.
+normalised form and joined to the latest earlier message of the conversation that has it
+as its own words. A quoted paragraph that equals none is looked up by its lines and
+sentences of ten characters or more, so trimmed quotes and those cut by replies between
+the lines count too. A passage weighs its characters over the number of turns that say
+it, so that thanks and greetings tell little; the message of most weight, at the lowest
+level that leads anywhere, is the one replied to. Threads follow from the replies by
+pointer jumping, and messages come out in order of threads without their quotes.
+
+The main path has built-in functions only. The latest earlier message is a running value
+over the different turns of a passage, in slices where a passage has more of them than a
+task should hold, so no conversation and no passage has to fit a task.
 """
 
 from __future__ import annotations
@@ -19,11 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
+from tidemark.operators.ordered import Running, running
 
 MARKS = r"^(?:[ \t]*>)+"
 #: Lines that announce a quote, if one follows.
 ANNOUNCE = r"(?i)^(on|am|le|el) .{1,300}(wrote|schrieb|écrit|escribió)[ \t]?:[ \t\r]*$"
 
+#: Lines and sentences below this length link nothing by themselves.
+MIN_PIECE = 10
+
 
 def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\f\x0B]+", " "))
@@ -60,40 +66,59 @@ def keyed(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", "role", "text", F.md5(F.concat_ws(":", *told)).alias("msg_key"))
 
 
+def spot(passage: Column) -> Column:
+    """A passage within its conversation, as one digest that is never null."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("+"), F.col("conv_id").cast("string")), F.lit("-")), F.lit("\n"), passage)))
+
+
+def weight(size: Column) -> Column:
+    return F.floor(size * 1000 / F.col("n_turns"))
+
+
+def nearest(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each different (spot, turn) of ``asked`` the latest earlier turn in ``own`` (spot, turn), if there is one, as quoted_turn, and n_turns, how many turns of ``own`` have the spot."""
+    said = own.join(asked.select("spot").distinct(), "spot", "left_semi").distinct()
+    at = lambda mine: (F.col("turn").cast("decimal(20,0)") * 2 + mine).alias("at")
+    steps = stored(said.select("spot", "turn", F.lit(True).alias("mine"), at(1)).unionByName(asked.distinct().select("spot", "turn", F.lit(False).alias("mine"), at(0))))
+    before = running(steps, ["spot"], "at", {"quoted_turn": Running("last", F.when(F.col("mine"), F.col("turn")))}).where("NOT mine AND quoted_turn IS NOT NULL")
+    spread = steps.where("mine").groupBy("spot").agg(F.count("*").alias("n_turns"))
+    return before.select("spot", "turn", "quoted_turn").join(spread, "spot")
+
+
 def quote_links(parts: DataFrame) -> DataFrame:
-    """(msg_key, conv_id, turn, level, quoted_turn, chars): what each message quotes of which earlier message, per level."""
+    """(msg_key, conv_id, turn, level, quoted_turn, weight, n_passages): what each message quotes of which earlier message, per level."""
     text = F.array_join("p.lines", " ")
-    each = parts.select("conv_id", "turn", "msg_key", F.explode("paragraphs").alias("p")).select(
-        "conv_id", "turn", "msg_key", "p.level", F.unhex(F.md5(text)).alias("hash"), F.length(text).alias("size"), "p.lines"
+    each = parts.select("conv_id", "turn", "msg_key", F.explode("paragraphs").alias("p")).where("turn IS NOT NULL").select(
+        "conv_id", "turn", "msg_key", "p.level", spot(text).alias("spot"), F.length(text).alias("size"), "p.lines"
     )
-    own = each.where("level = 0 AND turn IS NOT NULL")
-    first = own.groupBy(F.col("conv_id").alias("c"), F.col("hash").alias("h")).agg(F.min("turn").alias("quoted_turn"))
-    quotes = each.where("level > 0").groupBy("conv_id", "turn", "msg_key", "level", "hash").agg(F.max("size").alias("size"), F.min("lines").alias("lines"))
-    met = stored(quotes.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")), "left").drop("c", "h"))
+    own = each.where("level = 0")
+    quotes = stored(each.where("level > 0").groupBy("msg_key", "conv_id", "turn", "level", "spot").agg(F.max("size").alias("size"), F.min("lines").alias("lines")))
+    met = stored(quotes.join(nearest(own.select("spot", "turn"), quotes.select("spot", "turn")), ["spot", "turn"], "left"))
     columns = ["msg_key", "conv_id", "turn", "level", "quoted_turn"]
-    found = met.where("quoted_turn < turn").select(*columns, F.col("size").alias("chars"), F.lit(1).alias("passages"))
-    rest = met.where("NOT coalesce(quoted_turn < turn, false) AND turn IS NOT NULL").drop("quoted_turn")
+    found = met.where("quoted_turn IS NOT NULL").select(*columns, weight(F.col("size")).alias("weight"), F.lit(1).alias("passages"))
+    rest = met.where("quoted_turn IS NULL").drop("quoted_turn", "n_turns")
     if not rest.isEmpty():
-        found = found.unionByName(piece_links(own, rest).select(*columns, "chars", "passages"))
-    return found.groupBy("msg_key", "conv_id", "turn", "level", "quoted_turn").agg(F.sum("chars").alias("chars"), F.sum("passages").alias("n_passages"))
+        found = found.unionByName(piece_links(own, rest).select(*columns, "weight", "passages"))
+    return found.groupBy(*columns).agg(F.sum("weight").alias("weight"), F.sum("passages").alias("n_passages"))
 
 
 def pieces(lines: Column) -> Column:
     """The different lines (kind 0) and the different sentences (kind 1) of a paragraph."""
     sentences = F.split(F.array_join(lines, " "), r"(?<=[.!?]) +")
-    return F.concat(*[F.transform(F.array_distinct(made), lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x.alias("piece"))) for kind, made in enumerate((lines, sentences))])
+    made = [F.transform(F.array_distinct(x), lambda y, k=kind: F.struct(F.lit(k).alias("kind"), y.alias("piece"))) for kind, x in enumerate((lines, sentences))]
+    return F.filter(F.concat(*made), lambda x: F.length(x["piece"]) >= MIN_PIECE)
 
 
 def piece_links(own: DataFrame, rest: DataFrame) -> DataFrame:
-    """``rest``'s paragraphs by their lines or sentences, whichever tell more, in ``own`` ones: (..., quoted_turn, chars, passages), the last 0 as no whole paragraph is met."""
+    """``rest``'s paragraphs by their lines or sentences, whichever tell more, in ``own`` ones: (..., quoted_turn, weight, passages), the last 0 as no whole paragraph is met."""
     near = rest.select(F.col("conv_id").alias("c")).distinct()
     split = own.join(near, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi").select("conv_id", "turn", F.explode(pieces(F.col("lines"))).alias("x"))
-    first = split.groupBy(F.col("conv_id").alias("c"), F.unhex(F.md5("x.piece")).alias("h")).agg(F.min("turn").alias("quoted_turn"))
-    paragraph = ["msg_key", "conv_id", "turn", "level", "hash"]
-    asked = rest.select(*paragraph, F.explode(pieces(F.col("lines"))).alias("x")).select(*paragraph, "x.kind", F.unhex(F.md5("x.piece")).alias("part"), F.length("x.piece").alias("size"))
-    met = asked.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("h"))).where("quoted_turn < turn")
-    chars = met.groupBy(*paragraph, "quoted_turn", "kind").agg(F.sum("size").alias("chars")).groupBy(*paragraph, "quoted_turn").agg(F.max("chars").alias("chars"))
-    return chars.withColumn("passages", F.lit(0))
+    paragraph = ["msg_key", "conv_id", "turn", "level", "whole"]
+    asked = rest.withColumnRenamed("spot", "whole").select(*paragraph, F.explode(pieces(F.col("lines"))).alias("x"))
+    asked = stored(asked.select(*paragraph, "x.kind", spot(F.col("x.piece")).alias("spot"), F.length("x.piece").alias("size")))
+    met = asked.join(nearest(split.select(spot(F.col("x.piece")).alias("spot"), "turn"), asked.select("spot", "turn")), ["spot", "turn"])
+    told = met.groupBy(*paragraph, "quoted_turn", "kind").agg(F.sum(weight(F.col("size"))).alias("weight"))
+    return told.groupBy(*paragraph, "quoted_turn").agg(F.max("weight").alias("weight")).withColumn("passages", F.lit(0))
 
 
 def threads(replies: DataFrame) -> DataFrame:
@@ -123,13 +148,13 @@ def linked(messages: DataFrame) -> DataFrame:
 
     A null text is empty. A message without turn can quote, but not be quoted, and is
     its own thread; so are those of null conversations only if they quote nothing, as a
-    null conv_id is one conversation. Repeated rows all stay. Where several messages are
-    quoted equally much the later one is the parent. An empty table gives an empty result.
+    null conv_id is one conversation. Repeated rows all stay. Where several messages have
+    equal weight the later one is the parent. An empty table gives an empty result.
     """
     whole = keyed(messages)
     parts = stored(parsed(whole))
     links = stored(quote_links(parts))
-    best = F.max(F.struct(-F.col("level"), "chars", "quoted_turn"))["quoted_turn"]
+    best = F.max(F.struct(-F.col("level"), "weight", "quoted_turn"))["quoted_turn"]
     replies = stored(links.groupBy("msg_key", "conv_id", "turn").agg(best.alias("parent_turn"), F.sum("n_passages").alias("n_linked")))
     roots = threads(replies).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("thread").alias("top"), F.col("depth").alias("deep"))
     placed = replies.join(roots, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t"))).select("msg_key", "parent_turn", "n_linked", "top", "deep")
@@ -165,19 +190,47 @@ WITH RECURSIVE message AS (
   SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn, role, text ORDER BY i) AS run
   FROM (SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY conv_id, turn, role, text ORDER BY i) THEN 1 ELSE 0 END AS opens FROM kinds)
 ), paragraph AS (
-  SELECT conv_id, turn, role, text, kind AS level, string_agg(body, ' ' ORDER BY i) AS body FROM runs WHERE kind >= 0 GROUP BY conv_id, turn, role, text, run, kind
+  SELECT conv_id, turn, role, text, kind AS level, string_agg(body, ' ' ORDER BY i) AS body, list(body ORDER BY i) AS lines FROM runs WHERE kind >= 0 GROUP BY conv_id, turn, role, text, run, kind
 ), own AS (
   SELECT conv_id, turn, role, text,
          regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND kind <> -1), ''), '^([ \t\r]*\n)+', ''), '[ \t\r\n]+$', '') AS own
   FROM kinds GROUP BY conv_id, turn, role, text
-), firsts AS (
-  SELECT conv_id, body, min(turn) AS quoted_turn FROM paragraph WHERE level = 0 AND turn IS NOT NULL GROUP BY conv_id, body
+), quote AS (
+  SELECT conv_id, turn, role, text, level, body, min(lines) AS lines FROM paragraph WHERE level > 0 AND turn IS NOT NULL GROUP BY ALL
+), said AS (
+  SELECT DISTINCT conv_id, turn, body, lines FROM paragraph WHERE level = 0 AND turn IS NOT NULL
+), spread AS (
+  SELECT conv_id, body, count(DISTINCT turn) AS n_turns FROM said GROUP BY ALL
+), found AS (
+  SELECT q.conv_id, q.turn, q.role, q.text, q.level, q.body, max(s.turn) AS quoted_turn
+  FROM quote q JOIN said s ON q.conv_id IS NOT DISTINCT FROM s.conv_id AND q.body = s.body AND s.turn < q.turn GROUP BY ALL
+), rest AS (
+  SELECT q.* FROM quote q WHERE NOT EXISTS (SELECT 1 FROM said s WHERE q.conv_id IS NOT DISTINCT FROM s.conv_id AND q.body = s.body AND s.turn < q.turn)
+), asked AS (
+  SELECT DISTINCT conv_id, turn, role, text, level, body, kind, piece FROM (
+    SELECT * EXCLUDE (lines), 0 AS kind, unnest(lines) AS piece FROM rest
+    UNION ALL SELECT * EXCLUDE (lines), 1, unnest(string_split(regexp_replace(body, '([.!?]) +', '\1' || chr(1), 'g'), chr(1))) FROM rest)
+  WHERE len(piece) >= 10
+), told AS (
+  SELECT DISTINCT conv_id, turn, piece FROM (
+    SELECT conv_id, turn, unnest(lines) AS piece FROM said
+    UNION ALL SELECT conv_id, turn, unnest(string_split(regexp_replace(body, '([.!?]) +', '\1' || chr(1), 'g'), chr(1))) FROM said)
+  WHERE len(piece) >= 10
+), piece_spread AS (
+  SELECT conv_id, piece, count(*) AS n_turns FROM told GROUP BY ALL
+), piece_found AS (
+  SELECT a.*, max(t.turn) AS quoted_turn FROM asked a JOIN told t ON a.conv_id IS NOT DISTINCT FROM t.conv_id AND a.piece = t.piece AND t.turn < a.turn GROUP BY ALL
+), piece_kind AS (
+  SELECT f.conv_id, f.turn, role, text, level, body, kind, quoted_turn, sum(len(f.piece) * 1000 // n_turns) AS weight
+  FROM piece_found f JOIN piece_spread s ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.piece = s.piece GROUP BY ALL
 ), met AS (
-  SELECT q.conv_id, q.turn, q.role, q.text, q.level, f.quoted_turn, sum(len(q.body)) AS chars, count(*) AS n
-  FROM (SELECT DISTINCT * FROM paragraph WHERE level > 0) q JOIN firsts f ON q.conv_id IS NOT DISTINCT FROM f.conv_id AND q.body = f.body AND f.quoted_turn < q.turn
+  SELECT conv_id, turn, role, text, level, quoted_turn, sum(weight) AS weight, sum(n) AS n FROM (
+    SELECT f.conv_id, f.turn, role, text, level, quoted_turn, len(f.body) * 1000 // n_turns AS weight, 1 AS n
+    FROM found f JOIN spread s ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.body = s.body
+    UNION ALL SELECT conv_id, turn, role, text, level, quoted_turn, max(weight), 0 FROM piece_kind GROUP BY conv_id, turn, role, text, level, body, quoted_turn)
   GROUP BY ALL
 ), replies AS (
-  SELECT conv_id, turn, role, text, sum(n) AS n_linked, (max({'a': -level, 'b': chars, 'c': quoted_turn})).c AS parent_turn FROM met GROUP BY ALL
+  SELECT conv_id, turn, role, text, sum(n) AS n_linked, (max({'a': -level, 'b': weight, 'c': quoted_turn})).c AS parent_turn FROM met GROUP BY ALL
 ), links AS (
   SELECT conv_id, turn, min(parent_turn) AS parent FROM replies GROUP BY conv_id, turn
 ), climb(conv_id, turn, top, depth) AS (
