@@ -320,8 +320,9 @@ def permutation_importance(
 
     Rows are dealt at random into buckets of about a thousand and the feature's values
     move one row on in a random order inside each bucket. That is a permutation of the
-    whole column, and no task has to hold the column. Single values are dealt; the arrays
-    join them afterwards, where the model reads them.
+    whole column, and no task has to hold the column. Only single values are shuffled:
+    those dealt to a row come back to it as one list, and a row's array is read once and
+    changed value by value where the model scores it.
     """
     rows = materialize(test.select(*ident, F.col(label).cast("int").alias("y"), vector_to_array(inputs.vector()).alias("a")))
     buckets = max(1, rows.count() // SHUFFLE_BUCKET)
@@ -332,7 +333,8 @@ def permutation_importance(
     ring = Window.partitionBy("f", "trial", "slot").orderBy("turn", *ident)
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     dealt = tried.withColumn("new", F.coalesce(F.lead("own", 1).over(ring), F.first("own").over(whole)))
-    moved = dealt.select(*ident, "f", "trial", "new").join(rows, list(ident))
+    moves = dealt.groupBy(*ident).agg(F.collect_list(F.struct("f", "trial", "new")).alias("moves"))
+    moved = rows.join(moves, list(ident)).select("y", "a", F.inline("moves"))
     swapped = F.transform("a", lambda v, i: F.when(i == F.col("f"), F.col("new")).otherwise(v))
 
     def accuracy(frame: DataFrame, by: Sequence[str]) -> DataFrame:
