@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as bt
-from tidemark.operators import summaries
+from tidemark.operators import sketches, summaries
 from tidemark.operators.ordered import Running, exact_quantiles, running
 from tidemark.operators.panel import union_rows
 from tidemark.plans import views
@@ -91,6 +91,15 @@ def quantiles_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(made, 6, "p50", "p01", "p99")
 
 
+@registered()
+def event_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Missing share, distinct values and quantiles of events per type and quarter, merged from one sketch per type and day."""
+    events = views.events(spark, folder).withColumn("day", F.to_date("ts"))
+    days = sketches.day_sketches(events, ["event_type"], "day")
+    quarters = sketches.merged(days.withColumn("quarter", F.to_date(F.date_trunc("quarter", "day"))), ["event_type", "quarter"])
+    return sketches.estimates(quarters, {"p01": 0.01, "p50": 0.5, "p99": 0.99})
+
+
 @registered("""
   WITH a AS (SELECT series_id, ds, coalesce(px / lag(px) OVER w - 1, 0) AS ret, coalesce(lag(pred_up_calibrated) OVER w, 0)::DOUBLE AS s
     FROM preds WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
