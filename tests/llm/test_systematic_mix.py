@@ -61,5 +61,7 @@ def test_emit(spark):
     out = sm.emit(docs)
     assert out.columns == docs.columns and out.count() == sum(r["_copies"] for r in mixed.collect())
     assert sm.emit(docs.limit(0)).count() == 0 and sm.mix_table(docs.limit(0)).count() == 0
+    clash = docs.withColumnsRenamed({"size": "mix_within_u", "copies": "MIX_START"})
+    assert sm.emit(clash).columns == clash.columns and sm.emit(clash).count() == out.count()
     blank = spark.createDataFrame([(1, None, "a", "", ""), (2, " ", None, "", "")], SCHEMA)
     assert [(r["target"], r["copies"]) for r in sm.mix_table(blank).collect()] == [(0.0, 0)] * 2

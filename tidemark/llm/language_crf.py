@@ -309,7 +309,14 @@ def language_table(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without documents of no language or of none that is clear; columns as they were."""
+    """``docs`` without documents of no language or of none that is clear; columns as they were.
+
+    Null texts, empty ones and those without a letter have no language and go. Rows that
+    repeat id and text share one label and all stay or all go; a null id is an id of its
+    own. A score of exactly ``least_score`` stays. Without a single labelled text there is
+    no language to learn and every row goes; an empty table stays empty. Extra columns of
+    any name are kept.
+    """
     key = fresh(docs, "doc_key")[0]
     made = label(docs, fit(docs))
     bad = stored(made.where((F.col("lang_pred") == NONE) | (F.col("score") < least_score)).select(F.col("doc_key").alias(key)).distinct())

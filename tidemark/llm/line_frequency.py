@@ -169,7 +169,12 @@ def quality(docs: DataFrame, host: str = "source", most_texts: int = MOST_TEXTS,
 
 
 def without_lines(docs: DataFrame, host: str = "source", most_texts: int = MOST_TEXTS, most_share: float = MOST_SHARE) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``; all rows and columns stay, null texts stay null."""
+    """``docs`` with boilerplate lines taken out of ``text``; all rows and columns stay, null texts stay null.
+
+    Of a text of nothing but such lines only blank lines are left, if it has any. A null host is a host of its own;
+    rows that repeat id and text get the same text. Extra columns of any name are kept;
+    an empty table stays empty.
+    """
     key, line = fresh(docs, "doc_key", "gone_lines")
     lost = boilerplate(profile(docs, host), most_texts, most_share).groupBy(F.col("doc_key").alias(key)).agg(F.collect_set("line").alias(line))
     joined = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(lost, key, "left")

@@ -358,7 +358,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated documents; columns and other rows as they are."""
+    """``docs`` without contaminated documents; columns and other rows as they are.
+
+    Null and empty texts have no words and stay. Rows that repeat id and text all stay or
+    all go; a null id is an id of its own. An empty benchmark, or one of null texts only,
+    removes nothing; an empty table stays empty. Extra columns of any name are kept.
+    """
     key = fresh(docs, "doc_key")[0]
     bad = stored(contamination(docs, benchmark).where("contaminated").select(F.col("doc_key").alias(key)).distinct())
     return docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(small(bad), key, "left_anti").select(*docs.columns)

@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """
     names = dict(zip(("size", "source_size", "target", "copies"), fresh(docs, "size", "source_size", "target", "copies")))
     size = names["size"]
-    key, digest, bucket, within, ahead = fresh(docs, "mix_key", "mix_digest", "mix_bucket", "mix_within", "mix_ahead")
+    key, digest, bucket, within, ahead, start = fresh(docs, "mix_key", "mix_digest", "mix_bucket", "mix_within", "mix_ahead", "mix_start")
     identity = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))
     keyed = (
         docs.withColumn(size, words(F.col("text")))
@@ -98,13 +98,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         .join(rates, "k")
         .select(
             F.col("k").alias(key), F.col("s").alias(size), F.col("b").alias(bucket), (F.col("n") + F.col("smaller")).alias(ahead),
-            F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), "u",
+            F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), F.col("u").alias(start),
         )
-        .withColumnRenamed("u", within + "_u")
     )
     rank = F.col(ahead) + F.col(within)
     rate = F.when(F.col(names["source_size"]) > 0, F.col(names["target"]) / F.col(names["source_size"])).otherwise(F.lit(0.0))
-    crossed = F.floor(rank * rate + F.col(within + "_u")) - F.floor((rank - 1) * rate + F.col(within + "_u"))
+    crossed = F.floor(rank * rate + F.col(start)) - F.floor((rank - 1) * rate + F.col(start))
     mixed = (
         keyed.withColumn(within, F.row_number().over(Window.partitionBy(key, size, bucket).orderBy(digest)))
         .join(ranks, [key, size, bucket])
@@ -115,7 +114,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def emit(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns.
+
+    Rows are told by place, not by id: repeated rows and those without id are dealt one by
+    one. Null and empty texts have size 0 and come first in their source; they are taken
+    like others, as the rate says. A null source is a source of its own, and equal sizes
+    are ordered by the digest of id and text. Extra columns of any name are kept; an
+    empty table gives an empty result.
+    """
     mixed, names = mix(docs, **settings)
     turn = fresh(mixed, "mix_turn")[0]
     often = mixed.where(F.col(names["copies"]) > 0)
