@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines and passages of 40 words that occur earlier are deleted; documents of which nothing is left stay, with an empty text.
 
-    Null texts stay null. Of equal runs the first place stays, in order of id and then text.
+    Null texts stay null. Of equal runs the first place stays, in order of id, then key, then line.
     """
     return winnow_lines.dedup(docs, words=winnow_lines.PASSAGE_WORDS)[0].select(*docs.columns)
 
