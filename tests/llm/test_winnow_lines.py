@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from check import compare
 from tidemark.llm import winnow_lines as wl
@@ -69,6 +70,24 @@ def test_against_loops(spark):
     assert many == "_n_removed" and whole.columns == [*docs.columns, many]
 
 
+def test_white_space_in_lines(spark):
+    """Lines compare by their words, whatever stands between and around them; plain texts skip the search for other white space."""
+    own = ["One two  three", "F\u00fcnf\x0b sechs\r", "\t sieben\x0c\facht ", " \u00c4\u03a3 neun", "zehn"]
+    same = ["one two three", "f\u00fcnf sechs", "sieben acht", "\u00e4\u03c2 neun", "zehn"]
+    rows = [(1, "\n".join(same)), (2, "\n \t\r\n".join(own)), (3, "\r\n".join(x.upper() for x in same) + "\r\nnew"), (4, "onetwo three\n" + "\n".join(same[1:3])), (2, "\n \t\r\n".join(own))]
+    made = sorted((r["doc_id"], r["n_lines_left"], r["n_removed"], r["text"]) for r in wl.dedup_table(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)).collect())
+    assert made == [(1, 5, 0, rows[0][1]), (2, 1, 5, ""), (2, 1, 5, ""), (3, 1, 5, "new"), (4, 3, 0, rows[3][1])]
+
+
+def test_lines_are_hashed_where_they_are_read(spark):
+    """No sort and no shuffle before the lines are stored, and every line is hashed once."""
+    plan = wl.line_sequences(spark.createDataFrame([(1, "a\nb", "", "")], SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert plan.count("conv(") == 1
+    docs = spark.createDataFrame([(1, "\n".join(A), "", "")] * 3, SCHEMA)
+    assert wl.cuts(docs.unionByName(docs.withColumn("doc_id", F.lit(2))), 3, 3).groupBy("doc_key").count().where("count > 1").count() == 0
+
+
 def test_guarantee(spark):
     """Whatever surrounds it, a repeated run of five lines goes whole."""
     rows = [(i, "\n".join([f"b{i}{j}" for j in range(i % 7)] + A[i % 4 : i % 4 + 5] + [f"e{i}{j}" for j in range(i % 5)])) for i in range(40)]

@@ -39,13 +39,18 @@ PASSAGE_WORDS = 40
 PASSAGE_LINES = GRAM + WINDOW - 2
 
 
-def plain_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[ \t\x0B\f\r]+", " "))
+def plain_text(text: Column) -> Column:
+    """The text in lower case, white space within lines as single spaces; texts that have nothing else are not searched by the expression."""
+    small = F.lower(text)
+    other = F.contains(small, F.lit("  "))
+    for c in "\t\x0b\f\r":
+        other = other | F.contains(small, F.lit(c))
+    return F.when(other, F.regexp_replace(small, r"[\t\x0B\f\r][ \t\x0B\f\r]*| [ \t\x0B\f\r]+", " ")).otherwise(small)
 
 
 def line_hash(line: Column) -> Column:
-    """60 bits of the line in lower case, white space aside from single spaces between words left out."""
-    return F.conv(F.substring(F.md5(plain_line(line)), 1, 15), 16, 10).cast("long")
+    """60 bits of a line of ``plain_text`` without spaces at its ends."""
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
 def gram_hash(lines: Column) -> Column:
@@ -53,14 +58,13 @@ def gram_hash(lines: Column) -> Column:
 
 
 def line_sequences(docs: DataFrame, counted: bool = False) -> DataFrame:
-    """(doc_id, doc_key, lines): number and hash (``counted``: and words) of every line that is not blank, one row per different document."""
-    words = lambda x: [F.size(F.split(plain_line(x), " ")).alias("w")] if counted else []
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    hashed = F.filter(
-        F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(F.trim(F.translate(x, "\t\x0b\f\r", "    ")) != "", line_hash(x)).alias("h"), *words(x))), lambda x: x["h"].isNotNull()
-    )
-    made = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("doc_key"), hashed.alias("lines"))
-    return made.where(F.size("lines") > 0)
+    """(doc_id, doc_key, lines): number and hash (``counted``: and words) of every line that is not blank, one row per row that has some."""
+    words = lambda x: [F.size(F.split(x, " ")).alias("w")] if counted else []
+    lines = F.transform(F.split(plain_text(F.coalesce(F.col("text"), F.lit(""))), "\n", -1), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x")))
+    hashed = F.transform(F.filter(lines, lambda e: e["x"] != ""), lambda e: F.struct(e["i"].alias("i"), line_hash(e["x"]).alias("h"), *words(e["x"])))
+    # a condition on the lines would be pushed below them, and hash them twice
+    some = docs.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    return some.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("doc_key"), hashed.alias("lines"))
 
 
 def fingerprints(sequences: DataFrame, gram: int, window: int) -> DataFrame:
@@ -105,7 +109,8 @@ def repeated_runs(sequences: DataFrame, gram: int = GRAM, window: int = WINDOW,
     """(doc_key, begin, end) from ``line_sequences``: runs of the document's non-blank lines, from begin to before end, that occur earlier.
 
     Earlier means a smaller (doc_id, doc_key, line), null ids last; the same document
-    counts too. Runs of one document may overlap.
+    counts too. Runs of one document may overlap. Rows that repeat a document have
+    the same places, none of them earlier, and give the same runs.
     """
     prints = fingerprints(sequences, gram, window)
     if words is not None:
@@ -117,11 +122,13 @@ def repeated_runs(sequences: DataFrame, gram: int = GRAM, window: int = WINDOW,
 
 def cuts(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """(doc_key, gone): the numbers (from 0, blank lines counted) of the lines to delete, for documents that have some."""
-    sequences = stored(line_sequences(docs, words is not None).dropDuplicates(["doc_key"]))
+    sequences = stored(line_sequences(docs, words is not None))
     runs = repeated_runs(sequences, gram, window, words)
     spots = runs.select("doc_key", F.explode(F.sequence("begin", F.col("end") - 1)).alias("spot")).groupBy("doc_key").agg(F.collect_set("spot").alias("spots"))
     numbers = sequences.select("doc_key", F.col("lines.i").alias("numbers"))
-    return spots.join(numbers, "doc_key").select("doc_key", F.transform("spots", lambda x: F.element_at("numbers", x + 1)).alias("gone"))
+    made = spots.join(numbers, "doc_key").select("doc_key", F.transform("spots", lambda x: F.element_at("numbers", x + 1)).alias("gone"))
+    # once per document, as rows may repeat one
+    return made.dropDuplicates(["doc_key"])
 
 
 def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int | None = None) -> tuple[DataFrame, str]:
@@ -141,7 +148,7 @@ def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int |
     lines = F.split(F.col("text"), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n")
-    text = F.when(F.col(gone).isNull(), F.col("text")).when(F.trim(F.translate(kept, "\t\n\x0b\f\r", "     ")) == "", F.lit("")).otherwise(kept)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.element_at(F.transform(F.array(kept), lambda x: F.when(x.rlike(r"[^ \t\n\x0B\f\r]"), x).otherwise(F.lit(""))), 1))
     made = joined.withColumn("text", text).withColumn(many, F.coalesce(F.size(gone), F.lit(0)).cast("long"))
     return made.select(*docs.columns, many), many
 
@@ -149,8 +156,8 @@ def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int |
 def dedup_table(docs: DataFrame, words: int | None = None) -> DataFrame:
     """doc_id, n_lines_left, n_removed, text (what is left)."""
     made, many = dedup(docs.select("doc_id", "text"), words=words)
-    before = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
-    return made.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(before).cast("long").alias("n_lines_left"), many, "text")
+    ends = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    return made.select("doc_id", F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines_left"), many, "text")
 
 
 WINNOW_SQL = r"""
